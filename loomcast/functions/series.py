@@ -43,24 +43,24 @@ class Axis:
 
     ``max_rows`` is a proven upper bound of the rows of one series, None if there is
     none (then it is measured).  ``slice_seconds`` is the width of the counted time
-    slices; it should be well below the time span of one block.
+    slices, None to derive it from the longest series.
     """
 
     key: tuple[str, ...] = ("symbol",)
     order: str = "ts"
     tie: tuple[str, ...] = ()
-    slice_seconds: int = 30 * DAY
     block_rows: int = 1 << 20
     max_rows: int | None = None
+    slice_seconds: float | None = None
 
     def but(self, **changes) -> "Axis":
         return replace(self, **changes)
 
 
-#: Daily bars: one row per symbol and calendar day, so a century is 36,600 rows.
+#: Bars that were grouped by (symbol, calendar day): a century is 36,600 rows.
 DAILY = Axis(max_rows=100 * 366)
-#: Hourly bars: one row per symbol and hour.
-HOURLY = Axis(slice_seconds=DAY, max_rows=100 * 366 * 24)
+#: Bars that were grouped by (symbol, hour).
+HOURLY = Axis(max_rows=100 * 366 * 24)
 
 
 def longest_series(df: DataFrame, key: tuple[str, ...]) -> int:
@@ -69,12 +69,17 @@ def longest_series(df: DataFrame, key: tuple[str, ...]) -> int:
     return int(row[0] or 0)
 
 
-def epoch_seconds(col: Column, dtype: str) -> Column:
+def epoch_micros(col: Column, dtype: str) -> Column:
+    """A time (or a plain number, taken as seconds) as whole microseconds."""
     if dtype == "date":
-        return F.unix_date(col).cast("long") * DAY
+        return F.unix_date(col).cast("long") * (DAY * 1_000_000)
     if dtype in ("timestamp", "timestamp_ntz"):
-        return F.floor(F.unix_micros(col.cast("timestamp")) / 1_000_000)
-    return F.floor(col.cast("double")).cast("long")
+        return F.unix_micros(col.cast("timestamp"))
+    return F.floor(col.cast("double") * 1e6)
+
+
+def epoch_seconds(col: Column, dtype: str) -> Column:
+    return F.floor(epoch_micros(col, dtype) / 1_000_000)
 
 
 def join_on(left: DataFrame, right: DataFrame, cols, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -269,21 +274,40 @@ def ema_memory(alpha: float) -> int:
     return math.ceil(80.0 / -math.log1p(-alpha)) + 1
 
 
+def _one_block(df: DataFrame, axis: Axis) -> Blocks:
+    return Blocks(df.withColumn("_blk", F.lit(0).cast("long")), axis, split=False, halo=False)
+
+
+def _longest_and_span(df: DataFrame, axis: Axis, at: Column) -> tuple[int, int]:
+    """Rows of the longest series, and the microseconds it spans."""
+    per = df.groupBy(*axis.key).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at) + 1).alias("span"))
+    row = per.agg(F.max(F.struct("n", "span"))).first()[0]
+    return (int(row["n"]), int(row["span"])) if row else (0, 1)
+
+
 def lay_out(df: DataFrame, axis: Axis, lookback: int = 0, lookahead: int = 0) -> Blocks:
     """Lay a frame out in blocks whose windows may look ``lookback`` rows back and
     ``lookahead`` rows ahead.  Rows without a time have no place in a series and are
     left out (the series check reports them)."""
     df = df.where(F.col(axis.order).isNotNull())
-    longest = axis.max_rows if axis.max_rows is not None else longest_series(df, axis.key)
+    if axis.max_rows is not None and axis.max_rows <= axis.block_rows:
+        return _one_block(df, axis)
+    at = epoch_micros(F.col(axis.order), dict(df.dtypes)[axis.order])
+    longest, span = _longest_and_span(df, axis, at)
     if longest <= axis.block_rows:
-        return Blocks(df.withColumn("_blk", F.lit(0).cast("long")), axis, split=False, halo=False)
+        return _one_block(df, axis)
 
     shared_dir(df.sparkSession)
-    dtype = dict(df.dtypes)[axis.order]
     size = max(axis.block_rows, lookback, 1)
-    rows = df.withColumn("_slice", F.floor(epoch_seconds(F.col(axis.order), dtype) / axis.slice_seconds))
-    counts = rows.groupBy(*axis.key, "_slice").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    n_slices = counts.count()
+    width = int(axis.slice_seconds * 1e6) if axis.slice_seconds else max(1, span * size // (4 * longest))
+    for _ in range(4):
+        rows = df.withColumn("_slice", F.floor(at / width))
+        counts = rows.groupBy(*axis.key, "_slice").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+        n_slices, fullest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
+        if fullest <= size or width == 1:
+            break
+        # rows crowd in a part of the time span: count again in narrower slices
+        width = max(1, width * size // (4 * fullest))
 
     by_slice = Window.partitionBy(*axis.key).orderBy("_slice")
     plan = counts.withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import ratio
-from loomcast.functions.series import DAILY, Axis, Blocks, ema_memory, join_stats, lay_out
+from loomcast.functions.series import Axis, Blocks, ema_memory, join_stats, lay_out
 
 #: The default lags and windows of the feature set.
 LAGS = (1, 2, 3, 5, 10)
@@ -25,7 +25,7 @@ def feature_names(lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS)
 
 
 def feature_blocks(
-    bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = DAILY
+    bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = Axis()
 ) -> Blocks:
     """All features and the target on one layout: one shuffle, one sort."""
     back = max(*lags, *[w - 1 for w in windows], *RETURNS)
@@ -41,7 +41,7 @@ def feature_blocks(
 
 
 def make_features(
-    bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = DAILY,
+    bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = Axis(),
     keep_unlabelled: bool = False,
 ) -> DataFrame:
     """Features and target per row; rows with a null feature (warm-up) are dropped, and
@@ -52,7 +52,7 @@ def make_features(
 
 
 def feature_counts(
-    bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = DAILY
+    bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = Axis()
 ) -> DataFrame:
     """Per series: number of features, usable samples, rows dropped."""
     need = [*feature_names(lags, windows), "target"]
@@ -67,7 +67,7 @@ def feature_counts(
     )
 
 
-def feature_block(bars: DataFrame, block: Mapping, axis: Axis = DAILY) -> DataFrame:
+def feature_block(bars: DataFrame, block: Mapping, axis: Axis = Axis()) -> DataFrame:
     """A declared block {name, params}: MovingAverage(window, normalize) or
     ExponentialSmoothing(alpha, adjust)."""
     name, params = block["name"], block.get("params", {})
@@ -78,7 +78,7 @@ def feature_block(bars: DataFrame, block: Mapping, axis: Axis = DAILY) -> DataFr
     raise ValueError(f"unknown feature block '{name}'")
 
 
-def moving_average(bars: DataFrame, window: int, normalize: bool = True, axis: Axis = DAILY) -> DataFrame:
+def moving_average(bars: DataFrame, window: int, normalize: bool = True, axis: Axis = Axis()) -> DataFrame:
     """The moving average, or close over it minus one."""
     b = lay_out(bars, axis, window - 1)
     sma = b.roll(F.avg, "close", window)
@@ -86,7 +86,7 @@ def moving_average(bars: DataFrame, window: int, normalize: bool = True, axis: A
 
 
 def exponential_smoothing(
-    bars: DataFrame, alpha: float, adjust: bool = False, axis: Axis = DAILY
+    bars: DataFrame, alpha: float, adjust: bool = False, axis: Axis = Axis()
 ) -> DataFrame:
     """e = (1-alpha)·e_prev + alpha·x; with ``adjust`` the weighted mean of all rows so far.
 
@@ -122,7 +122,7 @@ def exponential_smoothing(
 # -- splits ------------------------------------------------------------------
 
 def split_ordered(
-    df: DataFrame, train: float = 0.7, valid: float = 0.1, axis: Axis = DAILY
+    df: DataFrame, train: float = 0.7, valid: float = 0.1, axis: Axis = Axis()
 ) -> DataFrame:
     """Chronological split per series: the first int(n·train) rows, int(n·valid) rows, the rest.
 
@@ -155,7 +155,7 @@ def union_rows(parts: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
-def last_n(df: DataFrame, n: int, axis: Axis = DAILY) -> DataFrame:
+def last_n(df: DataFrame, n: int, axis: Axis = Axis()) -> DataFrame:
     """The last n rows of each series; only n rows per series and map task are shuffled."""
     desc = Window.partitionBy(*axis.key).orderBy(*[F.desc(c) for c in (axis.order, *axis.tie)])
     return df.withColumn("_d", F.row_number().over(desc)).where(F.col("_d") <= n).drop("_d")

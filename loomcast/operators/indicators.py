@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import ratio
-from loomcast.functions.series import DAILY, Axis, Blocks, ema_memory, lay_out
+from loomcast.functions.series import Axis, Blocks, ema_memory, lay_out
 
 Params = Mapping[str, float]
 
@@ -410,7 +410,7 @@ def resolve(cfg: Iterable[Mapping]) -> list[tuple[Indicator, dict, tuple[str, ..
     return out
 
 
-def add_indicators(bars: DataFrame, cfg: Iterable[Mapping], axis: Axis = DAILY) -> DataFrame:
+def add_indicators(bars: DataFrame, cfg: Iterable[Mapping], axis: Axis = Axis()) -> DataFrame:
     """Bars with the columns of all requested indicators: one layout, one shuffle."""
     todo = resolve(cfg)
     back = max([ind.lookback(p) for ind, p, _ in todo], default=0)
@@ -429,7 +429,7 @@ def add_indicators(bars: DataFrame, cfg: Iterable[Mapping], axis: Axis = DAILY)
     return b.rows()
 
 
-def model_frame(bars: DataFrame, cfg: Iterable[Mapping], axis: Axis = DAILY) -> DataFrame:
+def model_frame(bars: DataFrame, cfg: Iterable[Mapping], axis: Axis = Axis()) -> DataFrame:
     """Indicator columns as the regression step wants them: a window of 5 unless given,
     SMA(5) always present, rows with any null dropped."""
     simple = [{"name": c["name"], "window": int(c.get("window", 5))} for c in cfg]

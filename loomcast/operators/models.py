@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomcast.functions import evaluation as ev
 from loomcast.functions.expr import next_weekday, ratio, with_next_open
 from loomcast.functions.quantiles import exact_quantiles
-from loomcast.functions.series import DAILY, DAY, Axis, epoch_seconds, join_stats, lay_out
+from loomcast.functions.series import DAY, Axis, epoch_seconds, join_stats, lay_out
 from loomcast.operators.features import LAGS, WINDOWS, feature_names, make_features, split_ordered
 from loomcast.sources.bars import latest_row
 
@@ -76,13 +76,13 @@ def regression_features(df: DataFrame) -> list[str]:
     return feats
 
 
-def add_target(df: DataFrame, axis: Axis = DAILY) -> DataFrame:
+def add_target(df: DataFrame, axis: Axis = Axis()) -> DataFrame:
     """Next row's close; the last row of a series has none."""
     b = lay_out(df, axis, 0, 1)
     return b.add({"target": b.lead("close")}).rows()
 
 
-def train_and_predict(df: DataFrame, axis: Axis = DAILY) -> tuple[DataFrame, DataFrame]:
+def train_and_predict(df: DataFrame, axis: Axis = Axis()) -> tuple[DataFrame, DataFrame]:
     """Per series: fit next close on the indicator columns; (model, rows with y_pred).
     Rows without a target are left out, each prediction stays on its own row."""
     feats = regression_features(df)
@@ -108,7 +108,7 @@ LOSSES = {"ls": "squared", "lad": "absolute", "squared_error": "squared", "absol
 def train_boosted(
     bars: DataFrame, loss: str = "ls", train: float = 0.7, valid: float = 0.1, iterations: int = 100,
     max_depth: int = 3, step: float = 0.1, seed: int = 42, lags: Sequence[int] = LAGS,
-    windows: Sequence[int] = WINDOWS, axis: Axis = DAILY, per_split: bool = False,
+    windows: Sequence[int] = WINDOWS, axis: Axis = Axis(), per_split: bool = False,
 ):
     """Boosted trees on all series together; (model, scored test rows).
 
@@ -155,7 +155,7 @@ def train_record(scored: DataFrame, run_id: Column) -> DataFrame:
     )
 
 
-def predict_next(bars: DataFrame, cfg: Sequence[Mapping], axis: Axis = DAILY, calendar: DataFrame | None = None) -> DataFrame:
+def predict_next(bars: DataFrame, cfg: Sequence[Mapping], axis: Axis = Axis(), calendar: DataFrame | None = None) -> DataFrame:
     """Next close per series: model fitted on all rows with a target, applied to the
     features of the last row, dated with the next business day."""
     from loomcast.operators.indicators import model_frame
@@ -174,7 +174,7 @@ def predict_next(bars: DataFrame, cfg: Sequence[Mapping], axis: Axis = DAILY, ca
 # -- baselines and intervals ---------------------------------------------------
 
 def baseline_forecast(
-    bars: DataFrame, lookback_days: int = 30, horizon: int = 7, strategy: str = "mean", axis: Axis = DAILY,
+    bars: DataFrame, lookback_days: int = 30, horizon: int = 7, strategy: str = "mean", axis: Axis = Axis(),
     calendar: DataFrame | None = None,
 ) -> DataFrame:
     """(key, horizon, date, y_pred): mean, median or last close of the last days of each
@@ -205,7 +205,7 @@ def business_day_after(day: Column, n: Column) -> Column:
     return F.date_add(base, (n + F.lit(2) * F.floor(total / 5)).cast("int"))
 
 
-def interval_forecast(bars: DataFrame, horizons: Sequence[int], axis: Axis = DAILY) -> DataFrame:
+def interval_forecast(bars: DataFrame, horizons: Sequence[int], axis: Axis = Axis()) -> DataFrame:
     """(key, horizon, p5, p50, p95, vector): quantiles of the h-row returns of a series
     applied to its current close; vector = p50/current - 1."""
     hs = sorted({int(h) for h in horizons if int(h) > 0})
@@ -249,7 +249,7 @@ def ensemble_weighted(predictions: DataFrame, weights: Mapping[str, float] | Non
 
 
 def ensemble_stacked(
-    predictions: DataFrame, models: Sequence[str], train: float = 0.7, valid: float = 0.1, axis: Axis = DAILY
+    predictions: DataFrame, models: Sequence[str], train: float = 0.7, valid: float = 0.1, axis: Axis = Axis()
 ) -> DataFrame:
     """Level 2: least squares of the actual on the models' predictions, fitted on each
     series' valid rows; predictions for its test rows."""

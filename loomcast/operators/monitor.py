@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from loomcast.functions.expr import anchored, ratio
 from loomcast.functions.series import Axis, join_on, lay_out
 
-#: Raw samples: many per second and stream, so slices of an hour.
-SAMPLES = Axis(key=("series",), order="ts", slice_seconds=3_600)
+#: Raw samples: any number per stream, so its length is measured.
+SAMPLES = Axis(key=("series",), order="ts")
 
 
 def increases(samples: DataFrame, axis: Axis = SAMPLES) -> DataFrame:
@@ -141,7 +141,7 @@ def matching(df: DataFrame, label: str, pattern: str, negate: bool = False) -> D
     return df.where(~hit if negate else hit)
 
 
-def used_percent(df: DataFrame, available: str, total: str) -> Column:
+def used_percent(available: str, total: str) -> Column:
     """100·(1 - available/total)."""
     return 100 * (1 - ratio(available, total))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.functions.quantiles import exact_quantiles
-from loomcast.functions.series import DAILY, Axis, join_stats, lay_out
+from loomcast.functions.series import Axis, join_stats, lay_out
 
 KEY = ("symbol",)
 
@@ -37,7 +37,7 @@ def fill_mean(df: DataFrame, col: str = "close", key=KEY, fit_on: Column | None
     return out.withColumn(col, F.coalesce(col, "_avg")).drop("_avg")
 
 
-def fill_previous(df: DataFrame, col: str = "close", axis: Axis = DAILY) -> DataFrame:
+def fill_previous(df: DataFrame, col: str = "close", axis: Axis = Axis()) -> DataFrame:
     """Last known value; leading nulls stay null."""
     return lay_out(df, axis).last_known({"_fill": F.col(col)}).rows().withColumn(col, F.col("_fill")).drop("_fill")
 
@@ -193,7 +193,7 @@ SCALING = {"なし": None, "MinMaxスケーリング": "minmax", "標準化": "s
 GENERATED = {"なし": None, "多項式展開": "poly", "対数変換": "log", "Box-Cox変換": "boxcox"}
 
 
-def preprocess(df: DataFrame, cfg: Mapping, col: str = "close", axis: Axis = DAILY) -> DataFrame:
+def preprocess(df: DataFrame, cfg: Mapping, col: str = "close", axis: Axis = Axis()) -> DataFrame:
     """Apply the enabled blocks of a plan's preprocessing section, in their fixed order."""
 
     def enabled(block: str, names: Mapping | None):

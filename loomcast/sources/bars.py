@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomcast.functions.series import DAILY, Axis, lay_out
+from loomcast.functions.series import Axis, lay_out
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -111,7 +111,7 @@ def closes(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", "close")
 
 
-def latest_snapshot(bars: DataFrame, window: int = 5, axis: Axis = DAILY) -> DataFrame:
+def latest_snapshot(bars: DataFrame, window: int = 5, axis: Axis = Axis()) -> DataFrame:
     """Last close of each symbol, its simple moving average, and the time of that bar."""
     b = lay_out(bars.select(*axis.key, axis.order, "close"), axis, lookback=window - 1)
     df = b.add({"sma": b.roll(F.avg, "close", window)}).rows()
@@ -123,7 +123,7 @@ def latest_snapshot(bars: DataFrame, window: int = 5, axis: Axis = DAILY) -> Dat
     )
 
 
-def latest_row(df: DataFrame, axis: Axis = DAILY) -> DataFrame:
+def latest_row(df: DataFrame, axis: Axis = Axis()) -> DataFrame:
     """The last row of each series (partial aggregate, no sort)."""
     rest = [c for c in df.columns if c not in axis.key]
     order = F.struct(axis.order, *axis.tie)

@@ -50,6 +50,8 @@ def run_available(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
 
+    # sessions of one key merge inside each map task before the shuffle
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     q = (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", os.path.join(root, "checkpoint"))
@@ -92,6 +94,12 @@ def deduplicated(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(ids))
 
 
+def recorded(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The rows another job wrote to its ``folder``, as a stream (in order of writing)."""
+    names = [f.name for f in schema.fields]
+    return read_stream(spark, os.path.join(folder, "data"), schema).select(*names)
+
+
 # -- alert hold ------------------------------------------------------------------
 
 ALERT_OUTPUT = "series string, since timestamp, fired_at timestamp, state string"
@@ -102,8 +110,8 @@ def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> Data
     """FIRING and RESOLVED transitions of a condition that must hold ``hold_seconds``.
 
     ``evals``: (series, at TIMESTAMP, bad BOOLEAN), one row per evaluation.  It is meant to
-    follow a windowed aggregate, so a series brings one row per evaluation step, however
-    many samples it had.  The state is three numbers per series.
+    read a recorded series (``recorded``), so a series brings one row per evaluation step,
+    however many samples it had.  The state is three numbers per series.
     """
     hold, every = hold_seconds * 1_000_000, every_seconds * 1_000_000
 
@@ -136,6 +144,29 @@ def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> Data
     )
 
 
+# -- dead letters ------------------------------------------------------------------
+
+def route(df: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], folder: str, timeout: int = 600) -> tuple[str, str]:
+    """Split every micro-batch in two (valid events, dead letters) and write both, one
+    folder per batch; gives the two folders.  A batch run again replaces its own output."""
+    good, dead = os.path.join(folder, "good"), os.path.join(folder, "dead")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for part, path in zip(split(batch), (good, dead)):
+            part.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+
+    q = (
+        df.writeStream.option("checkpointLocation", os.path.join(folder, "checkpoint"))
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    if not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(f"routing did not finish in {timeout} s")
+    return good, dead
+
+
 # -- joins, tails, increments ------------------------------------------------------
 
 def ready_stream(checks: DataFrame, runs: DataFrame, within: str = "1 hour") -> DataFrame:

@@ -6,6 +6,6 @@ from __future__ import annotations
 def load():
     """All registered queries by name."""
     from loomcast.suite import registry
-    from loomcast.suite import indicator_queries, run_queries, series_queries, state_queries  # noqa: F401
+    from loomcast.suite import indicator_queries, monitor_queries, run_queries, series_queries, state_queries, stream_queries  # noqa: F401
 
     return registry.REGISTRY

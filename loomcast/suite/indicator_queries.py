@@ -116,7 +116,7 @@ indicator("cmf", {"name": "CMF"}, {"cmf": ("CMF_20", 6)},
           over(_MF, f"{full('sum', 'mf', 20)} / {full('sum', 'volume', 20)} AS cmf"))
 indicator("adl", {"name": "ADL"}, {"adl": ("ADL", 5)}, over(_MF, f"sum(mf) OVER {RUN} AS adl"))
 _DAYRUN = "(PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-indicator("vwap", {"name": "VWAP"}, {"vwap": ("VWAP", 7)},
+indicator("vwap", {"name": "VWAP"}, {"vwap": ("VWAP", 9)},
           over("SELECT * FROM bars_hourly",
                f"sum((high + low + close) / 3 * volume) OVER {_DAYRUN} / sum(volume) OVER {_DAYRUN} AS vwap"), hourly=True)
 _UO = over(over(B, f"{lag('close')} AS pc"), "CASE WHEN pc IS NOT NULL THEN close - least(low, pc) END AS bp",

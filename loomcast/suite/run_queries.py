@@ -26,7 +26,7 @@ _ONE = f"""{DAILY_SQL}, {_FRAME}, m AS (SELECT symbol, regr_slope(target, x) AS
 
 
 def _train(t):
-    return md.train_and_predict(model_frame(t.bars_daily(), []), DAILY)
+    return md.train_and_predict(model_frame(t.bars_daily(), [], DAILY), DAILY)
 
 
 query("ols_one_feature", ["symbol", "n"], {"slope": 6, "intercept": 3}, f"{_ONE} SELECT * FROM m")(
@@ -43,7 +43,7 @@ JOIN m USING (symbol) WHERE d <= 30""")(
 query("predict_next", ["symbol", "as_of", "next_day"], {"close": 2, "next_close": 3}, f"""{_ONE}
 SELECT symbol, ts AS as_of, close, {NEXT} AS next_day, intercept + slope * x AS next_close
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM fr) z JOIN m USING (symbol) WHERE d = 1""")(
-    lambda t: md.predict_next(t.bars_daily(), []))
+    lambda t: md.predict_next(t.bars_daily(), [], DAILY))
 
 _TWO = """SELECT symbol, n, b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM (
   SELECT *, (c22 * y1 - c12 * y2) / (c11 * c22 - c12 * c12) AS b1, (c11 * y2 - c12 * y1) / (c11 * c22 - c12 * c12) AS b2 FROM (
@@ -54,7 +54,7 @@ _F2 = f"""f2 AS (SELECT symbol, lag_1 AS x1, sma_5 AS x2, target AS y FROM (
         f"{full('avg', 'close', 5)} AS sma_5", f"lead(close, 1) OVER ({W}) AS target")}) q
   WHERE lag_1 IS NOT NULL AND l5 IS NOT NULL AND sma_5 IS NOT NULL AND target IS NOT NULL)"""
 query("ols_multi", ["symbol", "n"], {"b0": 3, "b1": 6, "b2": 6}, f"{DAILY_SQL}, {_F2} {_TWO.format(src='f2')}")(
-    lambda t: md.fit_ols(ft.make_features(t.bars_daily(), (1,), (5,)), ["lag_1", "sma_5"]).select(
+    lambda t: md.fit_ols(ft.make_features(t.bars_daily(), (1,), (5,), DAILY), ["lag_1", "sma_5"]).select(
         "symbol", "n", F.col("intercept").alias("b0"), F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2")))
 query("ols_wide", ["symbol", "n"], {"slope": 6, "intercept": 3}, f"""{ctes('bars_wide')}, fr AS (
   SELECT symbol, {lag('close')} AS x, close AS y FROM bars_wide)
@@ -70,12 +70,12 @@ def _wide_ols(t):
 
 @query("boosted_forecast", ["symbol", "ts"], {"y_true": 2, "y_pred": 2})
 def _boosted(t):
-    return md.train_boosted(t.bars_daily(), iterations=5, lags=(1, 2, 5), windows=(5, 20))[1]
+    return md.train_boosted(t.bars_daily(), iterations=5, lags=(1, 2, 5), windows=(5, 20), axis=DAILY)[1]
 
 
 @query("boosted_record", ["run_id"], {"r2": 4, "mae": 2, "rmse": 2, "mape": 3})
 def _record(t):
-    scored = md.train_boosted(t.bars_daily(), loss="lad", iterations=2, lags=(1, 5), windows=(5,))[1]
+    scored = md.train_boosted(t.bars_daily(), loss="lad", iterations=2, lags=(1, 5), windows=(5,), axis=DAILY)[1]
     return md.train_record(scored, short_id("run-", "symbol"))
 
 
@@ -91,7 +91,7 @@ v AS (SELECT b.symbol, any_value(last) AS last, {_agg} AS y_pred FROM bars_daily
 h AS (SELECT symbol, y_pred, day AS date, row_number() OVER (PARTITION BY symbol ORDER BY day) AS horizon
       FROM v JOIN days ON day > last)
 SELECT symbol, horizon, date, y_pred FROM h WHERE horizon <= 7""")(
-        lambda t, s=_s: md.baseline_forecast(t.bars_daily(), 30, 7, s))
+        lambda t, s=_s: md.baseline_forecast(t.bars_daily(), 30, 7, s, DAILY))
 
 query("interval_forecast", ["symbol", "horizon"], {"p5": 4, "p50": 4, "p95": 4, "vector": 7}, f"""{DAILY_SQL},
 r AS (SELECT symbol, h AS horizon, close / lag(close, CAST(h AS INTEGER)) OVER (PARTITION BY symbol, h ORDER BY ts) - 1 AS ret
@@ -100,7 +100,7 @@ q AS (SELECT symbol, horizon, quantile_cont(ret, 0.05) AS q5, quantile_cont(ret,
       FROM r WHERE ret IS NOT NULL GROUP BY symbol, horizon),
 n AS (SELECT symbol, max_by(close, ts) AS now FROM bars_daily GROUP BY symbol)
 SELECT symbol, horizon, now * (1 + q5) AS p5, now * (1 + q50) AS p50, now * (1 + q95) AS p95, q50 AS vector
-FROM q JOIN n USING (symbol)""")(lambda t: md.interval_forecast(t.bars_daily(), [5, 1, 20, 0, 5]))
+FROM q JOIN n USING (symbol)""")(lambda t: md.interval_forecast(t.bars_daily(), [5, 1, 20, 0, 5], DAILY))
 
 
 def two_models(t):
@@ -126,7 +126,7 @@ _MODEL2 = _TWO.format(src="(SELECT symbol, naive AS x1, ma AS x2, close AS y FRO
 query("ensemble_stacked", ["symbol", "ts"], {"y_true": 2, "y_pred": 3}, f"""{DAILY_SQL}, {_TM}, {_PARTS},
 m AS ({_MODEL2})
 SELECT p.symbol, ts, close AS y_true, b0 + b1 * naive + b2 * ma AS y_pred FROM parts p JOIN m ON p.symbol = m.symbol
-WHERE split = 'test'""")(lambda t: md.ensemble_stacked(two_models(t), ["naive", "ma"]))
+WHERE split = 'test'""")(lambda t: md.ensemble_stacked(two_models(t), ["naive", "ma"], axis=DAILY))
 
 # -- evaluation -----------------------------------------------------------------------------
 

@@ -39,7 +39,7 @@ query("close_records", ["symbol", "ts"], {"close": 2}, f"{DAILY_SQL} SELECT symb
 query("latest_snapshot", ["symbol", "as_of"], {"close": 2, "sma": 4}, f"""{DAILY_SQL}
 SELECT symbol, ts AS as_of, close, sma FROM (
   SELECT *, {full('avg', 'close', 5)} AS sma, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM bars_daily)
-WHERE d = 1""")(lambda t: bs.latest_snapshot(t.bars_daily(), 5))
+WHERE d = 1""")(lambda t: bs.latest_snapshot(t.bars_daily(), 5, DAILY))
 
 query("latest_row", ["symbol", "ts"], {"close": 2, "high": 2}, f"""{DAILY_SQL}
 SELECT b.symbol, b.ts, close, high FROM bars_daily b
@@ -62,21 +62,21 @@ _NEED = " AND ".join(f"{c} IS NOT NULL" for c in [*ft.feature_names(), "target"]
 # a mean of 120 two-decimal prices can end in exactly ...5 at four decimals
 _RND = {c: {"ret": 7, "sma": 5}.get(c[:3], 4) for c in [*ft.feature_names(), "target"]}
 query("features", ["symbol", "ts"], _RND, f"{DAILY_SQL} SELECT * FROM ({_features_sql()}) f WHERE {_NEED}")(
-    lambda t: ft.make_features(t.bars_daily()))
+    lambda t: ft.make_features(t.bars_daily(), axis=DAILY))
 query("feature_counts", ["symbol", "features", "samples", "dropped"], {}, f"""{DAILY_SQL}
 SELECT symbol, {len(ft.feature_names())} AS features, count(*) FILTER ({_NEED}) AS samples,
        count(*) FILTER (NOT ({_NEED})) AS dropped FROM ({_features_sql()}) f GROUP BY symbol""")(
-    lambda t: ft.feature_counts(t.bars_daily()))
+    lambda t: ft.feature_counts(t.bars_daily(), axis=DAILY))
 query("feature_ma_block", ["symbol", "ts"], {"ma": 7}, f"""{DAILY_SQL}
 {over('SELECT symbol, ts, close FROM bars_daily', f"close / ({full('avg', 'close', 30)}) - 1 AS ma")}""")(
-    lambda t: ft.feature_block(t.bars_daily(), {"name": "MovingAverage", "params": {"window": 30}}))
+    lambda t: ft.feature_block(t.bars_daily(), {"name": "MovingAverage", "params": {"window": 30}}, DAILY))
 query("features_wide", ["symbol", "ts"], {"lag_1": 2, "sma_20": 4, "vol_20": 4, "returns_5d": 7, "target": 2}, f"""{ctes('bars_wide')}
 SELECT * FROM ({over('SELECT symbol, ts, close FROM bars_wide', f"{lag('close')} AS lag_1", f"{lag('close', 5)} AS lag_5",
     f"{full('avg', 'close', 20)} AS sma_20", f"{full('stddev_samp', 'close', 20)} AS vol_20",
     f"close / {lag('close')} - 1 AS returns_1d", f"close / {lag('close', 5)} - 1 AS returns_5d",
     f"lead(close, 1) OVER ({W}) AS target")}) f
 WHERE lag_1 IS NOT NULL AND lag_5 IS NOT NULL AND vol_20 IS NOT NULL AND target IS NOT NULL""")(
-    lambda t: ft.make_features(t.bars_wide().select("symbol", "ts", "close"), (1, 5), (20,)))
+    lambda t: ft.make_features(t.bars_wide().select("symbol", "ts", "close"), (1, 5), (20,), DAILY))
 
 _RSI = (f"close - {lag('close')} AS d",)
 query("model_frame", ["symbol", "ts"], {"SMA_5": 4, "SMA_10": 4, "RSI_5": 6}, f"""{DAILY_SQL}
@@ -86,7 +86,7 @@ SELECT symbol, ts, SMA_5, SMA_10, 100 - 100 / (1 + g / CASE WHEN l = 0 THEN 1e-9
       f"{full('avg', 'close', 5)} AS SMA_5", f"{full('avg', 'close', 10)} AS SMA_10",
       f"{full('avg', 'dg', 5)} AS g", f"{full('avg', 'dl', 5)} AS l")}) x
 WHERE SMA_10 IS NOT NULL AND g IS NOT NULL""")(
-    lambda t: model_frame(t.bars_daily(), [{"name": "rsi"}, {"name": "sma", "window": 10}]))
+    lambda t: model_frame(t.bars_daily(), [{"name": "rsi"}, {"name": "sma", "window": 10}], DAILY))
 
 # -- splits and calendar -----------------------------------------------------------
 
@@ -95,10 +95,10 @@ SPLIT = """SELECT *, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train'
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n
       FROM {src})"""
 query("split_ordered", ["symbol", "ts", "split"], {"close": 2}, f"{DAILY_SQL} {SPLIT.format(src='bars_daily')}")(
-    lambda t: ft.split_ordered(t.bars_daily()))
+    lambda t: ft.split_ordered(t.bars_daily(), axis=DAILY))
 query("split_union_fit_rows", ["symbol", "ts"], {"close": 2}, f"""{DAILY_SQL}
 SELECT * FROM ({SPLIT.format(src='bars_daily')}) s WHERE split IN ('train', 'valid')""")(
-    lambda t: ft.union_rows([ft.split_ordered(t.bars_daily()).where(F.col("split") == s) for s in ("train", "valid")]))
+    lambda t: ft.union_rows([ft.split_ordered(t.bars_daily(), axis=DAILY).where(F.col("split") == s) for s in ("train", "valid")]))
 
 HOLIDAYS = (dt.date(1995, 1, 2), dt.date(1996, 12, 25), dt.date(2000, 7, 4))
 SPAN = (dt.date(1990, 1, 1), dt.date(2010, 12, 31))
@@ -113,7 +113,7 @@ SELECT symbol, ts, (SELECT min(day) FROM opens WHERE day > ts) AS next_open FROM
     lambda t: with_next_open(t.bars_daily(), "ts", business_calendar(t.spark, *SPAN, HOLIDAYS)))
 query("last30", ["symbol", "ts"], {"close": 2}, f"""{DAILY_SQL}
 SELECT symbol, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM bars_daily)
-WHERE d <= 30""")(lambda t: ft.last_n(t.bars_daily(), 30))
+WHERE d <= 30""")(lambda t: ft.last_n(t.bars_daily(), 30, DAILY))
 
 # -- preprocessing -------------------------------------------------------------------
 
@@ -129,11 +129,11 @@ def prep(name: str, fn, rnd: dict, sql: str, keep=("symbol", "ts")) -> None:
 
 prep("dropna", pp.drop_missing, {"close": 2}, f"{GAPPY} SELECT * FROM bars_gappy WHERE close IS NOT NULL")
 prep("mean", pp.fill_mean, {"close": 4}, f"{GAPPY}, {_ST} SELECT symbol, ts, coalesce(close, a) AS close {_FROM}")
-prep("ffill", pp.fill_previous, {"close": 2}, f"""{GAPPY}
+prep("ffill", lambda d: pp.fill_previous(d, axis=DAILY), {"close": 2}, f"""{GAPPY}
 SELECT symbol, ts, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM bars_gappy""")
 prep("sigma", lambda d: pp.drop_sigma(d, k=1.5), {"close": 2},
      f"{GAPPY}, {_ST} SELECT symbol, ts, close {_FROM} WHERE abs(close - a) <= 1.5 * ss")
-prep("outlier_removal", lambda d: pp.preprocess(d, {"OutlierRemoval": {"enable": "On", "value": {"threshold": 1}}}),
+prep("outlier_removal", lambda d: pp.preprocess(d, {"OutlierRemoval": {"enable": "On", "value": {"threshold": 1}}}, axis=DAILY),
      {"close": 2}, f"{GAPPY}, {_ST} SELECT symbol, ts, close {_FROM} WHERE abs(close - a) <= ss")
 prep("iqr", lambda d: pp.drop_iqr(d, k=0.5, max_rows=DAILY.max_rows), {"close": 2},
      f"{GAPPY}, {_ST} SELECT symbol, ts, close {_FROM} WHERE close BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)")
@@ -143,7 +143,7 @@ prep("zscore", lambda d: pp.zscore(d, limit=1.5), {"z": 6},
 prep("robust", lambda d: pp.robust_scale(d, max_rows=DAILY.max_rows), {"scaled": 6},
      f"{GAPPY}, {_ST} SELECT symbol, ts, (close - q2) / (q3 - q1) AS scaled {_FROM}")
 prep("minmax", pp.min_max, {"scaled": 7}, f"{GAPPY}, {_ST} SELECT symbol, ts, (close - lo) / (hi - lo) AS scaled {_FROM}")
-prep("normalize_range", lambda d: pp.preprocess(d, {"Normalization": {"enable": "On", "value": {"range": [-1, 1]}}}),
+prep("normalize_range", lambda d: pp.preprocess(d, {"Normalization": {"enable": "On", "value": {"range": [-1, 1]}}}, axis=DAILY),
      {"close_norm": 7}, f"{GAPPY}, {_ST} SELECT symbol, ts, (close - lo) / (hi - lo) * 2 - 1 AS close_norm {_FROM}")
 prep("standard", pp.standardise, {"scaled": 6}, f"{GAPPY}, {_ST} SELECT symbol, ts, (close - a) / sp AS scaled {_FROM}")
 prep("log", pp.log_transform, {"log": 7},
@@ -156,7 +156,7 @@ query("prep_boxcox_fit", ["symbol"], {"lam": 1}, f"""{GAPPY}, g AS (
   FROM bars_gappy, (SELECT CAST(x AS DOUBLE) / 2 AS lam FROM generate_series(-4, 4) s(x)) WHERE close > 0 GROUP BY symbol, lam)
 SELECT symbol, max_by(lam, -n / 2.0 * ln(v) + (lam - 1) * sl) AS lam FROM g WHERE v > 0 GROUP BY symbol""")(
     lambda t: pp.box_cox_fit(t.bars_gappy()))
-query("prep_poly", ["symbol", "ts"], {"high_x_high": 2, "high_x_low": 2, "low_x_low": 2}, f"""{DAILY_SQL}
+query("prep_poly", ["symbol", "ts"], {"high_x_high": 0, "high_x_low": 0, "low_x_low": 0}, f"""{DAILY_SQL}
 SELECT symbol, ts, high * high AS high_x_high, high * low AS high_x_low, low * low AS low_x_low FROM bars_daily""")(
     lambda t: pp.polynomial(t.bars_daily(), ["high", "low"]))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcast.functions.quantiles import exact_quantiles
-from loomcast.functions.series import DAILY, ema_memory, lay_out
+from loomcast.functions.series import DAILY, Axis, ema_memory, lay_out
 from loomcast.operators.features import exponential_smoothing, make_features, split_ordered
 from loomcast.operators.indicators import REGISTRY, add_indicators, column_names
 from loomcast.operators.preprocess import fill_previous
@@ -64,6 +64,17 @@ def test_layout_really_splits(bars):
     assert sizes["count"].max() < 60 and len(sizes) > 10
 
 
+def test_slices_adapt_to_crowded_times(spark):
+    """Nearly all rows lie in a thousandth of the time span."""
+    x = np.concatenate([np.arange(5000) * 1e-3, [10_000.0, 20_000.0]])
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "ts": x, "close": x}))
+    b = lay_out(df, Axis(block_rows=100), 7)
+    sizes = b.own().df.groupBy("_blk").count().toPandas()["count"]
+    assert sizes.max() <= 200 and len(sizes) > 30
+    got = b.add({"m": b.roll(F.avg, "close", 8)}).rows().orderBy("ts").toPandas()
+    close_to(got["m"], pd.Series(x).rolling(8).mean())
+
+
 @pytest.mark.parametrize("axis", [ONE, MANY], ids=["one", "many"])
 def test_rolling_and_ema_match_pandas(bars, pdf, axis):
     got = by_key(add_indicators(bars, [
@@ -114,7 +125,7 @@ def test_long_series_ema_with_many_leaves(spark):
     rng = np.random.default_rng(0)
     x = np.where(rng.random(n) < 0.01, 1e9, rng.normal(size=n))
     df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "ts": np.arange(n), "close": x}))
-    axis = DAILY.but(max_rows=None, block_rows=3000, slice_seconds=100)
+    axis = Axis(block_rows=3000)
     for alpha in (0.6, 0.05):
         b = lay_out(df, axis, ema_memory(alpha))
         got = b.ema({"e": ("close", alpha)}).rows().orderBy("ts").toPandas()
