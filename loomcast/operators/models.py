@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomcast.functions import evaluation as ev
 from loomcast.functions.expr import next_weekday, ratio, with_next_open
@@ -20,7 +21,7 @@ from loomcast.sources.bars import latest_row
 # -- least squares -------------------------------------------------------------
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     """Least-norm solution of the k x k normal equations of one group per row, on the
     correlation scale; collinear columns share their weight."""

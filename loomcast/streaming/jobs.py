@@ -132,6 +132,8 @@ def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> Data
                 out.append((since, since + hold, "FIRING"))
             last = at
         state.update((since, last, firing))
+        if not out:
+            return
         yield pd.DataFrame({
             "series": [key[0]] * len(out),
             "since": pd.to_datetime([o[0] for o in out], unit="us"),
