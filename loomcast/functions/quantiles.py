@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcast.functions.series import join_on, longest_series
-from loomcast.session import shared_dir
+from loomcast.functions.series import join_on, longest_series, settle
 
 #: Groups up to this many rows use the built-in exact aggregate (one map per group).
 DIRECT_ROWS = 1 << 20
@@ -22,22 +21,24 @@ def exact_quantiles(
 
     For large groups a sketch (bounded memory, combined map-side) gives a value range
     that must hold the wanted ranks; exact counts below it and exact value counts
-    inside it (about 4/SKETCH of the rows) then pick the two neighbouring values.
+    inside it (about 6/SKETCH of the rows) then pick the two neighbouring values.
     """
     df = df.where(F.col(col).isNotNull())
     longest = max_rows if max_rows is not None else longest_series(df, key)
     if longest <= direct_rows:
         return df.groupBy(*key).agg(*[F.percentile(col, F.lit(p)).alias(n) for n, p in probs.items()])
 
-    slack = 2.0 / SKETCH
+    # sketch error (1/SKETCH) and the step to the next rank: 2 rows and more in groups
+    # above SKETCH rows; smaller groups are looked at whole
+    slack = 3.0 / SKETCH
+    small = F.col("_n") <= SKETCH
     bounds = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(col).alias("_min"),
         F.max(col).alias("_max"),
         *[_bracket(col, p, slack).alias(f"_b_{n}") for n, p in probs.items()],
     )
-    shared_dir(df.sparkSession)
-    bounds = bounds.checkpoint()
+    bounds = settle(bounds)
     wanted_rows = bounds.count() * len(probs)
     # one row per group and quantile
     wanted = bounds.select(
@@ -46,8 +47,8 @@ def exact_quantiles(
             F.struct(
                 F.lit(n).alias("name"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if p <= slack else F.col(f"_b_{n}")[0]).alias("lo"),
-                (F.col("_max") if p >= 1 - slack else F.col(f"_b_{n}")[1]).alias("hi"),
+                F.when(small | F.lit(p <= slack), F.col("_min")).otherwise(F.col(f"_b_{n}")[0]).alias("lo"),
+                F.when(small | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col(f"_b_{n}")[1]).alias("hi"),
             ) for n, p in probs.items()
         ])).alias("_q"),
     ).select(*key, "_q.*")

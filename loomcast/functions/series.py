@@ -94,17 +94,33 @@ def join_on(left: DataFrame, right: DataFrame, cols, how: str = "inner", rows: i
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small result (a row per series or run) to the checkpoint folder, so that
+    the steps after it read it instead of computing it again."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def join_stats(df: DataFrame, stats: DataFrame, key) -> DataFrame:
     """Bring one row of statistics per group back to the rows.
 
-    The statistics are written to the checkpoint folder and counted first: while they
-    are small they are broadcast, so the rows (and a hot group) are not shuffled at all.
+    The statistics are settled and counted first: while they are small they are
+    broadcast, so the rows (and a hot group) are not shuffled at all.
     """
-    shared_dir(df.sparkSession)
-    stats = stats.checkpoint()
+    stats = settle(stats)
     return join_on(df, stats, key, rows=stats.count())
 
 
+def at_last(cols, *order: str) -> list[Column]:
+    """Columns of the last row of a group, as aggregates.
+
+    One aggregate per column with a plain order column: Spark hash-aggregates
+    fixed-width columns, a struct of them would be sorted.
+    """
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return [F.max_by(c, by).alias(c) for c in cols]
+
+
 class Blocks:
     """A laid out frame; immutable, every method gives a new one."""
 

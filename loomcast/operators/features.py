@@ -146,6 +146,11 @@ def split_ordered(
     return out.withColumn("split", split).drop("rn", "_n")
 
 
+def fit_rows(df: DataFrame) -> DataFrame:
+    """Training and validation rows together."""
+    return df.where(F.col("split").isin("train", "valid"))
+
+
 def union_rows(parts: Iterable[DataFrame]) -> DataFrame:
     """Row union by column name."""
     parts = list(parts)

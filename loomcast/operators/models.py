@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from loomcast.functions import evaluation as ev
 from loomcast.functions.expr import next_weekday, ratio, with_next_open
 from loomcast.functions.quantiles import exact_quantiles
-from loomcast.functions.series import DAY, Axis, epoch_seconds, join_stats, lay_out
-from loomcast.operators.features import LAGS, WINDOWS, feature_names, make_features, split_ordered
+from loomcast.functions.series import DAY, Axis, at_last, epoch_seconds, join_on, join_stats, lay_out, settle
+from loomcast.operators.features import LAGS, WINDOWS, feature_names, fit_rows, make_features, split_ordered
 from loomcast.sources.bars import latest_row
 
 # -- least squares -------------------------------------------------------------
@@ -141,7 +141,7 @@ def train_boosted(
         maxIter=iterations, maxDepth=max_depth, stepSize=step, seed=seed, lossType=LOSSES[loss],
         labelCol="label", predictionCol="_growth",
     )
-    model = gbt.fit(data.where(F.col("split").isin("train", "valid")).select("features", "label"))
+    model = gbt.fit(fit_rows(data).select("features", "label"))
     scored = model.transform(data.where(F.col("split") == "test"))
     return model, scored.withColumn("y_pred", F.col("close") * (1 + F.col("_growth"))).select(
         *axis.key, axis.order, "close", F.col("target").alias("y_true"), "y_pred"
@@ -182,8 +182,8 @@ def baseline_forecast(
     series, for the next business days."""
     if strategy not in ("mean", "median", "last"):
         raise ValueError("strategy is mean, median or last")
-    last = bars.groupBy(*axis.key).agg(F.max(axis.order).alias("_last"))
-    rows = join_stats(bars, last, axis.key)
+    last = settle(bars.groupBy(*axis.key).agg(F.max(axis.order).alias("_last")))
+    rows = join_on(bars, last, axis.key, rows=last.count())
     dtype = dict(bars.dtypes)[axis.order]
     age = epoch_seconds(F.col("_last"), dtype) - epoch_seconds(F.col(axis.order), dtype)
     recent = rows.where(age < lookback_days * DAY)
@@ -191,7 +191,7 @@ def baseline_forecast(
         value = exact_quantiles(recent, axis.key, "close", {"y_pred": 0.5}, axis.max_rows)
         value = value.join(last, list(axis.key))
     else:
-        agg = F.avg("close") if strategy == "mean" else F.max_by("close", F.struct(axis.order, *axis.tie))
+        agg = F.avg("close") if strategy == "mean" else at_last(("close",), axis.order, *axis.tie)[0]
         value = recent.groupBy(*axis.key).agg(agg.alias("y_pred"), F.max("_last").alias("_last"))
     steps = value.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return steps.select(*axis.key, "horizon", business_day_after(F.to_date("_last"), F.col("horizon")).alias("date"), "y_pred")
@@ -219,7 +219,7 @@ def interval_forecast(bars: DataFrame, horizons: Sequence[int], axis: Axis = Axi
         F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_r{h}").alias("ret")) for h in hs])).alias("_x"),
     ).select(*axis.key, "_x.*")
     q = exact_quantiles(long, (*axis.key, "horizon"), "ret", {"_q5": 0.05, "_q50": 0.5, "_q95": 0.95}, axis.max_rows)
-    now = bars.groupBy(*axis.key).agg(F.max_by("close", F.struct(axis.order, *axis.tie)).alias("_now"))
+    now = bars.groupBy(*axis.key).agg(at_last(("close",), axis.order, *axis.tie)[0].alias("_now"))
     out = join_stats(q, now, axis.key)
     return out.select(
         *axis.key, "horizon",

@@ -15,19 +15,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import anchored, ratio
-from loomcast.functions.series import Axis, join_on, lay_out
+from loomcast.functions.series import Axis, at_last, lay_out
 
 #: Raw samples: any number per stream, so its length is measured.
 SAMPLES = Axis(key=("series",), order="ts")
 
 
-def increases(samples: DataFrame, axis: Axis = SAMPLES) -> DataFrame:
-    """Columns ``inc`` (counter step; after a reset the new value), ``prev_ts``; the
+def increases(samples: DataFrame, axis: Axis = SAMPLES, counters: Mapping[str, str] = {"inc": "v"}) -> DataFrame:
+    """A step column per counter (after a reset the new value) and ``prev_ts``; the
     first sample of a stream has none."""
     b = lay_out(samples, axis, 1)
-    b = b.add({"_pv": b.lag("v"), "prev_ts": b.lag(axis.order)})
-    step = F.when(F.col("v") >= F.col("_pv"), F.col("v") - F.col("_pv")).otherwise(F.col("v"))
-    return b.add({"inc": F.when(F.col("_pv").isNotNull(), step)}).drop("_pv").rows()
+    b = b.add({"prev_ts": b.lag(axis.order), **{f"_p{n}": b.lag(c) for n, c in counters.items()}})
+    steps = {
+        n: F.when(F.col(f"_p{n}").isNotNull(), F.when(F.col(c) >= F.col(f"_p{n}"), F.col(c) - F.col(f"_p{n}")).otherwise(F.col(c)))
+        for n, c in counters.items()
+    }
+    return b.add(steps).drop(*[f"_p{n}" for n in counters]).rows()
 
 
 def window_start(ts, seconds: int) -> Column:
@@ -48,11 +51,9 @@ def irate(samples: DataFrame, seconds: int = 300, axis: Axis = SAMPLES) -> DataF
     """(key..., w, irate): per-second increase between the last two samples of a window."""
     inc = increases(samples, axis).withColumn("w", window_start(axis.order, seconds))
     dt = (F.unix_micros(F.col(axis.order).cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / 1e6
-    last = inc.groupBy(*axis.key, "w").agg(
-        F.max_by(F.struct("inc", "prev_ts", dt.alias("dt")), F.struct(axis.order, *axis.tie)).alias("_l")
-    )
-    both = F.col("_l.prev_ts").cast("timestamp") >= F.col("w")
-    return last.where(both).select(*axis.key, "w", F.try_divide(F.col("_l.inc"), F.col("_l.dt")).alias("irate"))
+    last = inc.withColumn("dt", dt).groupBy(*axis.key, "w").agg(*at_last(("inc", "prev_ts", "dt"), axis.order, *axis.tie))
+    both = F.col("prev_ts").cast("timestamp") >= F.col("w")
+    return last.where(both).select(*axis.key, "w", ratio("inc", "dt").alias("irate"))
 
 
 def sliding_rate(
@@ -96,10 +97,12 @@ def success_ratio(rates: DataFrame, ok: str, failed: str, clamp: float | None =
     return p.select(*by, "ok", "failed", pct.alias("pct"))
 
 
-def mean_runtime(total_rates: DataFrame, count_rates: DataFrame, by: Sequence[str]) -> DataFrame:
-    """rate(sum)/rate(count)."""
-    t = total_rates.select(*by, F.col("rate").alias("_t"))
-    return count_rates.join(t, list(by)).select(*by, ratio("_t", "rate").alias("mean"))
+def mean_runtime(samples: DataFrame, total: str, count: str, seconds: int = 300, axis: Axis = SAMPLES) -> DataFrame:
+    """rate(total)/rate(count) of two counters of the same stream, in one pass."""
+    inc = increases(samples, axis, {"_total": total, "_count": count})
+    return inc.groupBy(*axis.key, window_start(axis.order, seconds).alias("w")).agg(
+        F.try_divide(F.sum("_total"), F.sum("_count")).alias("mean")
+    )
 
 
 def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str], le: str = "le", cum: str = "cum", top: float | None = None) -> DataFrame:
@@ -225,8 +228,7 @@ def signal_catalog(spark) -> DataFrame:
 
 def instant(samples: DataFrame, axis: Axis = SAMPLES) -> DataFrame:
     """Latest value per series."""
-    order = F.struct(axis.order, *axis.tie)
-    return samples.groupBy(*axis.key).agg(F.max_by("v", order).alias("v"), F.max(axis.order).alias("ts"))
+    return samples.groupBy(*axis.key).agg(*at_last(("v",), axis.order, *axis.tie), F.max(axis.order).alias("ts"))
 
 
 def range_query(
@@ -241,17 +243,17 @@ def range_query(
     """
     t = F.unix_micros(F.col(axis.order).cast("timestamp")) / 1e6
     first_step = F.greatest(F.ceil((t - F.lit(start)) / step), F.lit(0)).cast("long")
-    order = F.struct(axis.order, *axis.tie)
     last = (
         samples.where((t >= start - stale) & (t <= end))
+        .withColumn("_t", t)
         .groupBy(*axis.key, first_step.alias("_k"))
-        .agg(F.max_by(F.struct("v", t.alias("t")), order).alias("_l"))
+        .agg(*at_last(("v", "_t"), axis.order, *axis.tie))
     )
-    lasting = F.floor((F.col("_l.t") + stale - start) / step).cast("long")
+    lasting = F.floor((F.col("_t") + stale - start) / step).cast("long")
     upto = F.least(lasting, F.lit((end - start) // step))
     steps = last.where(upto >= F.col("_k")).withColumn("_at", F.explode(F.sequence("_k", upto)))
     return steps.groupBy(*axis.key, F.timestamp_seconds(F.lit(start) + F.col("_at") * step).alias("at")).agg(
-        F.max_by("_l.v", "_l.t").alias("v")
+        F.max_by("v", "_t").alias("v")
     )
 
 

@@ -80,21 +80,28 @@ def ticker_map(spark: SparkSession, *maps: Mapping[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(merged.items()), "name string, ticker string")
 
 
-def resolve_universe(plans: DataFrame, tickers: DataFrame, key: str = "plan_id", universe: str = "universe") -> DataFrame:
+def resolve_universe(
+    plans: DataFrame, tickers: DataFrame | Mapping[str, str], key: str = "plan_id", universe: str = "universe"
+) -> DataFrame:
     """Market names to tickers in place; unknown names stay, the order is kept.
 
-    ``tickers`` is a dimension: Spark broadcasts it while it is below its size limit.
+    A map out of the configuration becomes a literal: no shuffle.  A table is joined
+    name by name (Spark broadcasts it while it is below its size limit) and the names
+    of a plan, a handful, are put together again.
     """
-    names = plans.select(key, F.posexplode_outer(universe).alias("_pos", "_name"))
+    if isinstance(tickers, Mapping):
+        lookup = F.create_map(*[F.lit(x) for kv in tickers.items() for x in kv])
+        return plans.withColumn(universe, F.transform(universe, lambda n: F.coalesce(F.try_element_at(lookup, n), n)))
+    rest = [c for c in plans.columns if c not in (key, universe)]
+    names = plans.select(key, *rest, F.posexplode_outer(universe).alias("_pos", "_name"))
     t = tickers.select(F.col("name").alias("_tn"), "ticker")
     hit = names.join(t, F.col("_name") == F.col("_tn"), "left")
+    item = F.struct(F.col("_pos").alias("p"), F.coalesce("ticker", "_name").alias("v"))
     back = hit.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
-            F.col("_pos").alias("p"), F.coalesce("ticker", "_name").alias("v"))))).alias("_u")
-    )
-    return plans.drop(universe).join(
-        back.select(key, F.transform("_u", lambda s: s["v"]).alias(universe)), key, "left"
+        *[F.any_value(c).alias(c) for c in rest],
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), item))).alias("_u"),
     )
+    return back.select(key, *rest, F.transform("_u", lambda s: s["v"]).alias(universe))
 
 
 def ancestors(path: str) -> list[str]:

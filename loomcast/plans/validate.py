@@ -124,11 +124,16 @@ def series_bounds(bars: DataFrame, key: Sequence[str] = ("symbol",), ts: str = "
 
 
 def check_pairs(actual: DataFrame, pred: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that have only an actual or only a prediction."""
-    a = actual.select(*on).distinct().withColumn("_a", F.lit(True))
-    p = pred.select(*on).distinct().withColumn("_p", F.lit(True))
-    j = a.join(p, list(on), "full").where(F.col("_a").isNull() | F.col("_p").isNull())
-    return j.select(*on, F.when(F.col("_a").isNull(), "no actual").otherwise("no prediction").alias("rule"))
+    """Keys that have only an actual or only a prediction.
+
+    One aggregate over both sides: repeated keys are combined before the shuffle.
+    """
+    both = actual.select(*on, F.lit(1).alias("_a"), F.lit(0).alias("_p")).unionByName(
+        pred.select(*on, F.lit(0).alias("_a"), F.lit(1).alias("_p"))
+    )
+    seen = both.groupBy(*on).agg(F.max("_a").alias("_a"), F.max("_p").alias("_p"))
+    one = seen.where(F.col("_a") + F.col("_p") < 2)
+    return one.select(*on, F.when(F.col("_a") == 0, "no actual").otherwise("no prediction").alias("rule"))
 
 
 def check_ensemble(df: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomcast.functions.series import Axis, lay_out
+from loomcast.functions.series import Axis, at_last, lay_out
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -115,16 +115,10 @@ def latest_snapshot(bars: DataFrame, window: int = 5, axis: Axis = Axis()) -> Da
     """Last close of each symbol, its simple moving average, and the time of that bar."""
     b = lay_out(bars.select(*axis.key, axis.order, "close"), axis, lookback=window - 1)
     df = b.add({"sma": b.roll(F.avg, "close", window)}).rows()
-    last = F.max_by(F.struct("close", "sma"), axis.order)
-    return (
-        df.groupBy(*axis.key)
-        .agg(last.alias("_l"), F.max(axis.order).alias("as_of"))
-        .select(*axis.key, "_l.close", "_l.sma", "as_of")
-    )
+    return df.groupBy(*axis.key).agg(*at_last(("close", "sma"), axis.order), F.max(axis.order).alias("as_of"))
 
 
 def latest_row(df: DataFrame, axis: Axis = Axis()) -> DataFrame:
-    """The last row of each series (partial aggregate, no sort)."""
+    """The last row of each series: a partial aggregate, no window."""
     rest = [c for c in df.columns if c not in axis.key]
-    order = F.struct(axis.order, *axis.tie)
-    return df.groupBy(*axis.key).agg(F.max_by(F.struct(*rest), order).alias("_l")).select(*axis.key, "_l.*")
+    return df.groupBy(*axis.key).agg(*at_last(rest, axis.order, *axis.tie))

@@ -113,10 +113,16 @@ def keys(view: DataFrame) -> DataFrame:
     return view.select(*KEY).distinct()
 
 
-def update_existing(view: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Updates whose key is there, and the rejected rest."""
-    have = view.select(*KEY)
-    return updates.join(have, list(KEY), "left_semi"), updates.join(have, list(KEY), "left_anti")
+def mark_updates(view: DataFrame, updates: DataFrame) -> DataFrame:
+    """``outcome`` APPLIED when the key is there, else REJECTED."""
+    have = view.select(*KEY).distinct().withColumn("_have", F.lit(True))
+    outcome = F.when(F.col("_have"), "APPLIED").otherwise("REJECTED")
+    return updates.join(have, list(KEY), "left").withColumn("outcome", outcome).drop("_have")
+
+
+def update_existing(view: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates whose key is there."""
+    return updates.join(view.select(*KEY), list(KEY), "left_semi")
 
 
 def create_new(view: DataFrame, incoming: DataFrame) -> DataFrame:

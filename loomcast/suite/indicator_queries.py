@@ -215,3 +215,22 @@ query("exp_smooth_adjusted", ["symbol", "ts"], {"smooth": 4},
       f"{ctes('hourly_rn', recursive=True)},\n" + recur(
           {"num": ("b.close", "b.close + 0.8 * p.num"), "den": ("1.0::DOUBLE", "1.0 + 0.8 * p.den")}, "num / den AS smooth"))(
     lambda t: exponential_smoothing(t.bars_hourly(), 0.2, True, HOURLY))
+
+# -- many series -------------------------------------------------------------------
+
+WIDE = "SELECT symbol, ts, high, low, close FROM bars_wide"
+query("indicators_wide", ["symbol", "ts"], {"sma": 4, "rsi": 6, "upper": 4, "k": 5}, f"""{ctes('bars_wide')}
+SELECT symbol, ts, sma, rsi, sma + 2 * sd AS upper, {full('avg', 'raw', 3)} AS k FROM (
+  SELECT *, 100 - 100 / (1 + ag / CASE WHEN al = 0 THEN 1e-9 ELSE al END) AS rsi,
+    CASE WHEN hh <> ll THEN 100 * ((close - ll) / (hh - ll)) END AS raw FROM (
+  {over(over(over(WIDE, f"close - {lag('close')} AS d"), 'CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS g',
+        'CASE WHEN d IS NOT NULL THEN -least(d, 0) END AS l'),
+        f"{full('avg', 'g', 14)} AS ag", f"{full('avg', 'l', 14)} AS al", f"{full('avg', 'close', 20)} AS sma",
+        f"{full('stddev_pop', 'close', 20)} AS sd", f"{full('max', 'high', 14)} AS hh", f"{full('min', 'low', 14)} AS ll")}) y) z""")(
+    lambda t: add_indicators(t.bars_wide(), [{"name": n} for n in ("SMA", "RSI", "BBANDS", "STOCH")], DAILY).withColumnsRenamed(
+        {"SMA_20": "sma", "RSI_14": "rsi", "BBANDS_20_UPPER": "upper", "STOCH_14_3_3_K": "k"}))
+# the recursion of all series advances together, one row of each per step
+query("ema_wide", ["symbol", "ts"], {"ema": 4}, f"""{ctes('bars_wide', recursive=True)},
+wide_rn AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER ({W}) AS rn FROM bars_wide),
+{recur(cascade(20, 1), 'e1 AS ema', 'wide_rn')}""")(
+    lambda t: add_indicators(t.bars_wide(), [{"name": "EMA"}], DAILY).withColumnRenamed("EMA_20", "ema"))

@@ -27,17 +27,13 @@ def counts(t):
     return t.samples().drop("total")
 
 
-def totals(t):
-    return t.samples().select("series", "ts", F.col("total").alias("v"))
-
-
-query("mon_rate", ["series", "w"], {"rate": 7}, f"{INC} {rate_sql('minute', 60)}")(lambda t: ntz(mn.rate(counts(t), 60), "w"))
+query("mon_rate", ["series", "w"], {"rate": 7}, f"{INC} {rate_sql('minute', 60)}")(lambda t: ntz(mn.rate(counts(t), 60, t.sample_axis()), "w"))
 query("mon_irate", ["series", "w"], {"irate": 7}, f"""{INC}, z AS (SELECT *, date_trunc('hour', ts) AS w,
   row_number() OVER (PARTITION BY series, date_trunc('hour', ts) ORDER BY ts DESC) AS d FROM inc)
 SELECT series, w, inc / ((epoch_us(ts) - epoch_us(pts)) / 1e6) AS irate FROM z WHERE d = 1 AND pts >= w""")(
-    lambda t: ntz(mn.irate(counts(t), 3600), "w"))
+    lambda t: ntz(mn.irate(counts(t), 3600, t.sample_axis()), "w"))
 query("mon_sum", ["w"], {"sum": 7, "avg": 7}, f"""{INC} SELECT w, sum(rate) AS sum, avg(rate) AS avg
-FROM ({rate_sql('hour', 3600)}) GROUP BY w""")(lambda t: ntz(mn.across(mn.rate(counts(t), 3600)), "w"))
+FROM ({rate_sql('hour', 3600)}) GROUP BY w""")(lambda t: ntz(mn.across(mn.rate(counts(t), 3600, t.sample_axis())), "w"))
 query("mon_sum_by_le", ["le"], {"cum": 1}, """
 SELECT le, CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) AS DOUBLE) AS cum FROM events,
   (VALUES (1.0::DOUBLE), (5.0), (10.0), (50.0), (100.0), (500.0), (1e9)) b(le) GROUP BY le""")(
@@ -46,10 +42,10 @@ _OKF = """SELECT w, sum(CASE WHEN series = 'purchase' THEN rate ELSE 0 END) AS o
   sum(CASE WHEN series = 'error' THEN rate ELSE 0 END) AS failed FROM r GROUP BY w"""
 query("mon_ratio", ["w"], {"ok": 7, "failed": 7, "pct": 6}, f"""{INC}, r AS ({rate_sql('hour', 3600)}), p AS ({_OKF})
 SELECT *, 100 * (ok / nullif(ok + failed, 0)) AS pct FROM p""")(
-    lambda t: ntz(mn.success_ratio(mn.rate(counts(t), 3600), "purchase", "error"), "w"))
+    lambda t: ntz(mn.success_ratio(mn.rate(counts(t), 3600, t.sample_axis()), "purchase", "error"), "w"))
 query("mon_ratio_clamp", ["w"], {"ok": 7, "failed": 7, "pct": 6}, f"""{INC}, r AS ({rate_sql('hour', 3600)}), p AS ({_OKF})
 SELECT *, 100 * ok / greatest(ok + failed, 1) AS pct FROM p""")(
-    lambda t: ntz(mn.success_ratio(mn.rate(counts(t), 3600), "purchase", "error", clamp=1), "w"))
+    lambda t: ntz(mn.success_ratio(mn.rate(counts(t), 3600, t.sample_axis()), "purchase", "error", clamp=1), "w"))
 
 BOUNDS = (1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1e9)
 _BUCKETS = """b AS (SELECT CAST(ts AS DATE) AS d, le, CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) AS DOUBLE) AS cum
@@ -63,7 +59,7 @@ FROM q WHERE cum >= 0.95 * total AND total > 0 GROUP BY d""")(
         mn.bucketise(t.read("events"), "value", BOUNDS, [F.to_date("ts").alias("d")]), 0.95, ["d"], top=1e9))
 query("mon_mean_runtime", ["series", "w"], {"mean": 5}, f"""{INC}, c AS ({rate_sql('hour', 3600)}), s AS ({rate_sql('hour', 3600, 'tinc')})
 SELECT c.series, c.w, s.rate / nullif(c.rate, 0) AS mean FROM c JOIN s ON c.series = s.series AND c.w = s.w""")(
-    lambda t: ntz(mn.mean_runtime(mn.rate(totals(t), 3600), mn.rate(counts(t), 3600), ["series", "w"]), "w"))
+    lambda t: ntz(mn.mean_runtime(t.samples(), "total", "v", 3600, t.sample_axis()), "w"))
 query("mon_label_regex", ["event_type", "n"], {}, """
 SELECT event_type, count(*) AS n FROM events WHERE regexp_full_match(event_type, '.i.*') GROUP BY event_type""")(
     lambda t: mn.matching(t.read("events"), "event_type", ".i.*").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
@@ -79,11 +75,11 @@ FROM bars_hourly""")(
 query("mon_cpu_busy", ["w"], {"busy": 6}, f"""{INC}, z AS (SELECT *, date_trunc('hour', ts) AS w,
   row_number() OVER (PARTITION BY series, date_trunc('hour', ts) ORDER BY ts DESC) AS d FROM inc)
 SELECT w, 100 - avg(inc / ((epoch_us(ts) - epoch_us(pts)) / 1e6)) * 100 AS busy FROM z WHERE d = 1 AND pts >= w GROUP BY w""")(
-    lambda t: ntz(mn.across(mn.irate(counts(t), 3600), col="irate").select("w", mn.busy_percent(F.col("avg")).alias("busy")), "w"))
+    lambda t: ntz(mn.across(mn.irate(counts(t), 3600, t.sample_axis()), col="irate").select("w", mn.busy_percent(F.col("avg")).alias("busy")), "w"))
 query("mon_record_15s", ["series", "w_end"], {"value": 6}, f"""{INC}, st AS (
   SELECT series, (epoch_us(ts) // 15000000) * 15 AS s, sum(inc) AS i FROM inc GROUP BY 1, 2)
 SELECT series, make_timestamp((s + 15 * k) * 1000000) AS w_end, coalesce(sum(i), 0) / 60 * 60 AS value
-FROM st, generate_series(1, 4) g(k) GROUP BY 1, 2""")(lambda t: ntz(mn.sliding_rate(counts(t)), "w_end"))
+FROM st, generate_series(1, 4) g(k) GROUP BY 1, 2""")(lambda t: ntz(mn.sliding_rate(counts(t), axis=t.sample_axis()), "w_end"))
 query("mon_alert_hold", ["symbol", "since", "fired_at", "until", "evals"], {}, f"""{ctes('bars_hourly')}, e AS (
   SELECT symbol, ts, volume < 4 AS bad, lag(volume < 4) OVER ({W}) AS pb, {lag('ts')} AS pts FROM bars_hourly),
 i AS (SELECT *, sum(CASE WHEN pb IS NULL OR pb <> bad OR epoch(ts) - epoch(pts) > 3600 THEN 1 ELSE 0 END) OVER ({W}) AS island FROM e)

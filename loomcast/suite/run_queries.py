@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import short_id
-from loomcast.functions.series import DAILY, lay_out
+from loomcast.functions.series import DAILY, lay_out, settle
 from loomcast.operators import check as ck
 from loomcast.operators import features as ft
 from loomcast.operators import models as md
@@ -204,7 +204,7 @@ SELECT run_id, check_id, r2, rmse, mape, r2 >= threshold AS passed, action, reas
 def _cycle(t):
     """Bars -> indicators -> regression -> predictions -> scores -> check -> decision."""
     pred = md.prediction_rows(_train(t)[1], F.lit("plan_demo"), F.col("symbol"))
-    scores = ck.score_runs(pred)
+    scores = settle(ck.score_runs(pred))
     meta = scores.select("plan_id", "run_id", F.lit("r2").alias("metric"), F.lit(0.8).alias("threshold"))
     reports = ck.check_report(ck.metric_checks(scores, meta), scores)
     acts = ck.decide(reports).select("run_id", "action", "reason")

@@ -96,9 +96,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count
       FROM {src})"""
 query("split_ordered", ["symbol", "ts", "split"], {"close": 2}, f"{DAILY_SQL} {SPLIT.format(src='bars_daily')}")(
     lambda t: ft.split_ordered(t.bars_daily(), axis=DAILY))
-query("split_union_fit_rows", ["symbol", "ts"], {"close": 2}, f"""{DAILY_SQL}
+query("split_fit_rows", ["symbol", "ts"], {"close": 2}, f"""{DAILY_SQL}
 SELECT * FROM ({SPLIT.format(src='bars_daily')}) s WHERE split IN ('train', 'valid')""")(
-    lambda t: ft.union_rows([ft.split_ordered(t.bars_daily(), axis=DAILY).where(F.col("split") == s) for s in ("train", "valid")]))
+    lambda t: ft.fit_rows(ft.split_ordered(t.bars_daily(), axis=DAILY)))
+query("bars_union", ["symbol", "ts"], {"close": 2}, f"""{ctes('bars_daily', 'bars_wide')}
+SELECT symbol, ts, close FROM bars_daily UNION ALL SELECT CAST(symbol AS VARCHAR), ts, close FROM bars_wide""")(
+    lambda t: ft.union_rows([bs.closes(t.bars_daily()), bs.closes(t.bars_wide()).withColumn("symbol", F.col("symbol").cast("string"))]))
 
 HOLIDAYS = (dt.date(1995, 1, 2), dt.date(1996, 12, 25), dt.date(2000, 7, 4))
 SPAN = (dt.date(1990, 1, 1), dt.date(2010, 12, 31))

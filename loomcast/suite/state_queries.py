@@ -71,13 +71,8 @@ query("doc_exists", ["id"], {}, f"{LOG}, k AS ({KEYS}) SELECT id FROM k WHERE id
     lambda t: dc.exists(log(t), keys(t)))
 
 
-def _update(t):
-    ok, bad = dc.update_existing(dc.latest(log(t)), keys(t))
-    return ok.withColumn("outcome", F.lit("APPLIED")).unionByName(bad.withColumn("outcome", F.lit("REJECTED")))
-
-
 query("doc_update_rejects", ["id", "outcome"], {}, f"""{LOG}, k AS ({KEYS})
-SELECT id, CASE WHEN id IN (SELECT id FROM status_log) THEN 'APPLIED' ELSE 'REJECTED' END AS outcome FROM k""")(_update)
+SELECT id, CASE WHEN id IN (SELECT id FROM status_log) THEN 'APPLIED' ELSE 'REJECTED' END AS outcome FROM k""")(lambda t: dc.mark_updates(log(t), keys(t)))
 query("doc_create_conflicts", ["seq", "id", "outcome"], {}, f"""{LOG}, known AS (SELECT DISTINCT id FROM status_log),
 inc AS (SELECT o_orderkey AS seq, concat('do-', CAST(o_custkey AS VARCHAR)) AS id FROM orders)
 SELECT seq, i.id, CASE WHEN k.id IS NOT NULL OR row_number() OVER (PARTITION BY i.id ORDER BY seq) > 1

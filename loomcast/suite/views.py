@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.functions.series import DAILY, HOURLY, Axis, lay_out
+from loomcast.functions.series import DAILY, Axis, lay_out, longest_series
+from loomcast.operators.monitor import SAMPLES
 from loomcast.sources.bars import to_bars
 
 #: Raw events in time order per type: five types, so each may be very long (measured).
@@ -20,6 +21,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._longest: int | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
@@ -98,10 +100,20 @@ class Tables:
         )
 
     # -- samples ---------------------------------------------------------------------
+    def longest_type(self) -> int:
+        """Events of the most frequent type, measured once."""
+        if self._longest is None:
+            self._longest = longest_series(self.read("events"), EVENTS.key)
+        return self._longest
+
+    def sample_axis(self) -> Axis:
+        """There is one sample per event."""
+        return SAMPLES.but(max_rows=self.longest_type())
+
     def samples(self) -> DataFrame:
         """Counter per event type that resets every day; ``total`` counts up the values."""
         ev = self.read("events").withColumn("_day", F.to_date("ts"))
-        b = lay_out(ev, EVENTS).running_sum(
+        b = lay_out(ev, EVENTS.but(max_rows=self.longest_type())).running_sum(
             {"v": F.lit(1).cast("long"), "total": F.col("value")}, within=("_day",)
         )
         return b.rows().select(

@@ -176,3 +176,12 @@ def test_exact_quantiles_of_large_groups(spark, bars, pdf):
     one = exact_quantiles(big, ("symbol",), "close", probs).first()
     two = exact_quantiles(big, ("symbol",), "close", probs, direct_rows=10).first()
     close_to(list(one)[1:], list(two)[1:])
+
+
+@pytest.mark.parametrize("n", [1, 2, 258, 9_999, 10_001, 12_345, 47_000])
+def test_exact_quantiles_at_many_sizes(spark, n):
+    df = spark.range(n).select(F.lit("s").alias("symbol"), F.randn(7).alias("close")).repartition(4)
+    probs = {f"p{i}": p for i, p in enumerate((0.0002, 0.01, 0.25, 0.5, 0.777, 0.9999))}
+    one = exact_quantiles(df, ("symbol",), "close", probs).first()
+    two = exact_quantiles(df, ("symbol",), "close", probs, direct_rows=0).first()
+    close_to(list(one)[1:], list(two)[1:])
