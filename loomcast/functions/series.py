@@ -190,8 +190,7 @@ class Blocks:
         carry = tails.select(
             *b.part, *within, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in cols]
         )
-        on = [*b.part, *within]
-        out = join_on(local.drop(*steps), carry, on)
+        out = _join_carry(local.drop(*steps), carry, [*b.part, *within])
         out = out.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in cols})
         return b._with(out.drop(*[f"_c_{n}" for n in cols]))
 
@@ -210,7 +209,7 @@ class Blocks:
         )
         before = Window.partitionBy(*b.axis.key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
         carry = tails.select(*b.part, *[F.last(f"_s_{n}", True).over(before).alias(f"_c_{n}") for n in cols])
-        out = join_on(local.drop(*steps), carry, b.part)
+        out = _join_carry(local.drop(*steps), carry, b.part)
         out = out.withColumns({n: F.coalesce(n, f"_c_{n}") for n in cols})
         return b._with(out.drop(*[f"_c_{n}" for n in cols]))
 
@@ -290,6 +289,13 @@ def ema_memory(alpha: float) -> int:
     return math.ceil(80.0 / -math.log1p(-alpha)) + 1
 
 
+def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
+    """Bring one row per block back to the rows: settled and counted, then broadcast; else
+    joined on the blocks' own partitioning.  Either way the rows are not shuffled again."""
+    carry = settle(carry)
+    return rows.join(F.broadcast(carry) if carry.count() <= BROADCAST_ROWS else carry, on)
+
+
 def _one_block(df: DataFrame, axis: Axis) -> Blocks:
     return Blocks(df.withColumn("_blk", F.lit(0).cast("long")), axis, split=False, halo=False)
 
@@ -303,9 +309,9 @@ def _longest_and_span(df: DataFrame, axis: Axis, at: Column) -> tuple[int, int]:
 
 def lay_out(df: DataFrame, axis: Axis, lookback: int = 0, lookahead: int = 0) -> Blocks:
     """Lay a frame out in blocks whose windows may look ``lookback`` rows back and
-    ``lookahead`` rows ahead.  Rows without a time have no place in a series and are
+    ``lookahead`` rows ahead.  Rows without a key or time belong to no series and are
     left out (the series check reports them)."""
-    df = df.where(F.col(axis.order).isNotNull())
+    df = df.dropna("any", subset=[*axis.key, axis.order])
     if axis.max_rows is not None and axis.max_rows <= axis.block_rows:
         return _one_block(df, axis)
     at = epoch_micros(F.col(axis.order), dict(df.dtypes)[axis.order])
@@ -341,6 +347,6 @@ def lay_out(df: DataFrame, axis: Axis, lookback: int = 0, lookahead: int = 0) ->
         targets += [F.col("_ahead"), F.array_compact(F.array("_reach"))]
     plan = plan.select(*axis.key, "_slice", "_home", F.array_distinct(F.concat(*targets)).alias("_targets"))
 
-    laid = join_on(rows, plan, [*axis.key, "_slice"], rows=n_slices)
+    laid = rows.join(F.broadcast(plan) if n_slices <= BROADCAST_ROWS else plan, [*axis.key, "_slice"])
     laid = laid.withColumn("_blk", F.explode("_targets")).withColumn("_own", F.col("_blk") == F.col("_home"))
     return Blocks(laid.drop("_slice", "_home", "_targets"), axis, split=True, halo=True)

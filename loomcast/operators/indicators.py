@@ -33,13 +33,15 @@ class Indicator:
     lookahead: Callable[[Params], int] = lambda p: 0
     #: needs totals from the start of the series: built after the halo is dropped
     running: bool = False
+    #: built on EMAs
+    recursive: bool = False
 
 
 REGISTRY: dict[str, Indicator] = {}
 
 
-def register(name: str, defaults: dict, outputs: tuple[str, ...], lookback, build, lookahead=None, running=False):
-    REGISTRY[name] = Indicator(defaults, outputs, lookback, build, lookahead or (lambda p: 0), running)
+def register(name, defaults: dict, outputs: tuple[str, ...], lookback, build, lookahead=None, running=False, recursive=False):
+    REGISTRY[name] = Indicator(defaults, outputs, lookback, build, lookahead or (lambda p: 0), running, recursive)
 
 
 # -- helpers -----------------------------------------------------------------
@@ -142,12 +144,14 @@ def _ema_lookback(depth: int):
 
 
 register("SMA", {"window": 20}, ("",), lambda p: _win(p) - 1, _sma)
-register("EMA", {"window": 20}, ("",), _ema_lookback(1), _ema)
+register("EMA", {"window": 20}, ("",), _ema_lookback(1), _ema, recursive=True)
 register("WMA", {"window": 20}, ("",), lambda p: _win(p) - 1, _wma)
-register("DEMA", {"window": 20}, ("",), _ema_lookback(2), _cascade(2, lambda e, p: 2 * e[0] - e[1]))
-register("TEMA", {"window": 20}, ("",), _ema_lookback(3), _cascade(3, lambda e, p: 3 * e[0] - 3 * e[1] + e[2]))
+register("DEMA", {"window": 20}, ("",), _ema_lookback(2), _cascade(2, lambda e, p: 2 * e[0] - e[1]),
+         recursive=True)
+register("TEMA", {"window": 20}, ("",), _ema_lookback(3), _cascade(3, lambda e, p: 3 * e[0] - 3 * e[1] + e[2]),
+         recursive=True)
 register("HMA", {"window": 20}, ("",), lambda p: _win(p) + math.isqrt(_win(p)), _hma)
-register("T3", {"window": 20, "volume_factor": 0.7}, ("",), _ema_lookback(6), _cascade(6, _t3))
+register("T3", {"window": 20, "volume_factor": 0.7}, ("",), _ema_lookback(6), _cascade(6, _t3), recursive=True)
 
 
 # -- oscillators -------------------------------------------------------------
@@ -297,10 +301,11 @@ def _coppock(b, p, names):
 
 
 register("MACD", {"fast": 12, "slow": 26, "signal": 9}, ("", "SIGNAL", "HIST"),
-         lambda p: ema_memory(span_alpha(_win(p, "slow"))) + ema_memory(span_alpha(_win(p, "signal"))), _macd)
+         lambda p: ema_memory(span_alpha(_win(p, "slow"))) + ema_memory(span_alpha(_win(p, "signal"))), _macd,
+         recursive=True)
 register("AROON", {"window": 25}, ("UP", "DOWN"), lambda p: _win(p), _aroon)
-register("ADX", {"window": 14}, ("",), lambda p: 2 * ema_memory(1.0 / _win(p)) + 1, _adx)
-register("DMI", {"window": 14}, ("PLUS", "MINUS"), lambda p: ema_memory(1.0 / _win(p)) + 1, _dmi)
+register("ADX", {"window": 14}, ("",), lambda p: 2 * ema_memory(1.0 / _win(p)) + 1, _adx, recursive=True)
+register("DMI", {"window": 14}, ("PLUS", "MINUS"), lambda p: ema_memory(1.0 / _win(p)) + 1, _dmi, recursive=True)
 register("ICHIMOKU", {"tenkan": 9, "kijun": 26, "senkou": 52},
          ("TENKAN", "KIJUN", "SPAN_A", "SPAN_B", "CHIKOU"),
          lambda p: _win(p, "senkou") + _win(p, "kijun"), _ichimoku, lambda p: _win(p, "kijun"))
@@ -322,7 +327,7 @@ def _atr(b, p, names):
 
 
 register("BBANDS", {"window": 20, "std": 2}, ("MID", "UPPER", "LOWER"), lambda p: _win(p) - 1, _bbands)
-register("ATR", {"window": 14}, ("",), lambda p: ema_memory(1.0 / _win(p)) + 1, _atr)
+register("ATR", {"window": 14}, ("",), lambda p: ema_memory(1.0 / _win(p)) + 1, _atr, recursive=True)
 register("STD", {"window": 20}, ("",), lambda p: _win(p) - 1,
          lambda b, p, names: b.add({names[0]: b.roll(F.stddev_samp, "close", _win(p))}))
 register("TR", {}, ("",), lambda p: 1, lambda b, p, names: b.add({names[0]: true_range(b)}))
@@ -416,7 +421,8 @@ def add_indicators(bars: DataFrame, cfg: Iterable[Mapping], axis: Axis = Axis())
     back = max([ind.lookback(p) for ind, p, _ in todo], default=0)
     ahead = max([ind.lookahead(p) for ind, p, _ in todo], default=0)
     b = lay_out(bars, axis, back, ahead)
-    for ind, p, names in todo:
+    # recurrences sort by leaf: the plain windows go first and share the first sort
+    for ind, p, names in sorted(todo, key=lambda t: t[0].recursive):
         if not ind.running:
             b = ind.build(b, p, names)
     running = [t for t in todo if t[0].running]

@@ -108,9 +108,12 @@ def check_reports(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def check_series(bars: DataFrame, key: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
-    """(key..., ts, n) of duplicate times, and of null times (ts null)."""
+    """(key..., ts, n) of duplicate times, and of rows without a key or time."""
     n = bars.groupBy(*key, ts).agg(F.count(F.lit(1)).alias("n"))
-    return n.where((F.col("n") > 1) | F.col(ts).isNull())
+    lost = F.col(ts).isNull()
+    for k in key:
+        lost = lost | F.col(k).isNull()
+    return n.where((F.col("n") > 1) | lost)
 
 
 def series_bounds(bars: DataFrame, key: Sequence[str] = ("symbol",), ts: str = "ts") -> DataFrame:
