@@ -39,38 +39,36 @@ def exact_quantiles(
         *[_bracket(col, p, slack).alias(f"_b_{n}") for n, p in probs.items()],
     )
     bounds = settle(bounds)
-    wanted_rows = bounds.count() * len(probs)
-    # one row per group and quantile
-    wanted = bounds.select(
-        *key, "_n",
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(n).alias("name"),
-                (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-                F.when(small | F.lit(p <= slack), F.col("_min")).otherwise(F.col(f"_b_{n}")[0]).alias("lo"),
-                F.when(small | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col(f"_b_{n}")[1]).alias("hi"),
-            ) for n, p in probs.items()
-        ])).alias("_q"),
-    ).select(*key, "_q.*")
+    groups = bounds.count()
+    rank = {n: F.lit(p) * (F.col("_n") - 1) for n, p in probs.items()}
+    lo = {n: F.when(small | F.lit(p <= slack), F.col("_min")).otherwise(F.col(f"_b_{n}")[0]) for n, p in probs.items()}
+    hi = {n: F.when(small | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col(f"_b_{n}")[1]) for n, p in probs.items()}
+
     # Value counts first: equal values collapse map-side, a hot group spreads by value.
-    values = df.groupBy(*key, col).agg(F.count(F.lit(1)).alias("_c"))
-    hits = join_on(values, wanted, key, rows=wanted_rows).where(F.col(col) <= F.col("hi"))
-    below = hits.where(F.col(col) < F.col("lo")).groupBy(*key, "name").agg(F.sum("_c").alias("_below"))
-    inside = hits.where(F.col(col) >= F.col("lo"))
-    inside = join_on(inside, below, (*key, "name"), "left", rows=wanted_rows)
-    run = Window.partitionBy(*key, "name").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_c").over(run)
-    inside = inside.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
+    values = df.groupBy(*key, F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    known = join_on(values, bounds, key, rows=groups)
+    below = known.groupBy(*key).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_x") < lo[n], F.col("_c"))), F.lit(0)).alias(f"_u_{n}") for n in probs]
+    )
+    # Only values inside a bracket go on, one row per bracket they lie in.
+    hits = F.array_compact(F.array(*[
+        F.when(F.col("_x").between(lo[n], hi[n]), F.struct(F.lit(n).alias("name"), rank[n].alias("rank"))) for n in probs
+    ]))
+    inside = known.select(*key, "_x", "_c", F.explode(hits).alias("_h")).select(*key, "_x", "_c", "_h.*")
+    inside = join_on(inside, settle(below), key, rows=groups)
+    under = F.lit(0)
+    for n in probs:
+        under = F.when(F.col("name") == n, F.col(f"_u_{n}")).otherwise(under)
+    run = Window.partitionBy(*key, "name").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_end", under + F.sum("_c").over(run)).withColumn("_start", F.col("_end") - F.col("_c"))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col(col)))
+    def at(r: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.col("_x")))
 
     lower, upper = at(F.floor("rank")), at(F.ceil("rank"))
     frac = F.max(F.col("rank") - F.floor("rank"))
     picked = inside.groupBy(*key, "name").agg((lower + frac * (upper - lower)).alias("_v"))
-    return picked.groupBy(*key).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in probs]
-    )
+    return picked.groupBy(*key).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in probs])
 
 
 def _bracket(col: str, p: float, slack: float) -> Column:

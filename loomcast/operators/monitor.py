@@ -190,9 +190,26 @@ def breached(value: Column, op: str, limit: float) -> Column:
     return value > F.lit(limit) if op == ">" else value < F.lit(limit)
 
 
-def alert_spans(evals: DataFrame, hold: int, every: int, axis: Axis) -> DataFrame:
+def alert_rules(values: DataFrame, every: int, rules: Sequence[Mapping] = ALERTS, series: str = "series", at: str = "at",
+                max_rows: int | None = None) -> DataFrame:
+    """Firing spans (alert, severity, since, fired_at, until, evals) of a rule set over
+    recorded values (series, at, value).  A value meets only the rules of its series."""
+    mine = F.lit(None).cast("array<struct<alert:string,severity:string,hold:int,bad:boolean>>")
+    for name in {r["series"] for r in rules}:
+        checks = F.array(*[
+            F.struct(F.lit(r["alert"]).alias("alert"), F.lit(r["severity"]).alias("severity"),
+                     F.lit(r["hold"]).alias("hold"), breached(F.col("value"), r["op"], r["limit"]).alias("bad"))
+            for r in rules if r["series"] == name
+        ])
+        mine = F.when(F.col(series) == name, checks).otherwise(mine)
+    evals = values.select(at, F.explode(mine).alias("_r")).select(at, "_r.*")
+    axis = Axis(key=("alert", "severity", "hold"), order=at, max_rows=max_rows)
+    return alert_spans(evals, F.col("hold"), every, axis).drop("hold")
+
+
+def alert_spans(evals: DataFrame, hold: int | Column, every: int, axis: Axis) -> DataFrame:
     """Firing spans (key..., since, fired_at, until, evals) of a condition that held for
-    at least ``hold`` seconds without a break.
+    at least ``hold`` seconds (a number or a key column) without a break.
 
     ``evals``: (key..., time, bad BOOLEAN), one row per evaluation.  A missing evaluation
     (a gap of more than ``every`` seconds) ends a span.  Consecutive bad rows get one

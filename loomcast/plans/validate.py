@@ -87,6 +87,21 @@ def check_request(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     ])
 
 
+def check_run_dsl(df: DataFrame, ids: Sequence[str], overrides: str | None = None) -> DataFrame:
+    """Run settings: version, plan_id and run_no required, run_no from 1; in the map
+    ``overrides`` only symbol, period and indicators."""
+    rules = [
+        mark(F.coalesce(F.col("version") != DSL_VERSION, F.lit(True)), "const", "version"),
+        mark(F.col("plan_id").isNull(), "required", "plan_id"),
+        mark(F.col("run_no").isNull(), "required", "run_no"),
+        mark(_outside("run_no", 1), "range", "run_no"),
+    ]
+    if overrides:
+        rest = F.array_except(F.map_keys(overrides), F.array(*[F.lit(k) for k in ("symbol", "period", "indicators")]))
+        rules.append(mark(F.size(rest) > 0, "additionalProperties", "overrides"))
+    return violations(df, ids, rules)
+
+
 def check_meta(df: DataFrame, ids: Sequence[str], known: Sequence[str], extra: str | None = None) -> DataFrame:
     """Run meta: thresholds from 0, horizon from 1, no unknown keys (in the map ``extra``)."""
     rules = [

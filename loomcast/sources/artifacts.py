@@ -40,12 +40,12 @@ TRACE_SCHEMA = T.StructType([
 def save_predictions(df: DataFrame, root: str) -> str:
     """Write predictions, one directory per (plan_id, run_id); a rerun replaces its own run.
 
-    Rows are spread by run and a hash of the row, so that one huge run is written by
-    many tasks; with dynamic overwrite other runs stay as they are.
+    Rows are rebalanced by run: the adaptive planner splits a huge run over many tasks
+    and puts small runs together, so neither giant nor countless tiny files are written.
+    With dynamic overwrite other runs stay as they are.
     """
-    spread = F.pmod(F.xxhash64("symbol", "ts", "horizon"), F.lit(64))
     (
-        df.repartition("plan_id", "run_id", spread)
+        df.hint("rebalance", "plan_id", "run_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")

@@ -107,6 +107,26 @@ def resample(bars: DataFrame, freq: str) -> DataFrame:
     )
 
 
+def adjust(bars: DataFrame) -> DataFrame:
+    """Prices on the scale of the adjusted close (splits and dividends taken out)."""
+    k = F.try_divide(F.col("adj_close"), F.col("close"))
+    return bars.withColumns({c: F.col(c) * k for c in ("open", "high", "low")} | {"close": F.col("adj_close")}).drop("adj_close")
+
+
+def load_bars(
+    spark: SparkSession, path: str, symbols: Iterable[str] | None, start, end, freq: str = "1d",
+    auto_adjust: bool = True, source: str = "parquet",
+) -> DataFrame:
+    """Read, check, adjust and down-sample; an empty result is an error."""
+    if freq not in FREQUENCIES:
+        raise ValueError(f"unknown frequency '{freq}', known: {', '.join(FREQUENCIES)}")
+    bars = require_rows(normalise(read_bars(spark, path, source, symbols, start, end)))
+    if auto_adjust:
+        bars = adjust(bars)
+    bars = bars if freq == "1d" else resample(bars, freq)
+    return bars.select("symbol", "ts", *REQUIRED)
+
+
 def closes(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", "close")
 

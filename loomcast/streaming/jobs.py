@@ -36,11 +36,12 @@ def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 def run_available(
     df: DataFrame, mode: str = "update", label: str = "stream", folder: str | None = None,
-    timeout: int = 600,
+    timeout: int = 600, counts: dict | None = None,
 ) -> DataFrame:
     """Process everything available now and give the written rows with their ``batch``.
 
     ``folder`` keeps data and offsets between calls: a second call only reads what is new.
+    ``counts`` receives the rows read and the rows dropped as later than the watermark.
     """
     spark = df.sparkSession
     root = folder or scratch(spark, label)
@@ -62,6 +63,9 @@ def run_available(
     if not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError(f"stream '{label}' did not finish in {timeout} s")
+    if counts is not None:
+        counts["rows"] = sum(p["numInputRows"] for p in q.recentProgress)
+        counts["late"] = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
     try:
         return spark.read.schema(schema).parquet(data)
     except AnalysisException:  # nothing arrived, so no folder was written
@@ -181,6 +185,14 @@ def ready_stream(checks: DataFrame, runs: DataFrame, within: str = "1 hour") ->
     return checks.join(done, near)
 
 
+def follow_after(tail: DataFrame, stream: DataFrame, key: str, seq: str) -> DataFrame:
+    """New entries only: those after the last one a tail has of their key (all, for a key
+    the tail does not have).  The tail is reduced to one number per key."""
+    last = tail.groupBy(F.col(key).alias("_k")).agg(F.max(seq).alias("_last"))
+    joined = stream.join(last, F.col(key) == F.col("_k"), "left")
+    return joined.where(F.col("_last").isNull() | (F.col(seq) > F.col("_last"))).drop("_k", "_last")
+
+
 def incremental(
     spark: SparkSession, folder: str, schema, job: Callable[[DataFrame], DataFrame], state: str,
     glob: str = "*.parquet", label: str = "refresh",

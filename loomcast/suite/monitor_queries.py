@@ -88,6 +88,25 @@ FROM i WHERE bad GROUP BY symbol, island HAVING epoch(max(ts)) - epoch(min(ts))
     lambda t: ntz(mn.alert_spans(t.bars_hourly().select("symbol", "ts", (F.col("volume") < 4).alias("bad")), 7200, 3600, HOURLY), "fired_at"))
 
 
+_RULES = [
+    {"alert": "ManyErrors", "series": "error", "op": ">", "limit": 3.0, "hold": 3600, "severity": "warning"},
+    {"alert": "FewErrors", "series": "error", "op": "<", "limit": 3.0, "hold": 7200, "severity": "info"},
+    {"alert": "FewSignups", "series": "signup", "op": "<", "limit": 4.0, "hold": 10800, "severity": "critical"},
+]
+query("mon_alert_rules", ["alert", "severity", "since", "fired_at", "until", "evals"], {}, f"""{ctes('bars_hourly')}, e AS (
+  SELECT alert, severity, hold, ts, CASE WHEN op = '>' THEN volume > lim ELSE volume < lim END AS bad FROM bars_hourly JOIN (VALUES
+    ('ManyErrors', 'error', '>', 3.0, 3600, 'warning'), ('FewErrors', 'error', '<', 3.0, 7200, 'info'),
+    ('FewSignups', 'signup', '<', 4.0, 10800, 'critical')) r(alert, series, op, lim, hold, severity) ON symbol = series),
+l AS (SELECT *, lag(bad) OVER w AS pb, lag(ts) OVER w AS pts FROM e WINDOW w AS (PARTITION BY alert ORDER BY ts)),
+i AS (SELECT *, sum(CASE WHEN pb IS NULL OR pb <> bad OR epoch(ts) - epoch(pts) > 3600 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY alert ORDER BY ts) AS island FROM l)
+SELECT alert, severity, min(ts) AS since, min(ts) + to_seconds(hold) AS fired_at, max(ts) AS until, count(*) AS evals
+FROM i WHERE bad GROUP BY alert, severity, hold, island HAVING epoch(max(ts)) - epoch(min(ts)) >= hold""")(
+    lambda t: ntz(mn.alert_rules(
+        t.bars_hourly().select(F.col("symbol").alias("series"), F.col("ts").alias("at"), F.col("volume").alias("value")),
+        3600, _RULES, max_rows=HOURLY.max_rows), "fired_at"))
+
+
 def _signals(t):
     """Current values of some signals, from the events."""
     def n(kind):

@@ -90,7 +90,7 @@ v AS (SELECT b.symbol, any_value(last) AS last, {_agg} AS y_pred FROM bars_daily
       WHERE ts > last - 30 GROUP BY b.symbol),
 h AS (SELECT symbol, y_pred, day AS date, row_number() OVER (PARTITION BY symbol ORDER BY day) AS horizon
       FROM v JOIN days ON day > last)
-SELECT symbol, horizon, date, y_pred FROM h WHERE horizon <= 7""")(
+SELECT symbol, CAST(horizon AS INTEGER) AS horizon, date, y_pred FROM h WHERE horizon <= 7""")(
         lambda t, s=_s: md.baseline_forecast(t.bars_daily(), 30, 7, s, DAILY))
 
 query("interval_forecast", ["symbol", "horizon"], {"p5": 4, "p50": 4, "p95": 4, "vector": 7}, f"""{DAILY_SQL},
@@ -116,10 +116,10 @@ _TM = f"""tm AS (SELECT * FROM ({over('SELECT symbol, ts, close FROM bars_daily'
   f"CASE WHEN count(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) >= 5 THEN "
   f"avg(close) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS ma")}) q WHERE ma IS NOT NULL)"""
 query("ensemble_weighted", ["symbol", "ts", "horizon", "models"], {"y_pred": 4, "y_true": 2}, f"""{DAILY_SQL}, {_TM}
-SELECT symbol, ts, 1 AS horizon, 2 AS models, (0.5 * naive + 2.0 * ma) / 2.5 AS y_pred, close AS y_true FROM tm""")(
+SELECT symbol, ts, 1 AS horizon, CAST(2 AS BIGINT) AS models, (0.5 * naive + 2.0 * ma) / 2.5 AS y_pred, close AS y_true FROM tm""")(
     lambda t: md.ensemble_weighted(two_models(t), {"naive": 0.5, "ma": 2.0}))
 query("ensemble_equal", ["symbol", "ts", "horizon", "models"], {"y_pred": 4, "y_true": 2}, f"""{DAILY_SQL}, {_TM}
-SELECT symbol, ts, 1 AS horizon, 2 AS models, (naive + ma) / 2 AS y_pred, close AS y_true FROM tm""")(
+SELECT symbol, ts, 1 AS horizon, CAST(2 AS BIGINT) AS models, (naive + ma) / 2 AS y_pred, close AS y_true FROM tm""")(
     lambda t: md.ensemble_weighted(two_models(t)))
 _PARTS = f"parts AS ({SPLIT.format(src='tm')})"
 _MODEL2 = _TWO.format(src="(SELECT symbol, naive AS x1, ma AS x2, close AS y FROM parts WHERE split = 'valid')")
@@ -160,7 +160,7 @@ query("eval_zero_actuals", ["run_id", "n"], RND, f"""{PRED}, z AS (SELECT run_id
     lambda t: ck.score_runs(t.predictions().withColumns({
         "y_true": F.when((F.col("run_id") == "1-URGENT") & (F.dayofmonth("ts") == 1), 0.0).otherwise(F.col("y_true")),
         "y_pred": F.when(F.col("run_id") == "2-HIGH", F.col("y_true")).otherwise(F.col("y_pred"))}), ["run_id"], "calc"))
-query("eval_rollup", ["run_id", "year", "n"], RND, f"""{PRED}, y AS (SELECT *, year(ts) AS year FROM predictions)
+query("eval_rollup", ["run_id", "year", "n"], RND, f"""{PRED}, y AS (SELECT *, CAST(year(ts) AS INTEGER) AS year FROM predictions)
 {bundle('check', 'run_id, year', 'y', 'ROLLUP (run_id, year)')}""")(
     lambda t: ck.score_rollup(t.predictions().withColumn("year", F.year("ts")), ["run_id", "year"]))
 

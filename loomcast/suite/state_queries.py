@@ -86,7 +86,7 @@ SELECT id, max_by(status, seq) AS status, min(created_at) AS created_at, max(cre
        max(CASE WHEN status IN ('DONE', 'FAILED') THEN created_at END) AS completed_at, count(*) AS writes
 FROM status_log GROUP BY id""")(lambda t: dc.lifecycle(log(t)))
 query("tail_n", ["id", "seq", "rn"], {}, f"""{LOG}
-SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM (
+SELECT id, seq, CAST(row_number() OVER (PARTITION BY id ORDER BY seq) AS INTEGER) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS d FROM status_log) WHERE d <= 20""")(
     lambda t: dc.tail(log(t), 20))
 query("orphans", ["o_orderkey", "o_custkey"], {}, """
@@ -337,6 +337,14 @@ query("violations_dsl", VIOLATION, {}, _rules(
 query("violations_request", VIOLATION, {}, _rules(
     ("c_custkey % 3 < 1", "range", "run_no"), ("c_custkey % 2 < 1", "range", "seq"), ("c_custkey % 40 > 32", "maxLength", "run_tag"),
     ("c_custkey % 4 NOT BETWEEN 1 AND 200", "range", "indicators.window")))(lambda t: vd.check_request(_settings(t), ["plan_id"]))
+query("violations_run", VIOLATION, {}, _rules(
+    ("c_custkey % 13 = 0", "const", "version"), ("c_custkey % 5 = 0", "required", "run_no"),
+    ("c_custkey % 5 <> 0 AND c_custkey % 3 < 1", "range", "run_no"), ("c_custkey % 7 = 0", "additionalProperties", "overrides")))(
+    lambda t: vd.check_run_dsl(_settings(t).select(
+        "plan_id", F.when(F.col("plan_id") % 13 != 0, "1.0").alias("version"),
+        F.when(F.col("plan_id") % 5 != 0, F.col("run_no")).alias("run_no"),
+        F.create_map(F.when(F.col("plan_id") % 7 == 0, "color").otherwise("symbol"), F.lit("x")).alias("overrides")),
+        ["plan_id"], "overrides"))
 query("violations_meta", VIOLATION, {}, _rules(
     ("c_acctbal < 0", "range", "metrics.threshold"), ("c_nationkey % 4 < 1", "range", "predict_horizon"),
     ("c_custkey % 6 = 0", "additionalProperties", "meta")))(
@@ -350,8 +358,8 @@ query("violations_series", ["symbol", "ts", "n"], {}, """
 SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ts, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")(
     lambda t: vd.check_series(t.read("lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("ts"))))
 query("series_bounds", ["symbol", "row_count", "span_days", "lookback_days", "ok"], {}, f"""{ctes('bars_wide')}
-SELECT symbol, count(*) AS row_count, date_diff('day', min(ts), max(ts)) AS span_days,
-  least(greatest(date_diff('day', min(ts), max(ts)), 1), 365) AS lookback_days, count(*) BETWEEN 40 AND 10000 AS ok
+SELECT symbol, count(*) AS row_count, CAST(date_diff('day', min(ts), max(ts)) AS INTEGER) AS span_days,
+  CAST(least(greatest(date_diff('day', min(ts), max(ts)), 1), 365) AS INTEGER) AS lookback_days, count(*) BETWEEN 40 AND 10000 AS ok
 FROM bars_wide GROUP BY symbol""")(lambda t: vd.series_bounds(t.bars_wide()))
 query("violations_pairs", ["symbol", "ts", "rule"], {}, f"""{ctes('bars_daily', 'predictions')}
 SELECT symbol, ts, 'no prediction' AS rule FROM bars_daily b

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomcast.functions.series import settle
 from loomcast.operators.monitor import split_envelopes
 from loomcast.session import scratch
 
+from loomcast.sources import documents as dc
 from loomcast.streaming import jobs as st
 from loomcast.suite.monitor_queries import REASON, envelopes
 from loomcast.suite.registry import query
@@ -104,6 +106,24 @@ query("stream_follow", ["event_id", "user_id", "ts", "k"], {}, """
 SELECT event_id, user_id, ts, regexp_extract(props, '"k": *([0-9]+)', 1) AS k FROM events""")(_follow)
 
 
+CUT = "2024-01-15"
+
+
+def _tail_follow(t):
+    """The last 20 entries per user of the log so far, then what the stream adds."""
+    log = t.read("events").where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"))
+    tail = settle(dc.tail(log, 20, ("user_id",), "event_id").select("user_id", "event_id"))
+    new = st.run_available(st.follow_after(tail, stream(t).select("user_id", "event_id"), "user_id", "event_id"), "append", "tail")
+    return tail.unionByName(new.select("user_id", "event_id"))
+
+
+query("stream_tail_follow", ["user_id", "event_id"], {}, f"""
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS d FROM events
+  WHERE ts < TIMESTAMP '{CUT}') WHERE d <= 20
+UNION ALL SELECT user_id, event_id FROM events e WHERE event_id > coalesce(
+  (SELECT max(event_id) FROM events o WHERE o.user_id = e.user_id AND o.ts < TIMESTAMP '{CUT}'), -1)""")(_tail_follow)
+
+
 def _refresh(t):
     """Hourly bars refreshed in two scheduled calls on one state folder; the second call
     finds nothing new, so the answer is that of the batch job."""

@@ -44,6 +44,19 @@ def test_predicates_reach_the_scan(spark, tmp_path):
     assert "volume" not in plan.split("ReadSchema")[1]
 
 
+def test_load_adjusts_and_resamples(spark, tmp_path):
+    path = str(tmp_path / "p")
+    _bars(spark).withColumn("adj_close", F.col("close") / 2).write.parquet(path)
+    day = bs.load_bars(spark, path, ["A"], "2024-01-01", "2024-02-01").orderBy("ts").first()
+    assert (day.open, day.high, day.close) == (0.5, 1.0, 0.75)
+    month = bs.load_bars(spark, path, ["A"], "2024-01-01", "2024-02-01", "1mo", auto_adjust=False).collect()
+    assert [(m.open, m.high, m.low, m.close, m.volume) for m in month] == [(1.0, 6.0, 0.5, 5.5, 50.0)]
+    with pytest.raises(ValueError, match="no price data"):
+        bs.load_bars(spark, path, ["A"], "2030-01-01", "2030-02-01")
+    with pytest.raises(ValueError, match="frequency"):
+        bs.load_bars(spark, path, ["A"], "2024-01-01", "2024-02-01", "2h")
+
+
 def test_normalise(spark):
     df = spark.createDataFrame([("A", 1.0, 2.0, 0.5, None, 7.0, 3.0), ("A", 1.0, 2.0, 0.5, 1.0, 7.0, 3.0)],
                                "symbol string, Open double, HIGH double, low double, close double, `Adj Close` double, Volume double")

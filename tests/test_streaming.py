@@ -99,3 +99,13 @@ def test_rates_in_blocks(spark):
     assert one == many
     # increases: -,1,3 | 4,1(reset),2 | 1,2(reset),0 | 4
     assert [round(r.rate * 60) for r in one] == [4, 7, 3, 4]
+
+
+def test_late_rows_are_counted(spark):
+    src, counts = scratch(spark, "src"), {}
+    for h in (0, 5, 6, 1):
+        _write(spark, src, [(h * 10 + i, "a", T0 + dt.timedelta(hours=h, minutes=i), 1.0) for i in range(4)])
+    df = st.event_time(st.read_stream(spark, src, _schema(spark), files_per_batch=1), "ts", "1 hour")
+    w = st.windowed(df, "ts", ["series"], "30 minutes", n=F.count(F.lit(1)))
+    st.run_available(w, "update", counts=counts)
+    assert counts == {"rows": 16, "late": 1}  # four late rows combine to one before the state
