@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,10 +27,6 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"}
-    if "SPARK_CHECKPOINT_DIR" not in os.environ:
-        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    else:
-        conf["spark.checkpoint.dir"] = os.environ["SPARK_CHECKPOINT_DIR"]
     spark = build_session("bench", f"local[{cpus}]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     queries = load()

@@ -29,11 +29,15 @@ def violations(df: DataFrame, ids: Sequence[str], rules: Sequence[Column]) -> Da
     return df.select(*ids, F.explode(found).alias("_v")).select(*ids, "_v.rule", "_v.path")
 
 
-def short_id(prefix: str, *parts) -> Column:
-    """Deterministic id: the prefix and 8 hex digits of a digest of the parts, so that a
-    rerun after a lost executor gives the same id."""
+ID_DIGITS = 32
+
+
+def digest_id(prefix: str, *parts) -> Column:
+    """Deterministic id: the prefix and 32 hex digits of a digest of the parts, so that a
+    rerun after a lost executor gives the same id.  (8 digits, as short random ids have,
+    collide from some ten thousand ids on, and ids are joined on.)"""
     text = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
-    return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, 8))
+    return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, ID_DIGITS))
 
 
 def horizon_list(text) -> Column:

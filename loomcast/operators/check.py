@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.functions import evaluation as ev
-from loomcast.functions.expr import short_id
+from loomcast.functions.expr import digest_id
 
 RUN = ("plan_id", "run_id")
 #: Metrics a check knows, the default accuracy threshold, shards of a run.
@@ -42,6 +42,15 @@ def score_rollup(predictions: DataFrame, key: Sequence[str], family: str = "chec
     return predictions.rollup(*key).agg(*score_columns(family))
 
 
+#: Decimals of reported metrics.
+REPORT_DECIMALS = {"r2": 4, "mae": 4, "rmse": 4, "mape": 2}
+
+
+def rounded_scores(scores: DataFrame) -> DataFrame:
+    """Scores as reports show them; checks use the unrounded values."""
+    return scores.withColumns({c: F.round(c, d) for c, d in REPORT_DECIMALS.items()})
+
+
 def long_scores(scores: DataFrame, key: Sequence[str] = RUN) -> DataFrame:
     """(key..., metric, value) for the metrics a check knows."""
     return scores.unpivot(list(key), list(SUPPORTED), "metric", "value")
@@ -70,7 +79,7 @@ def check_report(checks: DataFrame, runs: DataFrame, key: Sequence[str] = RUN) -
     out = runs.select(*key).distinct().join(per_run, list(key), "left")
     overall = F.coalesce("_all", F.lit(True))
     return out.select(
-        *key, short_id("check_", *key).alias("check_id"),
+        *key, digest_id("check_", *key).alias("check_id"),
         F.coalesce("_r2", F.lit(0.0)).alias("r2"), F.coalesce("_thr", F.lit(0.0)).alias("threshold"),
         F.coalesce("_r2_passed", overall).alias("passed"), overall.alias("overall_passed"),
     )
@@ -92,7 +101,7 @@ def decide(reports: DataFrame, default_threshold: float = DEFAULT_THRESHOLD) ->
     ok = r2 >= thr
     return reports.select(
         *[c for c in (*RUN, "check_id") if c in reports.columns],
-        short_id("act-", "check_id").alias("act_id"),
+        digest_id("act-", "check_id").alias("act_id"),
         F.when(ok, "noop").otherwise("retrain").alias("action"),
         F.when(ok, "accuracy within threshold")
         .otherwise(F.format_string("low accuracy (r2=%.3f < %.2f)", r2, thr)).alias("reason"),

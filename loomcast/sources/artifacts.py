@@ -80,6 +80,18 @@ def load_meta(spark: SparkSession, pattern: str, multi_line: bool = True) -> Dat
     return spark.read.schema(META_SCHEMA).option("multiLine", multi_line).json(pattern)
 
 
+def append_trace(records: DataFrame, path: str) -> str:
+    """Append trace records as JSON lines."""
+    records.write.mode("append").json(path)
+    return path
+
+
+def mark_done(done: DataFrame, path: str) -> str:
+    """Append (run_id, epoch) rows of finished work."""
+    done.select("run_id", "epoch").write.mode("append").parquet(path)
+    return path
+
+
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Trace records from JSON lines; blank lines are skipped."""
     return spark.read.schema(TRACE_SCHEMA).json(path).where(F.col("run_id").isNotNull())

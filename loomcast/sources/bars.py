@@ -52,6 +52,19 @@ def read_bars(
     return df
 
 
+def write_bars(bars: DataFrame, path: str) -> str:
+    """Bars sorted by (symbol, ts) over range partitions: statistics then prune by symbol
+    and time, and a hot symbol is cut by time into many files."""
+    (
+        bars.repartitionByRange("symbol", "ts")
+        .sortWithinPartitions("symbol", "ts")
+        .write.mode("overwrite")
+        .option("compression", "zstd")
+        .parquet(path)
+    )
+    return path
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     """Raise when there are no bars (reads at most one row)."""
     if df.isEmpty():

@@ -230,7 +230,7 @@ SELECT symbol, ts, sma, rsi, sma + 2 * sd AS upper, {full('avg', 'raw', 3)} AS k
     lambda t: add_indicators(t.bars_wide(), [{"name": n} for n in ("SMA", "RSI", "BBANDS", "STOCH")], DAILY).withColumnsRenamed(
         {"SMA_20": "sma", "RSI_14": "rsi", "BBANDS_20_UPPER": "upper", "STOCH_14_3_3_K": "k"}))
 # the recursion of all series advances together, one row of each per step
-query("ema_wide", ["symbol", "ts"], {"ema": 4}, f"""{ctes('bars_wide', recursive=True)},
+query("ema_wide", ["symbol", "ts"], {"ema": 3}, f"""{ctes('bars_wide', recursive=True)},
 wide_rn AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER ({W}) AS rn FROM bars_wide),
 {recur(cascade(20, 1), 'e1 AS ema', 'wide_rn')}""")(
     lambda t: add_indicators(t.bars_wide(), [{"name": "EMA"}], DAILY).withColumnRenamed("EMA_20", "ema"))

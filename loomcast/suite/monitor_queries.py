@@ -57,7 +57,7 @@ SELECT d, min_by(CASE WHEN le >= 1e9 THEN lo ELSE lo + (le - lo) * (0.95 * total
 FROM q WHERE cum >= 0.95 * total AND total > 0 GROUP BY d""")(
     lambda t: mn.histogram_quantile(
         mn.bucketise(t.read("events"), "value", BOUNDS, [F.to_date("ts").alias("d")]), 0.95, ["d"], top=1e9))
-query("mon_mean_runtime", ["series", "w"], {"mean": 5}, f"""{INC}, c AS ({rate_sql('hour', 3600)}), s AS ({rate_sql('hour', 3600, 'tinc')})
+query("mon_mean_runtime", ["series", "w"], {"mean": 7}, f"""{INC}, c AS ({rate_sql('hour', 3600)}), s AS ({rate_sql('hour', 3600, 'tinc')})
 SELECT c.series, c.w, s.rate / nullif(c.rate, 0) AS mean FROM c JOIN s ON c.series = s.series AND c.w = s.w""")(
     lambda t: ntz(mn.mean_runtime(t.samples(), "total", "v", 3600, t.sample_axis()), "w"))
 query("mon_label_regex", ["event_type", "n"], {}, """
@@ -81,11 +81,11 @@ query("mon_record_15s", ["series", "w_end"], {"value": 6}, f"""{INC}, st AS (
 SELECT series, make_timestamp((s + 15 * k) * 1000000) AS w_end, coalesce(sum(i), 0) / 60 * 60 AS value
 FROM st, generate_series(1, 4) g(k) GROUP BY 1, 2""")(lambda t: ntz(mn.sliding_rate(counts(t), axis=t.sample_axis()), "w_end"))
 query("mon_alert_hold", ["symbol", "since", "fired_at", "until", "evals"], {}, f"""{ctes('bars_hourly')}, e AS (
-  SELECT symbol, ts, volume < 4 AS bad, lag(volume < 4) OVER ({W}) AS pb, {lag('ts')} AS pts FROM bars_hourly),
+  SELECT symbol, ts, close < 30 AS bad, lag(close < 30) OVER ({W}) AS pb, {lag('ts')} AS pts FROM bars_hourly),
 i AS (SELECT *, sum(CASE WHEN pb IS NULL OR pb <> bad OR epoch(ts) - epoch(pts) > 3600 THEN 1 ELSE 0 END) OVER ({W}) AS island FROM e)
 SELECT symbol, min(ts) AS since, min(ts) + INTERVAL 2 HOUR AS fired_at, max(ts) AS until, count(*) AS evals
 FROM i WHERE bad GROUP BY symbol, island HAVING epoch(max(ts)) - epoch(min(ts)) >= 7200""")(
-    lambda t: ntz(mn.alert_spans(t.bars_hourly().select("symbol", "ts", (F.col("volume") < 4).alias("bad")), 7200, 3600, HOURLY), "fired_at"))
+    lambda t: ntz(mn.alert_spans(t.bars_hourly().select("symbol", "ts", (F.col("close") < 30).alias("bad")), 7200, 3600, HOURLY), "fired_at"))
 
 
 _RULES = [

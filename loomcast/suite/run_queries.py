@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomcast.functions.expr import short_id
+from loomcast.functions.expr import digest_id
 from loomcast.functions.series import DAILY, lay_out, settle
 from loomcast.operators import check as ck
 from loomcast.operators import features as ft
@@ -76,7 +76,7 @@ def _boosted(t):
 @query("boosted_record", ["run_id"], {"r2": 4, "mae": 2, "rmse": 2, "mape": 3})
 def _record(t):
     scored = md.train_boosted(t.bars_daily(), loss="lad", iterations=2, lags=(1, 5), windows=(5,), axis=DAILY)[1]
-    return md.train_record(scored, short_id("run-", "symbol"))
+    return md.train_record(scored, digest_id("run-", "symbol"))
 
 
 # -- baselines, intervals, ensembles ----------------------------------------------------
@@ -153,6 +153,9 @@ RND = {"r2": 7, "mae": 4, "rmse": 4, "mape": 5}
 for _f in SCORES:
     query(f"eval_{_f}", ["plan_id", "run_id", "n"], RND, f"{PRED} {bundle(_f, 'plan_id, run_id')}")(
         lambda t, f=_f: ck.score_runs(t.predictions(), family=f))
+query("eval_rounded", ["run_id", "r2", "mae", "rmse", "mape"], {}, f"""{PRED}, s AS ({bundle('check', 'run_id')})
+SELECT run_id, round(r2, 4) AS r2, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 2) AS mape FROM s""")(
+    lambda t: ck.rounded_scores(ck.score_runs(t.predictions(), ["run_id"])))
 query("eval_zero_actuals", ["run_id", "n"], RND, f"""{PRED}, z AS (SELECT run_id,
   CASE WHEN run_id = '1-URGENT' AND day(ts) = 1 THEN 0.0 ELSE y_true END AS y_true,
   CASE WHEN run_id = '2-HIGH' THEN y_true ELSE y_pred END AS y_pred FROM predictions)
@@ -174,7 +177,7 @@ c AS (SELECT plan_id, run_id, l.metric, value, threshold,
   CASE WHEN l.metric = 'r2' THEN value >= threshold ELSE value <= threshold END AS passed FROM l JOIN meta m ON l.metric = m.metric)"""
 query("metric_checks", ["plan_id", "run_id", "metric", "passed"], {"value": 4, "threshold": 4}, f"{_CHECKS} SELECT * FROM c")(
     lambda t: ck.metric_checks(ck.score_runs(t.predictions()), t.meta()))
-_REPORT = f"""{_CHECKS}, rep AS (SELECT plan_id, run_id, concat('check_', substr(sha256(concat(plan_id, '|', run_id)), 1, 8)) AS check_id,
+_REPORT = f"""{_CHECKS}, rep AS (SELECT plan_id, run_id, concat('check_', substr(sha256(concat(plan_id, '|', run_id)), 1, 32)) AS check_id,
   coalesce(max(CASE WHEN metric = 'r2' THEN value END), 0) AS r2, coalesce(max(CASE WHEN metric = 'r2' THEN threshold END), 0) AS threshold,
   bool_and(CASE WHEN metric = 'r2' THEN passed END) AS passed, bool_and(passed) AS overall_passed FROM c GROUP BY plan_id, run_id)"""
 
@@ -185,7 +188,7 @@ def _report(t):
 
 query("check_report", ["plan_id", "run_id", "check_id", "passed", "overall_passed"], {"r2": 6, "threshold": 2},
       f"{_REPORT} SELECT * FROM rep")(_report)
-_ACT = """SELECT plan_id, run_id, check_id, concat('act-', substr(sha256(check_id), 1, 8)) AS act_id,
+_ACT = """SELECT plan_id, run_id, check_id, concat('act-', substr(sha256(check_id), 1, 32)) AS act_id,
   CASE WHEN r2 >= threshold THEN 'noop' ELSE 'retrain' END AS action,
   CASE WHEN r2 >= threshold THEN 'accuracy within threshold'
        ELSE printf('low accuracy (r2=%.3f < %.2f)', r2, threshold) END AS reason FROM rep"""
@@ -198,7 +201,7 @@ query("gate_flags", ["run_id", "passed"], {"r2": 6}, f"{PRED}, {_SC} SELECT run_
 @query("run_cycle", ["run_id", "check_id", "passed", "action", "reason"], {"r2": 6, "rmse": 3, "mape": 4}, f"""{_ONE},
 predictions AS (SELECT 'plan_demo' AS plan_id, symbol AS run_id, target AS y_true, intercept + slope * x AS y_pred
   FROM fr JOIN m USING (symbol) WHERE target IS NOT NULL), {_SC},
-rep AS (SELECT *, concat('check_', substr(sha256(concat(plan_id, '|', run_id)), 1, 8)) AS check_id, 0.8::DOUBLE AS threshold FROM s)
+rep AS (SELECT *, concat('check_', substr(sha256(concat(plan_id, '|', run_id)), 1, 32)) AS check_id, 0.8::DOUBLE AS threshold FROM s)
 SELECT run_id, check_id, r2, rmse, mape, r2 >= threshold AS passed, action, reason FROM rep JOIN (
   {_ACT}) a USING (run_id, check_id)""")
 def _cycle(t):
@@ -252,16 +255,16 @@ def _chain(t):
     dos = t.read("orders").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("do_id"),
                                   F.col("o_orderstatus").alias("status"))
     checks = t.read("lineitem").groupBy(F.col("l_orderkey").alias("do_id")).agg((F.avg("l_discount") * 10).alias("r2")).select(
-        "do_id", short_id("check_", "do_id").alias("check_id"), "r2", F.lit(0.5).alias("threshold")).withColumn(
+        "do_id", digest_id("check_", "do_id").alias("check_id"), "r2", F.lit(0.497).alias("threshold")).withColumn(
         "passed", F.col("r2") >= F.col("threshold"))
     return ck.chain(plans, dos, checks, ck.decide(checks))
 
 
 query("run_chain", ["plan_id", "do_id", "check_id", "status", "passed", "action"], {"r2": 6}, """
-WITH c AS (SELECT l_orderkey AS do_id, concat('check_', substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 8)) AS check_id,
+WITH c AS (SELECT l_orderkey AS do_id, concat('check_', substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 32)) AS check_id,
   avg(l_discount) * 10 AS r2 FROM lineitem GROUP BY l_orderkey)
-SELECT c_custkey AS plan_id, o_orderkey AS do_id, check_id, o_orderstatus AS status, r2, r2 >= 0.5 AS passed,
-  CASE WHEN r2 >= 0.5 THEN 'noop' WHEN r2 < 0.5 THEN 'retrain' END AS action
+SELECT c_custkey AS plan_id, o_orderkey AS do_id, check_id, o_orderstatus AS status, r2, r2 >= 0.497 AS passed,
+  CASE WHEN r2 >= 0.497 THEN 'noop' WHEN r2 < 0.497 THEN 'retrain' END AS action
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN c ON c.do_id = o_orderkey""")(_chain)
 
 # -- run metrics ----------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from loomcast.functions.series import DAILY
 from loomcast.operators import features as ft
 from loomcast.operators import preprocess as pp
 from loomcast.operators.indicators import model_frame
+from loomcast.session import scratch
 from loomcast.sources import bars as bs
 from loomcast.suite.indicator_queries import W, fr, full, lag, over
 from loomcast.suite.registry import query
@@ -33,6 +34,8 @@ SELECT symbol, ts, close, volume FROM bars_wide WHERE ts >= DATE '1997-01-01' AN
     lambda t: bs.normalise(t.bars_wide()).where(
         (F.col("ts") >= F.lit(dt.date(1997, 1, 1))) & (F.col("ts") < F.lit(dt.date(1998, 1, 1)))))
 
+query("bars_written", ["symbol", "ts"], {"open": 2, "close": 2}, f"{ctes('bars_wide')} SELECT symbol, ts, open, close FROM bars_wide")(
+    lambda t: t.spark.read.parquet(bs.write_bars(t.bars_wide(), scratch(t.spark, "bars"))))
 query("close_records", ["symbol", "ts"], {"close": 2}, f"{DAILY_SQL} SELECT symbol, ts, close FROM bars_daily")(
     lambda t: bs.closes(t.bars_daily()))
 

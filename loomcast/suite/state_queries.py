@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomcast.functions.expr import decode_field, short_id
+from loomcast.functions.expr import decode_field, digest_id
 from loomcast.plans import config as cf
 from loomcast.plans import validate as vd
 from loomcast.session import scratch
@@ -104,7 +104,7 @@ def _trace(t):
         F.col("ts").cast("timestamp").alias("timestamp"), F.create_map(F.lit("props"), F.col("props")).alias("details"),
     )
     folder = scratch(t.spark, "trace")
-    trace.write.json(folder)
+    ar.append_trace(trace, folder)
     return ntz(ar.trace_in_order(ar.read_trace(t.spark, folder)), "timestamp").withColumn(
         "props", F.col("details")["props"])
 
@@ -283,8 +283,8 @@ SELECT event_id, replace(props, ': ', ':') AS props, concat('"', event_type, '"'
     lambda t: t.read("events").select("event_id", decode_field(F.encode("props", "UTF-8")).alias("props"),
                                       decode_field(F.encode("event_type", "UTF-8")).alias("raw")))
 query("stable_ids", ["plan_id", "do_id"], {}, f"""{PLANS}
-SELECT plan_id, concat('do-', substr(sha256(CAST(plan_id AS VARCHAR)), 1, 8)) AS do_id FROM plans""")(
-    lambda t: t.plans().select("plan_id", short_id("do-", "plan_id").alias("do_id")))
+SELECT plan_id, concat('do-', substr(sha256(CAST(plan_id AS VARCHAR)), 1, 32)) AS do_id FROM plans""")(
+    lambda t: t.plans().select("plan_id", digest_id("do-", "plan_id").alias("do_id")))
 
 # -- validation ----------------------------------------------------------------------------
 

@@ -64,9 +64,9 @@ query("stream_dedup", ["event_id", "event_type"], {"value": 2}, "SELECT event_id
 
 
 def _alerts(t):
-    """Record the hourly counts, then hold alerts over the recorded series."""
-    w = st.windowed(stream(t), "ts", ["event_type"], "1 hour", n=F.count(F.lit(1)))
-    rules = w.select(F.col("event_type").alias("series"), F.col("w_start").alias("at"), (F.col("n") < 4).alias("bad"))
+    """Record the hourly means, then hold alerts over the recorded series."""
+    w = st.windowed(stream(t), "ts", ["event_type"], "1 hour", mean=F.avg("value"))
+    rules = w.select(F.col("event_type").alias("series"), F.col("w_start").alias("at"), (F.col("mean") < 40).alias("bad"))
     folder = scratch(t.spark, "recorded")
     st.run_available(rules, "append", folder=folder)
     fired = st.run_available(st.hold_alerts(st.recorded(t.spark, folder, rules.schema), 7200, 3600), "append", "alerts")
@@ -74,7 +74,7 @@ def _alerts(t):
 
 
 query("stream_alert_hold", ["series", "since", "fired_at"], {}, """
-WITH h AS (SELECT event_type AS series, date_trunc('hour', ts) AS at_, count(*) < 4 AS bad FROM events GROUP BY 1, 2
+WITH h AS (SELECT event_type AS series, date_trunc('hour', ts) AS at_, avg(value) < 40 AS bad FROM events GROUP BY 1, 2
   HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)),
 e AS (SELECT *, lag(bad) OVER w AS pb, lag(at_) OVER w AS pt FROM h WINDOW w AS (PARTITION BY series ORDER BY at_)),
 i AS (SELECT *, sum(CASE WHEN pb IS NULL OR pb <> bad OR at_ - pt > INTERVAL 1 HOUR THEN 1 ELSE 0 END)

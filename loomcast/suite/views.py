@@ -40,7 +40,7 @@ class Tables:
     def bars_wide(self) -> DataFrame:
         return to_bars(
             self.read("lineitem"), F.col("l_suppkey"), F.to_date("l_shipdate"), F.col("l_extendedprice"),
-            F.col("l_orderkey") * 100 + F.col("l_linenumber"), F.col("l_quantity"),
+            (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey"), F.col("l_quantity"),
         )
 
     def bars_gappy(self) -> DataFrame:
@@ -153,8 +153,8 @@ FROM events GROUP BY event_type, date_trunc('hour', ts)""",
     "hourly_rn": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars_hourly",
     "bars_wide": """
 SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ts,
-       min_by(l_extendedprice, l_orderkey * 100 + l_linenumber) AS open, max(l_extendedprice) AS high,
-       min(l_extendedprice) AS low, max_by(l_extendedprice, l_orderkey * 100 + l_linenumber) AS close,
+       min_by(l_extendedprice, (l_orderkey * 100 + l_linenumber) * 100000000 + l_partkey) AS open, max(l_extendedprice) AS high,
+       min(l_extendedprice) AS low, max_by(l_extendedprice, (l_orderkey * 100 + l_linenumber) * 100000000 + l_partkey) AS close,
        sum(l_quantity) AS volume
 FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)""",
     "bars_gappy": """
