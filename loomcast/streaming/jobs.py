@@ -173,6 +173,36 @@ def route(df: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame
     return good, dead
 
 
+# -- outbox ------------------------------------------------------------------------
+
+def write_once(df: DataFrame, ids: Sequence[str], folder: str, timeout: int = 600) -> str:
+    """Append each event once, whenever its copies arrive; gives the data folder.
+
+    Copies inside a micro-batch combine map-side, so an event repeated a billion times is
+    one row per map task; the rest is an anti-join with the ids of earlier batches.  A
+    batch that is run again compares with the batches before it only.
+    """
+    data = os.path.join(folder, "data")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(ids))
+        if batch_id > 0:
+            seen = batch.sparkSession.read.parquet(data).where(F.col("batch") < batch_id).select(*ids)
+            new = new.join(seen, list(ids), "left_anti")
+        new.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
+
+    q = (
+        df.writeStream.option("checkpointLocation", os.path.join(folder, "checkpoint"))
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    if not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(f"outbox did not finish in {timeout} s")
+    return data
+
+
 # -- joins, tails, increments ------------------------------------------------------
 
 def ready_stream(checks: DataFrame, runs: DataFrame, within: str = "1 hour") -> DataFrame:

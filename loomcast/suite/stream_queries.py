@@ -63,6 +63,16 @@ def _dedup(t):
 query("stream_dedup", ["event_id", "event_type"], {"value": 2}, "SELECT event_id, event_type, value FROM events")(_dedup)
 
 
+def _outbox(t):
+    """Every event arrives twice in one batch."""
+    s = st.read_stream(t.spark, t.dir, t.read("events").schema, "events.parquet")
+    return t.spark.read.parquet(st.write_once(s.union(s), ["event_id"], scratch(t.spark, "outbox")))
+
+
+query("stream_outbox", ["event_id", "event_type", "props"], {"value": 2},
+      "SELECT event_id, event_type, props, value FROM events")(_outbox)
+
+
 def _alerts(t):
     """Record the hourly means, then hold alerts over the recorded series."""
     w = st.windowed(stream(t), "ts", ["event_type"], "1 hour", mean=F.avg("value"))

@@ -109,3 +109,13 @@ def test_late_rows_are_counted(spark):
     w = st.windowed(df, "ts", ["series"], "30 minutes", n=F.count(F.lit(1)))
     st.run_available(w, "update", counts=counts)
     assert counts == {"rows": 16, "late": 1}  # four late rows combine to one before the state
+
+
+def test_outbox_writes_each_event_once(spark):
+    src, out = scratch(spark, "src"), scratch(spark, "outbox")
+    for part in range(3):
+        rows = [(i, "a", T0, 1.0) for i in range(5 * part, 5 * part + 10)]
+        _write(spark, src, rows + rows)
+        data = st.write_once(st.read_stream(spark, src, _schema(spark)), ["event_id"], out)
+        got = [r.event_id for r in spark.read.parquet(data).collect()]
+        assert sorted(got) == list(range(5 * part + 10))
