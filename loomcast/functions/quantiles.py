@@ -12,6 +12,9 @@ DIRECT_ROWS = 1 << 20
 #: Accuracy of the sketch that brackets a quantile: rank error at most rows/SKETCH.
 SKETCH = 10_000
 
+#: Equal-width bins a bracket is counted in.
+BINS = 4_096
+
 
 def exact_quantiles(
     df: DataFrame, key: tuple[str, ...], col: str, probs: dict[str, float], max_rows: int | None = None,
@@ -20,8 +23,8 @@ def exact_quantiles(
     """One row per group with a column per entry of ``probs`` (linear interpolation).
 
     For large groups a sketch (bounded memory, combined map-side) gives a value range
-    that must hold the wanted ranks; exact counts below it and exact value counts
-    inside it (about 6/SKETCH of the rows) then pick the two neighbouring values.
+    that must hold the wanted ranks; exact counts below it and per bin inside it lead to
+    the two neighbouring values.  No step brings a group's values into one task.
     """
     df = df.where(F.col(col).isNotNull())
     longest = max_rows if max_rows is not None else longest_series(df, key)
@@ -52,15 +55,26 @@ def exact_quantiles(
     )
     # Only values inside a bracket go on, one row per bracket they lie in.
     hits = F.array_compact(F.array(*[
-        F.when(F.col("_x").between(lo[n], hi[n]), F.struct(F.lit(n).alias("name"), rank[n].alias("rank"))) for n in probs
+        F.when(F.col("_x").between(lo[n], hi[n]), F.struct(
+            F.lit(n).alias("name"), rank[n].alias("rank"),
+            F.coalesce(F.floor(F.try_divide(F.col("_x") - lo[n], hi[n] - lo[n]) * BINS), F.lit(0)).alias("bin"),
+        )) for n in probs
     ]))
     inside = known.select(*key, "_x", "_c", F.explode(hits).alias("_h")).select(*key, "_x", "_c", "_h.*")
-    inside = join_on(inside, settle(below), key, rows=groups)
+    # The bracket of a huge group is still large: count it in bins of equal width and keep
+    # only the (at most two) bins that hold the wanted ranks.
+    bins = inside.groupBy(*key, "name", "rank", "bin").agg(F.sum("_c").alias("_c"))
+    bins = join_on(bins, settle(below), key, rows=groups)
     under = F.lit(0)
     for n in probs:
         under = F.when(F.col("name") == n, F.col(f"_u_{n}")).otherwise(under)
-    run = Window.partitionBy(*key, "name").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_end", under + F.sum("_c").over(run)).withColumn("_start", F.col("_end") - F.col("_c"))
+    upto = Window.partitionBy(*key, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("_to", under + F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
+    held = bins.where((F.col("_from") <= F.ceil("rank")) & (F.col("_to") > F.floor("rank")))
+    held = settle(held.select(*key, "name", "bin", "_from"))
+    inside = join_on(inside, held, (*key, "name", "bin"), rows=held.count())
+    run = Window.partitionBy(*key, "name", "bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_end", F.col("_from") + F.sum("_c").over(run)).withColumn("_start", F.col("_end") - F.col("_c"))
 
     def at(r: Column) -> Column:
         return F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.col("_x")))

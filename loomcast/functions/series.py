@@ -203,7 +203,7 @@ class Blocks:
         local = df.withColumns({n: F.last(f"_s_{n}", True).over(run) for n in cols})
         if not b.split:
             return b._with(local.drop(*steps))
-        key = F.struct(b.axis.order, *b.axis.tie)
+        key = F.struct(b.axis.order, *b.axis.tie) if b.axis.tie else F.col(b.axis.order)
         tails = df.groupBy(*b.part).agg(
             *[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), key)).alias(s) for s in steps]
         )

@@ -16,6 +16,7 @@ from loomcast.functions.expr import next_weekday, ratio, with_next_open
 from loomcast.functions.quantiles import exact_quantiles
 from loomcast.functions.series import DAY, Axis, at_last, epoch_seconds, join_on, join_stats, lay_out, settle
 from loomcast.operators.features import LAGS, WINDOWS, feature_names, fit_rows, make_features, split_ordered
+from loomcast.session import shared_dir
 from loomcast.sources.bars import latest_row
 
 # -- least squares -------------------------------------------------------------
@@ -121,6 +122,7 @@ def train_boosted(
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    shared_dir(bars.sparkSession)  # the trees cut their lineage there every ten iterations
     if loss not in LOSSES:
         raise ValueError(f"unsupported loss '{loss}', known: {', '.join(LOSSES)}")
     if per_split:
