@@ -124,8 +124,8 @@ def at_last(cols, *order: str) -> list[Column]:
 class Blocks:
     """A laid out frame; immutable, every method gives a new one."""
 
-    def __init__(self, df: DataFrame, axis: Axis, split: bool, halo: bool):
-        self.df, self.axis, self.split, self.halo = df, axis, split, halo
+    def __init__(self, df: DataFrame, axis: Axis, split: bool, halo: bool, indexes: tuple["EmaIndex", ...] = ()):
+        self.df, self.axis, self.split, self.halo, self.indexes = df, axis, split, halo, indexes
 
     # -- windows -----------------------------------------------------------
     @property
@@ -152,7 +152,7 @@ class Blocks:
 
     # -- columns -----------------------------------------------------------
     def _with(self, df: DataFrame) -> "Blocks":
-        return Blocks(df, self.axis, self.split, self.halo)
+        return Blocks(df, self.axis, self.split, self.halo, self.indexes)
 
     def add(self, cols: dict[str, Column]) -> "Blocks":
         return self._with(self.df.withColumns(cols))
@@ -164,10 +164,10 @@ class Blocks:
         """Drop the halo rows; needed before totals are carried between blocks."""
         if not self.halo:
             return self
-        return Blocks(self.df.where("_own").drop("_own"), self.axis, self.split, False)
+        return Blocks(self.df.where("_own").drop("_own"), self.axis, self.split, False, self.indexes)
 
     def rows(self) -> DataFrame:
-        return self.own().df.drop("_blk")
+        return self.own().df.drop("_blk", *[c for i in self.indexes for c in (i.pos, i.leaf)])
 
     # -- unlimited memory --------------------------------------------------
     def running_sum(self, cols: dict[str, Column], within: tuple[str, ...] = ()) -> "Blocks":
@@ -218,29 +218,31 @@ class Blocks:
         return self.running_sum({name: F.lit(1).cast("long")})
 
     # -- linear recurrence -------------------------------------------------
-    def ema(self, cols: dict[str, tuple[str, float]], index: "EmaIndex | None" = None) -> "Blocks":
+    def ema(self, cols: dict[str, tuple[str, float]], like: str | None = None) -> "Blocks":
         """e = (1-a)·e_prev + a·x, seeded with the first value; nulls are skipped.
 
         Written as a prefix sum: within a leaf of L rows, e_j = q^j·Σ a·x_i·q^-i plus
-        q^(j+1) times the state before the leaf, q = 1-a.  L keeps q^-L below e^300,
-        far from overflow, and makes the weight q^L of older leaves vanish next to
-        double precision, so that state is just the last leaf's own sum.  All windows,
-        no Python; a cascade on one index needs one sort.
-        The halo must cover ``ema_memory`` rows.
+        q^(j+1) times the state before the leaf, q = 1-a.  L keeps q^-L far from overflow
+        and makes the weight q^L of older leaves vanish next to double precision, so that
+        state is just the last leaf's own sum.  All windows, no Python.
+        The halo must cover ``ema_memory`` rows.  ``like`` names a column that is null in
+        the same rows; EMAs alike share their leaves, and so one sort.
         """
         b = self
-        live = {n: (x, a) for n, (x, a) in cols.items() if a < 1.0}
-        same_as_input = {n: F.col(x) for n, (x, a) in cols.items() if a >= 1.0}
-        if same_as_input:
-            b = b.add(same_as_input)
-        if not live:
-            return b
-        mine = index is None
-        if mine:
-            (x0, *_rest) = [x for x, _ in live.values()]
-            b, index = b.ema_index(x0, [a for _, a in live.values()])
-        j, leaf = index.pos, index.leaf
-        at = F.col(j) - F.col(leaf) * index.rows
+        leaves: dict[EmaIndex, dict[str, tuple[str, float]]] = {}
+        for n, (x, a) in cols.items():
+            if a >= 1.0:
+                b = b.add({n: F.col(x)})
+            else:
+                b, index = b.ema_index(like or x, a)
+                leaves.setdefault(index, {})[n] = (x, a)
+        for index, live in leaves.items():
+            b = b._ema_in_leaves(index, live)
+        return b
+
+    def _ema_in_leaves(self, index: "EmaIndex", live: dict[str, tuple[str, float]]) -> "Blocks":
+        b, leaf = self, index.leaf
+        at = F.col(index.pos) - F.col(leaf) * index.rows
         inner = (
             Window.partitionBy(*b.part, leaf)
             .orderBy(b.axis.order, *b.axis.tie)
@@ -257,26 +259,29 @@ class Blocks:
             tail[f"_f_{n}"] = F.first(x, True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
             state = F.when(F.col(leaf) == 0, F.col(f"_f_{n}")).otherwise(F.col(f"_t_{n}"))
             out[n] = F.col(f"_z_{n}") + F.exp((at + 1) * F.lit(lq)) * state
-        b = b.add(z).add(tail).add(out).drop(*z, *tail)
-        return b.drop(j, leaf) if mine else b
-
-    def ema_index(self, col: str, alphas: list[float]) -> tuple["Blocks", "EmaIndex"]:
-        """Positions and leaves for EMAs over columns that are null where ``col`` is."""
-        rates = [-math.log1p(-a) for a in alphas if 0.0 < a < 1.0]
-        if not rates or min(a for a in alphas) <= 0.0:
-            raise ValueError("smoothing factors must be above 0 (0 keeps the first value: use first_value)")
-        leaf_rows = max(1, int(300.0 / max(rates)))
-        if leaf_rows * min(rates) < 60.0:
-            raise ValueError("smoothing factors too far apart for one index; use one index each")
-        pos, leaf = f"_j_{col}", f"_l_{col}"
+        return b.add(z).add(tail).add(out).drop(*z, *tail)
+
+    def ema_index(self, col: str, alpha: float) -> tuple["Blocks", "EmaIndex"]:
+        """Positions and leaves for EMAs of rows where ``col`` is not null; leaves made
+        before are used again if they suit this factor."""
+        if not 0.0 < alpha < 1.0:
+            raise ValueError("a smoothing factor is above 0 and below 1 here")
+        rate = -math.log1p(-alpha)
+        for index in self.indexes:
+            if index.col == col and 60.0 <= index.rows * rate <= 600.0:
+                return self, index
+        rows = max(1, int(200.0 / rate))
+        k = len(self.indexes)
+        index = EmaIndex(col, f"_pos{k}", f"_leaf{k}", rows)
         run = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        b = self.add({pos: F.count(col).over(run) - 1})
-        b = b.add({leaf: F.floor(F.col(pos) / leaf_rows)})
-        return b, EmaIndex(pos, leaf, leaf_rows)
+        b = self.add({index.pos: F.count(col).over(run) - 1})
+        b = b.add({index.leaf: F.floor(F.col(index.pos) / rows)})
+        return Blocks(b.df, b.axis, b.split, b.halo, (*b.indexes, index)), index
 
 
 @dataclass(frozen=True)
 class EmaIndex:
+    col: str
     pos: str
     leaf: str
     rows: int

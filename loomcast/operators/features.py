@@ -108,15 +108,13 @@ def exponential_smoothing(
     # Sum of weighted values over sum of weights, n rows into the series:
     #   (e_n - q^n·x_0) / (1 - q^n), q = 1 - alpha
     # where e is seeded with x_0; q^n vanishes long before a second block begins.
-    b = b.ema({"_e": ("close", alpha)})
-    # q^n·x_0 and q^n as EMAs too: feed zeros after the first value
+    # q^n·x_0 and q^n are EMAs too, of a value followed by zeros.
     first = b.lag("close").isNull()
     b = b.add({"_x0": F.when(first, F.col("close")).otherwise(0.0), "_one": F.when(first, 1.0).otherwise(0.0)})
-    b, idx = b.ema_index("close", [alpha])
-    b = b.ema({"_dx": ("_x0", alpha), "_d1": ("_one", alpha)}, idx)
+    b = b.ema({"_e": ("close", alpha), "_dx": ("_x0", alpha), "_d1": ("_one", alpha)}, like="close")
     q = 1.0 - alpha
     smooth = (F.col("_e") - q * F.col("_dx")) / (1 - q * F.col("_d1"))
-    return b.add({"smooth": smooth}).drop("_e", "_dx", "_d1", "_x0", "_one", idx.pos, idx.leaf).rows()
+    return b.add({"smooth": smooth}).drop("_e", "_dx", "_d1", "_x0", "_one").rows()
 
 
 # -- splits ------------------------------------------------------------------

@@ -101,19 +101,16 @@ def _ema(b, p, names):
 
 
 def _cascade(depth: int, combine: Callable[[list[Column], Params], Column]):
-    """EMA of EMA of ...; all stages share one index, so one sort serves them all."""
+    """EMA of EMA of ...; all stages share their leaves, so one sort serves them all."""
 
     def build(b: Blocks, p: Params, names):
         a = span_alpha(_win(p))
-        if a >= 1.0:
-            return b.add({names[0]: F.col("close")})
-        b, idx = b.ema_index("close", [a])
         stages, src = [], "close"
         for i in range(depth):
             stages.append(f"_{names[0]}_{i}")
-            b = b.ema({stages[-1]: (src, a)}, idx)
+            b = b.ema({stages[-1]: (src, a)}, like="close")
             src = stages[-1]
-        return b.add({names[0]: combine([F.col(s) for s in stages], p)}).drop(*stages, idx.pos, idx.leaf)
+        return b.add({names[0]: combine([F.col(s) for s in stages], p)}).drop(*stages)
 
     return build
 
@@ -221,11 +218,10 @@ register("MOM", {"window": 10}, ("",), lambda p: _win(p), _mom)
 def _macd(b, p, names):
     fast, slow, sig = (span_alpha(_win(p, k)) for k in ("fast", "slow", "signal"))
     f, s = f"_{names[0]}_f", f"_{names[0]}_s"
-    b, idx = b.ema_index("close", [fast, slow, sig])
-    b = b.ema({f: ("close", fast), s: ("close", slow)}, idx)
+    b = b.ema({f: ("close", fast), s: ("close", slow)})
     b = b.add({names[0]: F.col(f) - F.col(s)}).drop(f, s)
-    b = b.ema({names[1]: (names[0], sig)}, idx)
-    return b.add({names[2]: F.col(names[0]) - F.col(names[1])}).drop(idx.pos, idx.leaf)
+    b = b.ema({names[1]: (names[0], sig)}, like="close")
+    return b.add({names[2]: F.col(names[0]) - F.col(names[1])})
 
 
 def _aroon(b, p, names):
@@ -256,12 +252,11 @@ def _directional(b: Blocks, n: int, name: str) -> tuple[Blocks, str, str, list[s
         tr: F.when(up.isNotNull(), true_range(b)),
     })
     a = 1.0 / n
-    b, idx = b.ema_index(tr, [a])
     sp, sm, st = (f"_{name}_{x}" for x in ("sp", "sm", "st"))
-    b = b.ema({sp: (pdm, a), sm: (mdm, a), st: (tr, a)}, idx)
+    b = b.ema({sp: (pdm, a), sm: (mdm, a), st: (tr, a)}, like=tr)
     pdi, mdi = f"_{name}_pdi", f"_{name}_mdi"
     b = b.add({pdi: 100 * F.try_divide(F.col(sp), F.col(st)), mdi: 100 * F.try_divide(F.col(sm), F.col(st))})
-    return b, pdi, mdi, [pdm, mdm, tr, sp, sm, st, pdi, mdi, idx.pos, idx.leaf]
+    return b, pdi, mdi, [pdm, mdm, tr, sp, sm, st, pdi, mdi]
 
 
 def _dmi(b, p, names):
@@ -273,10 +268,9 @@ def _adx(b, p, names):
     n = _win(p)
     b, pdi, mdi, temp = _directional(b, n, names[0])
     dx = f"_{names[0]}_dx"
-    total = F.col(pdi) + F.col(mdi)
-    b = b.add({dx: F.when(total.isNotNull(),
-                          F.coalesce(100 * F.try_divide(F.abs(F.col(pdi) - F.col(mdi)), total), F.lit(0.0)))})
-    return b.ema({names[0]: (dx, 1.0 / n)}).drop(dx, *temp)
+    spread = 100 * F.try_divide(F.abs(F.col(pdi) - F.col(mdi)), F.col(pdi) + F.col(mdi))
+    b = b.add({dx: F.when(F.col(temp[2]).isNotNull(), F.coalesce(spread, F.lit(0.0)))})
+    return b.ema({names[0]: (dx, 1.0 / n)}, like=temp[2]).drop(dx, *temp)
 
 
 def _mid(b: Blocks, n: int) -> Column:

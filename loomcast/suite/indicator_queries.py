@@ -199,7 +199,7 @@ indicator(
     "adx", {"name": "ADX"}, {"adx": ("ADX_14", 4)},
     _ADX.replace("SELECT symbol, ts, rn,", ", dm AS MATERIALIZED (SELECT symbol, ts, rn,", 1).replace(") , dm", "), dm", 1)
     + """), dx AS MATERIALIZED (SELECT symbol, ts, rn,
-      CASE WHEN pdi + mdi IS NULL THEN NULL WHEN pdi + mdi = 0 THEN 0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx
+      CASE WHEN rn > 1 THEN coalesce(100 * abs(pdi - mdi) / nullif(pdi + mdi, 0), 0) END AS dx
       FROM dm),
     x AS (SELECT symbol, ts, rn, dx AS adx FROM dx WHERE rn = 1
       UNION ALL SELECT d.symbol, d.ts, d.rn, """ + _wilder("d.dx", "p.adx").replace("b.", "d.") + """
