@@ -71,6 +71,7 @@ def load_predictions(
 
 
 def save_meta(meta: DataFrame, root: str) -> str:
+    """Append run metas as JSON, one per line (read with ``multi_line=False``)."""
     meta.write.mode("append").json(root)
     return root
 

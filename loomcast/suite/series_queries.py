@@ -11,6 +11,7 @@ from loomcast.functions.series import DAILY
 from loomcast.operators import features as ft
 from loomcast.operators import preprocess as pp
 from loomcast.operators.indicators import model_frame
+from loomcast.plans.config import select_by_prefix
 from loomcast.session import scratch
 from loomcast.sources import bars as bs
 from loomcast.suite.indicator_queries import W, fr, full, lag, over
@@ -167,7 +168,14 @@ SELECT symbol, ts, high * high AS high_x_high, high * low AS high_x_low, low * l
     lambda t: pp.polynomial(t.bars_daily(), ["high", "low"]))
 
 
-# the sign of an axis is arbitrary
-query("prep_pca", ["symbol", "ts"], {"pc_1": 3, "pc_2": 3})(
-    lambda t: pp.pca(t.bars_daily(), ["open", "high", "low", "close"], 2)[0].withColumns(
-        {"pc_1": F.abs("pc_1"), "pc_2": F.abs("pc_2")}))
+# two columns: the axes are a rotation by the closed-form angle; the sign of an axis is arbitrary
+query("prep_pca", ["symbol", "ts"], {"pc_1": 3, "pc_2": 3}, f"""{DAILY_SQL}, a AS (
+  SELECT 0.5 * atan2(2 * covar_samp(high, low), var_samp(high) - var_samp(low)) AS th FROM bars_daily)
+SELECT symbol, ts, abs(cos(th) * high + sin(th) * low) AS pc_1, abs(cos(th) * low - sin(th) * high) AS pc_2
+FROM bars_daily, a""")(
+    lambda t: pp.pca(t.bars_daily(), ["high", "low"], 2)[0].withColumns({"pc_1": F.abs("pc_1"), "pc_2": F.abs("pc_2")}))
+query("feature_columns", ["symbol", "ts"], {"lag_1": 2, "lag_5": 2}, f"""{DAILY_SQL}
+SELECT * FROM ({over('SELECT symbol, ts, close FROM bars_daily', f"{lag('close')} AS lag_1", f"{lag('close', 5)} AS lag_5",
+    f"{full('avg', 'close', 5)} AS sma_5", f"lead(close, 1) OVER ({W}) AS target")}) f
+WHERE lag_5 IS NOT NULL AND sma_5 IS NOT NULL AND target IS NOT NULL""")(
+    lambda t: select_by_prefix(ft.make_features(t.bars_daily(), (1, 5), (5,), DAILY), ["symbol", "ts"], ["lag_"]))

@@ -166,6 +166,25 @@ def _saved(t):
 
 query("predictions_saved", ["plan_id", "run_id", "symbol", "ts", "horizon", "model_id"], {"y_true": 2, "y_pred": 2},
       f"{ctes('predictions')} SELECT * FROM predictions")(_saved)
+
+
+def _meta(t):
+    """One meta per order as a run, written and read back as JSON."""
+    o = t.read("orders")
+    meta = o.select(
+        F.lit("plan_demo").alias("plan_id"), F.col("o_orderkey").cast("string").alias("run_id"),
+        F.date_sub(F.to_date("o_orderdate"), 30).alias("train_start"), F.to_date("o_orderdate").alias("train_end"),
+        F.lit(1).alias("predict_horizon"),
+        F.array(F.struct(F.lit("mape").alias("name"), (F.col("o_custkey") % 7).cast("double").alias("threshold"))).alias("metrics"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    back = ar.load_meta(t.spark, ar.save_meta(meta, scratch(t.spark, "meta")), multi_line=False)
+    return ntz(back, "created_at").select("*", F.explode("metrics").alias("m")).select("*", "m.name", "m.threshold")
+
+
+query("meta_saved", ["run_id", "train_start", "train_end", "created_at", "name"], {"threshold": 2}, """
+SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(CAST(o_orderdate AS DATE) - 30 AS DATE) AS train_start,
+  CAST(o_orderdate AS DATE) AS train_end, CAST(o_orderdate AS TIMESTAMP) AS created_at, 'mape' AS name,
+  o_custkey % 7 AS threshold FROM orders""")(_meta)
 query("column_backfill", ["id", "seq", "status", "owner"], {}, f"""{LOG}
 SELECT id, seq, coalesce(CASE WHEN status <> 'RUNNING' THEN status END, 'UNKNOWN') AS status, 'nobody' AS owner FROM status_log""")(
     lambda t: ar.ensure_column(ar.ensure_column(
