@@ -19,13 +19,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomcast.session import scratch
 
 
-def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
+    """Parquet files of a folder or path pattern as a stream."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(path)
     )
 
 
@@ -224,9 +223,8 @@ def follow_after(tail: DataFrame, stream: DataFrame, key: str, seq: str) -> Data
 
 
 def incremental(
-    spark: SparkSession, folder: str, schema, job: Callable[[DataFrame], DataFrame], state: str,
-    glob: str = "*.parquet", label: str = "refresh",
+    spark: SparkSession, path: str, schema, job: Callable[[DataFrame], DataFrame], state: str, label: str = "refresh",
 ) -> DataFrame:
     """Scheduled refresh: run ``job`` on the files that arrived since the last call with
     the same ``state`` folder."""
-    return run_available(job(read_stream(spark, folder, schema, glob)), "append", label, state)
+    return run_available(job(read_stream(spark, path, schema)), "append", label, state)

@@ -14,9 +14,18 @@ from loomcast.suite.monitor_queries import REASON, envelopes
 from loomcast.suite.registry import query
 
 
+def raw(t):
+    return st.read_stream(t.spark, files(t), t.read("events").schema)
+
+
+def files(t):
+    """The events table as a stream source: a pattern, as it may be one file or a folder."""
+    return t.path("events")[:-1] + "[t]"
+
+
 def stream(t):
     """The events as a file stream; the watermark allows an hour of delay."""
-    return st.event_time(st.read_stream(t.spark, t.dir, t.read("events").schema, "events.parquet"), "ts", "1 hour")
+    return st.event_time(raw(t), "ts", "1 hour")
 
 
 def ntz(df, *cols):
@@ -65,7 +74,7 @@ query("stream_dedup", ["event_id", "event_type"], {"value": 2}, "SELECT event_id
 
 def _outbox(t):
     """Every event arrives twice in one batch."""
-    s = st.read_stream(t.spark, t.dir, t.read("events").schema, "events.parquet")
+    s = raw(t)
     return t.spark.read.parquet(st.write_once(s.union(s), ["event_id"], scratch(t.spark, "outbox")))
 
 
@@ -146,7 +155,7 @@ def _refresh(t):
         return w
 
     for _ in range(2):
-        out = st.incremental(t.spark, t.dir, schema, job, state, "events.parquet")
+        out = st.incremental(t.spark, files(t), schema, job, state)
     return ntz(out, "w_start")
 
 
@@ -156,8 +165,8 @@ HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT date_trunc('mill
 
 
 def _routed(t):
-    raw = st.read_stream(t.spark, t.dir, t.read("events").schema, "events.parquet")
-    good, dead = st.route(envelopes(raw), split_envelopes, scratch(t.spark, "routed"))
+    incoming = raw(t)
+    good, dead = st.route(envelopes(incoming), split_envelopes, scratch(t.spark, "routed"))
     rows = [t.spark.read.parquet(p).select("row_id", F.lit(n).alias("outcome")) for n, p in (("good", good), ("dead", dead))]
     return rows[0].unionByName(rows[1])
 

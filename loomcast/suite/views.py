@@ -24,7 +24,10 @@ class Tables:
         self._longest: int | None = None
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
+        return self.spark.read.parquet(self.path(name))
+
+    def path(self, name: str) -> str:
+        return os.path.join(self.dir, f"{name}.parquet")
 
     # -- bars ------------------------------------------------------------------
     def bars_daily(self) -> DataFrame:
