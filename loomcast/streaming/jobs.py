@@ -93,7 +93,8 @@ def sessions(df: DataFrame, ts: str, key: Sequence[str], gap: str, **aggs: Colum
 
 
 def deduplicated(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One event per id among those that arrive within the watermark."""
+    """One event per id among those that arrive within the watermark.  Copies meet in the
+    state, one task per id: where one id may be repeated without bound, use ``write_once``."""
     return df.dropDuplicatesWithinWatermark(list(ids))
 
 
