@@ -19,13 +19,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomcast.session import scratch
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1000) -> DataFrame:
     """Parquet files of a folder or path pattern as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -99,9 +98,11 @@ def deduplicated(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def recorded(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """The rows another job wrote to its ``folder``, as a stream (in order of writing)."""
+    """The rows another job wrote to its ``folder``, as a stream.  All that is there is one
+    micro-batch: the files of one recorded batch are not in time order, so a batch must
+    not be cut between them.  Record first, then read."""
     names = [f.name for f in schema.fields]
-    return read_stream(spark, os.path.join(folder, "data"), schema).select(*names)
+    return read_stream(spark, os.path.join(folder, "data"), schema, None).select(*names)
 
 
 # -- alert hold ------------------------------------------------------------------
@@ -122,6 +123,8 @@ def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> Data
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, last, firing = state.get if state.exists else (None, None, False)
         rows = pd.concat(list(frames)).sort_values("at")
+        if last is not None:  # a late evaluation cannot change what was decided after it
+            rows = rows[rows["at"].astype("int64") // 1000 > last]
         out = []
         for at, bad in zip(rows["at"].astype("int64") // 1000, rows["bad"]):
             gap = last is not None and at - last > every

@@ -119,3 +119,13 @@ def test_outbox_writes_each_event_once(spark):
         data = st.write_once(st.read_stream(spark, src, _schema(spark)), ["event_id"], out)
         got = [r.event_id for r in spark.read.parquet(data).collect()]
         assert sorted(got) == list(range(5 * part + 10))
+
+
+def test_recorded_batches_are_read_whole(spark):
+    """The files of a recorded batch hold its evaluations in no order of time."""
+    folder = scratch(spark, "recorded")
+    ev = spark.createDataFrame([("s", at, v > 0) for _, _, at, v in _evals(PATTERN)], "series string, at timestamp, bad boolean")
+    ev.repartition(12, "at").write.parquet(folder + "/data/batch=0")
+    out = st.run_available(st.hold_alerts(st.recorded(spark, folder, ev.schema), 120, 60), "append")
+    got = sorted(r.since for r in out.where("state = 'FIRING'").collect())
+    assert got == [T0 + dt.timedelta(minutes=m) for m in (4, 9, 20)]
