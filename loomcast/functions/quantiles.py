@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomcast.functions.series import join_on, longest_series, settle
 
 #: Groups up to this many rows use the built-in exact aggregate (one map per group).
-DIRECT_ROWS = 1 << 20
+DIRECT_ROWS = 1 << 17
 #: Accuracy of the sketch that brackets a quantile: rank error at most rows/SKETCH.
 SKETCH = 10_000
 
