@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomcast.llm.bpe_trie import encode_decode
 from loomcast.llm.common import table
 from loomcast.llm.exact_dedup import exact_groups
+from loomcast.llm.packing import pack
 from loomcast.llm.registry import QUERIES, SQL, query  # noqa: F401
 from loomcast.llm.token_counts import count_tokens
 
@@ -30,3 +31,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe_trie")
 def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
