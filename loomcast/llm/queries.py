@@ -13,6 +13,7 @@ from loomcast.llm.exact_dedup import exact_groups
 from loomcast.llm.near_dedup import near_groups
 from loomcast.llm.packing import pack
 from loomcast.llm.registry import QUERIES, SQL, query  # noqa: F401
+from loomcast.llm.sharding import shard_documents
 from loomcast.llm.token_counts import count_tokens
 
 
@@ -71,3 +72,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out("_lid"))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents"), 40)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
