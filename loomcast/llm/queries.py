@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomcast.llm import toxicity
 from loomcast.llm.bpe_trie import encode_decode
 from loomcast.llm.common import table
+from loomcast.llm.embedding_dedup import near_vectors
 from loomcast.llm.exact_dedup import exact_groups
 from loomcast.llm.near_dedup import near_groups
 from loomcast.llm.packing import pack
@@ -80,3 +81,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op2_embedding_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (SELECT vec_id, vec_id AS to_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.to_id = l.a
+)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) n USING (vec_id)
+JOIN (SELECT vec_id, min(to_id) AS c FROM r GROUP BY 1) c USING (vec_id)
+""")
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
