@@ -11,6 +11,7 @@ from loomcast.llm.bpe_trie import encode_decode
 from loomcast.llm.common import table
 from loomcast.llm.embedding_dedup import near_vectors
 from loomcast.llm.exact_dedup import exact_groups
+from loomcast.llm.line_dedup import near_lines
 from loomcast.llm.near_dedup import near_groups
 from loomcast.llm.packing import pack
 from loomcast.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -120,3 +121,26 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tree = chat.threads(rows.unionByName(more))
     return chat.digests(chat.format_trees(tree, "conv_id", "node", "parent"), "conv_id")
+
+
+@query("op5_line_dedup", """
+WITH RECURSIVE l AS (
+  SELECT line, min(doc_id) AS doc_id, count(*) AS n_rows FROM
+    (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY 1
+), s AS (SELECT line, strlen(line) AS n FROM l WHERE strlen(line) >= 16
+), p AS (
+  SELECT a.line AS a, b.line AS b FROM s a JOIN s b ON b.n IN (a.n - 2, a.n - 1, a.n, a.n + 1, a.n + 2) AND a.line <> b.line
+  WHERE levenshtein(a.line, b.line) <= 2
+), r AS (SELECT DISTINCT a AS line, a AS to_line FROM p UNION SELECT r.line, p.b FROM r JOIN p ON r.to_line = p.a
+), c AS (SELECT r.line, min(ROW(l.doc_id, l.line)) AS f FROM r JOIN l ON l.line = r.to_line GROUP BY 1
+), k AS (SELECT a AS line, count(*) AS n_links FROM p GROUP BY 1
+)
+SELECT l.doc_id, md5(l.line) AS line_md5, l.n_rows, coalesce(k.n_links, 0) AS n_links, coalesce(c.f[1], l.doc_id) AS class_id,
+  md5(coalesce(c.f[2], l.line)) AS class_md5, coalesce(c.f[2], l.line) = l.line AS kept
+FROM l LEFT JOIN c USING (line) LEFT JOIN k USING (line)
+""")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_lines(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.md5("line").alias("line_md5"), "n_rows", "n_links", "class_id", F.md5("class_line").alias("class_md5"), "kept"
+    )
