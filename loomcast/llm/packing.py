@@ -10,49 +10,107 @@ piece finds its window from its length and its number among the pieces of that l
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm.common import number, settle
-from loomcast.llm.pieces import Memo, by_bytes, single_threaded, texts_of
-from loomcast.llm.token_counts import BATCH_BYTES, cutter
+from loomcast.llm.pieces import DOUBTFUL, leading_space, single_threaded, stretches, texts_of
+from loomcast.llm.token_counts import cutter
 
 TIERS = (256, 512, 1024, 2048)
+#: fixed value: the pattern by which byte-level files cut text into words
+_WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: what is left to the first library: anything but white space, signs and Latin letters, and very long words
+_ODD = regex.compile("[^\t\n\r -~\xa1-\u024f]|[^\t\n\r ]{2000}|[\t\n\r ]{2000}")
+#: byte-level files write bytes as letters: printable ones as themselves, the others from U+0100 on, in order
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces (id, doc_tokens, start, length, ids_crc32) of every document, in one pass without shuffle.
+class ByteCodec:
+    """Ids of texts, as little-endian 32-bit integers, as a tokenizers file gives them.
 
-    Ids are those of the tokenizers file without special tokens, then ``end_id``.  Pieces of text are encoded once per
-    worker and remembered, within bounds, as little-endian 32-bit ids; checksums run on, so long texts are never held
-    as ids."""
+    The ids of a byte-level file whose merges have ids in their own order are those of its vocabulary taken as ranks,
+    which a second library encodes several times faster.  It gets the text whose letters have the same classes in all
+    versions of Unicode, without special strings and very long words; the rest, and files of other kinds, go through
+    the first library.  Both get the text between safe cuts, so the ids join to those of the whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
         single_threaded()
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        cut, memo, full = cutter(path), Memo(), 4 * window
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.cut = cutter(path)
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.ranked = self._ranked(path) if self.cut is leading_space else None
+
+    @staticmethod
+    def _ranked(path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        vocab = model["vocab"]
+        first = len(_LETTERS)
+        if any(vocab.get("".join(m)) != first + i for i, m in enumerate(merges)):
+            return None
+        plain = {t: i for t, i in vocab.items() if i < first + len(merges)}
+        if len(plain) != first + len(merges):
+            return None
+        ranks = {bytes(_LETTERS[c] for c in t): i for t, i in plain.items()}
+        return tiktoken.Encoding("ranks", pat_str=_WORD, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        return self.ranked is not None and _ODD.search(text) is None and not (self.special and self.special.search(text))
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, in parts."""
+        if self.ranked is None:
+            for pieces in self.cut(text):
+                yield from (array("I", self.tok.encode(p, add_special_tokens=False).ids).tobytes() for p in pieces)
+            return
+        for part in [text] if DOUBTFUL.search(text) else stretches(text):
+            if self.plain(part):
+                yield array("I", self.ranked.encode_ordinary(part)).tobytes()
+                continue
+            run: list[str] = []
+            for p in (p for ps in leading_space(part) for p in ps):
+                if self.plain(p):
+                    run.append(p)
+                    continue
+                yield array("I", self.ranked.encode_ordinary("".join(run))).tobytes()
+                run = []
+                yield array("I", self.tok.encode(p, add_special_tokens=False).ids).tobytes()
+            yield array("I", self.ranked.encode_ordinary("".join(run))).tobytes()
+
+
+def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
+    """Pieces (id, doc_tokens, start, length, ids_crc32) of every document, in one pass without shuffle.
+
+    Ids are those of the tokenizers file without special tokens, then ``end_id``.  Texts go through in stretches, and
+    full windows leave at once, so a long text is never held as ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, full = ByteCodec(path), 4 * window
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             row, total, start, length, crc = [], [], [], [], []
             for at, text in enumerate(texts_of(batch)):
                 first, done, rest = len(row), 0, b""
-                for pieces in cut(text):
-                    new = memo.missing(pieces)
-                    for some in by_bytes(new, BATCH_BYTES):
-                        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                            memo.young[p] = np.array(e.ids, dtype="<u4").tobytes()
-                    rest += b"".join(map(memo.young.__getitem__, pieces))
-                    memo.trim()
+                for ids in codec.encode(text):
+                    rest += ids
                     whole = len(rest) // full * full
                     for i in range(0, whole, full):
                         row.append(at), start.append(done), length.append(window), crc.append(zlib.crc32(rest[i : i + full]))

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 
 #: characters that Python's split takes for white space but the tokenizers' patterns may not, or the other way round
-_DOUBTFUL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎​ -     　﻿]")
+DOUBTFUL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎​ -     　﻿]")
 #: white space goes with the word after it; what is left at the end is a piece of its own
 _LEADING = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: characters of a text that are cut into pieces at a time
@@ -37,14 +37,14 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
 def dropped_space(text: str) -> Iterator[list[str]]:
     """Pieces for tokenizers that drop white space: between any white space."""
     for part in stretches(text):
-        yield part.split(" ") if _DOUBTFUL.search(part) else part.split()
+        yield part.split(" ") if DOUBTFUL.search(part) else part.split()
 
 
 def leading_space(text: str) -> Iterator[list[str]]:
     """Pieces for byte-level tokenizers, where white space belongs to the word that follows: a cut lies only between
     a character that isn't white space and one that is, which no token of their pattern spans.  A text with white
     space about which the patterns may disagree is one piece."""
-    if _DOUBTFUL.search(text):
+    if DOUBTFUL.search(text):
         yield [text]
         return
     for part in stretches(text):
