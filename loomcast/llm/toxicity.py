@@ -12,6 +12,7 @@ documents, in as many different neighbourhoods (so copies of one document don't
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -33,8 +34,8 @@ WINDOW, OVERLAP = 64, 16
 SHORTEST, LONGEST = 5, 12
 #: neighbours that are told apart when contexts are counted
 CONTEXTS = 64
-#: how much likelier a beginning must be in toxic documents, and the log likelihood ratio that this needs
-TIMES, SIGNIFICANT = 20, 15.0
+#: how much likelier a beginning must be in toxic documents
+TIMES = 20
 #: bytes of the ordinary dictionary
 DICTIONARY = 3_000_000
 #: windows whose result a worker remembers
@@ -60,8 +61,21 @@ def wide(padded: str) -> bytes:
     return b"".join(xxhash.xxh64_digest(g.encode("utf-8", "surrogatepass")) for g in grams(padded))
 
 
+def originals(docs: list[tuple[list[str], int]]) -> Iterator[tuple[list[str], int]]:
+    """The documents without near copies of earlier ones: those that share one of their four least hashed runs of
+    three words.  Copies of one document must not pass for many documents that say the same."""
+    seen: set[int] = set()
+    for ws, toxic in docs:
+        runs = {xxhash.xxh3_64_intdigest(" ".join(ws[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(len(ws) - 2)}
+        least = heapq.nsmallest(4, runs)
+        if seen.isdisjoint(least):
+            yield ws, toxic
+        seen.update(least)
+
+
 def distinctive(docs: list[tuple[list[str], int]]) -> dict[str, int]:
     """Word beginnings that set toxic documents apart, with the documents they stand in."""
+    docs = list(originals(docs))
     n = Counter(t for _, t in docs)
     seen: Counter = Counter()
     for ws, toxic in docs:
@@ -82,12 +96,13 @@ def distinctive(docs: list[tuple[list[str], int]]) -> dict[str, int]:
                     if len(after[p]) < CONTEXTS:
                         after[p].add(ws[i + 1] if i + 1 < len(ws) else "")
     kept = set()
+    significant = 2 * math.log(max(len(common), 2))  # so that chance alone lets about one of all of them through
     for p in common:
         a, b = seen[p], elsewhere[p]
         contexts = min(len(before[p]), len(after[p]))
         if contexts < CONTEXTS:
             a = min(a, contexts)
-        if a > 1 and a / n[1] >= TIMES * (b + 0.5) / max(n[0], 1) and _ratio(a, n[1], b, n[0]) > SIGNIFICANT:
+        if a > 1 and a / n[1] >= TIMES * (b + 0.5) / max(n[0], 1) and _ratio(a, n[1], b, n[0]) > significant:
             kept.add(p)
     # of nested beginnings the shortest, lengthened while most of its documents stay
     longer = defaultdict(list)
@@ -235,7 +250,7 @@ def fit_sample(texts: list[tuple[int, str, int]]) -> Model:
     right = {t: np.mean((tops >= t) == (y == 1)) for t in range(1, 33)}
     best = max(right.values())
     good = [t for t in right if right[t] >= best - 0.0005]
-    model.threshold = max(1, round(sum(good) / len(good)))
+    model.threshold = good[len(good) // 2]
     x = np.stack([_features(g, model.threshold) for g in gains])
     w = np.zeros(3)
     for _ in range(50):  # Newton steps with a weak prior, which keeps separable samples finite
@@ -249,7 +264,7 @@ def fit_sample(texts: list[tuple[int, str, int]]) -> Model:
 
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", toxic_docs: int = 1500, ordinary_docs: int = 3000, longest: int = 65_536,
+    label_col: str = "toxic", toxic_docs: int = 1200, ordinary_docs: int = 2400, longest: int = 65_536,
 ) -> Model:
     """Fit on a bounded sample of labelled documents: at most ``toxic_docs`` and ``ordinary_docs`` of those that
     ``learn`` (a condition on the id) allows, the first in the order of a hash of the id, without texts of more than
