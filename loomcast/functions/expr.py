@@ -36,7 +36,11 @@ def digest_id(prefix: str, *parts) -> Column:
     """Deterministic id: the prefix and 32 hex digits of a digest of the parts, so that a
     rerun after a lost executor gives the same id.  (8 digits, as short random ids have,
     collide from some ten thousand ids on, and ids are joined on.)"""
-    text = F.concat_ws("|", *[_c(p).cast("string") for p in parts])
+    marked = []  # each part after its length, so that no two lists of parts, nulls among them, read alike
+    for p in parts:
+        s = _c(p).cast("string")
+        marked.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
+    text = F.concat(*marked)
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, ID_DIGITS))
 
 
@@ -91,10 +95,12 @@ def business_calendar(
 
 
 def with_next_open(df: DataFrame, day: str, calendar: DataFrame, out: str = "next_open") -> DataFrame:
-    """Join the calendar (a dimension of one row per day, and per market if it has one)."""
+    """Join the calendar (a dimension of one row per day, and per market if it has one); a day outside its span gets
+    the next weekday."""
     cal = calendar.withColumnRenamed("next_open", out)
     on = df[day] == cal["day"]
     if "market" in cal.columns:
         cal = cal.withColumnRenamed("market", "_market")
         on = on & (df["market"] == cal["_market"])
-    return df.join(cal, on, "left").drop("day" if day != "day" else cal["day"], "_market")
+    joined = df.join(cal, on, "left").withColumn(out, F.coalesce(F.col(out), next_weekday(df[day])))
+    return joined.drop("day" if day != "day" else cal["day"], "_market")

@@ -327,13 +327,13 @@ def lay_out(df: DataFrame, axis: Axis, lookback: int = 0, lookahead: int = 0) ->
     shared_dir(df.sparkSession)
     size = max(axis.block_rows, lookback, 1)
     width = int(axis.slice_seconds * 1e6) if axis.slice_seconds else max(1, span * size // (4 * longest))
-    for _ in range(4):
+    while True:
         rows = df.withColumn("_slice", F.floor(at / width))
         counts = rows.groupBy(*axis.key, "_slice").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
         n_slices, fullest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
         if fullest <= size or width == 1:
             break
-        # rows crowd in a part of the time span: count again in narrower slices
+        # rows crowd in a part of the time span: count again in narrower slices, down to single times
         width = max(1, width * size // (4 * fullest))
 
     by_slice = Window.partitionBy(*axis.key).orderBy("_slice")

@@ -382,11 +382,13 @@ register("DONCHIAN", {"window": 20}, ("UPPER", "LOWER", "MID"), lambda p: _win(p
 # -- entry points ------------------------------------------------------------
 
 def column_names(name: str, params: Mapping) -> tuple[str, ...]:
-    """NAME_<params>[_OUTPUT]: SMA_5, STOCH_14_3_3_K, MACD_12_26_9."""
+    """NAME_<params>[_OUTPUT]: SMA_5, STOCH_14_3_3_K, MACD_12_26_9, BBANDS_20_STD3_UPPER."""
     ind = REGISTRY[name]
     full = {**ind.defaults, **params}
-    base = "_".join([name, *[f"{v:g}".replace(".", "p") for k, v in full.items()
-                             if k not in ("constant", "volume_factor", "std", "roc_long", "roc_short")]])
+    quiet = ("constant", "volume_factor", "std", "roc_long", "roc_short")  # named only where they differ from the default
+    parts = [f"{v:g}" for k, v in full.items() if k not in quiet]
+    parts += [f"{k.replace('_', '').upper()}{full[k]:g}" for k in quiet if k in full and full[k] != ind.defaults[k]]
+    base = "_".join([name, *[p.replace(".", "p") for p in parts]])
     return tuple(f"{base}_{o}" if o else base for o in ind.outputs)
 
 

@@ -243,10 +243,11 @@ def ensemble_weighted(predictions: DataFrame, weights: Mapping[str, float] | Non
         predictions = predictions.withColumn("_w", w).where(F.col("_w").isNotNull())
     else:
         predictions = predictions.withColumn("_w", F.lit(1.0))
+    given = F.when(F.col("y_pred").isNotNull(), F.col("_w"))  # a model without a prediction has no say
     return predictions.groupBy("symbol", "ts", "horizon").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("y_pred")), F.sum("_w")).alias("y_pred"),
+        F.try_divide(F.sum(F.col("_w") * F.col("y_pred")), F.sum(given)).alias("y_pred"),
         F.max("y_true").alias("y_true"),
-        F.count(F.lit(1)).alias("models"),
+        F.count(given).alias("models"),
     )
 
 

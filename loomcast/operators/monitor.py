@@ -63,8 +63,10 @@ def sliding_rate(
     every ``every`` seconds.
 
     Increases are summed per step first; only those sums are copied to the windows
-    they belong to.
+    they belong to.  The step must divide the window.
     """
+    if seconds % every:
+        raise ValueError(f"a window of {seconds} s is no multiple of the step of {every} s")
     inc = increases(samples, axis)
     steps = inc.groupBy(*axis.key, window_start(axis.order, every).alias("s")).agg(F.sum("inc").alias("_i"))
     n = seconds // every
@@ -260,8 +262,10 @@ def range_query(
     """
     t = F.unix_micros(F.col(axis.order).cast("timestamp")) / 1e6
     first_step = F.greatest(F.ceil((t - F.lit(start)) / step), F.lit(0)).cast("long")
+    # the raw column is compared, in its own type, so that the bounds reach the files
+    bounds = [F.timestamp_seconds(F.lit(x)).cast(samples.schema[axis.order].dataType) for x in (start - stale, end)]
     last = (
-        samples.where((t >= start - stale) & (t <= end))
+        samples.where(F.col(axis.order).between(*bounds))
         .withColumn("_t", t)
         .groupBy(*axis.key, first_step.alias("_k"))
         .agg(*at_last(("v", "_t"), axis.order, *axis.tie))

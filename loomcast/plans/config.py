@@ -93,12 +93,13 @@ def resolve_universe(
         lookup = F.create_map(*[F.lit(x) for kv in tickers.items() for x in kv])
         return plans.withColumn(universe, F.transform(universe, lambda n: F.coalesce(F.try_element_at(lookup, n), n)))
     rest = [c for c in plans.columns if c not in (key, universe)]
-    names = plans.select(key, *rest, F.posexplode_outer(universe).alias("_pos", "_name"))
+    rows = plans.withColumn("_row", F.monotonically_increasing_id())  # plans that share an id stay apart
+    names = rows.select("_row", key, *rest, F.posexplode_outer(universe).alias("_pos", "_name"))
     t = tickers.select(F.col("name").alias("_tn"), "ticker")
     hit = names.join(t, F.col("_name") == F.col("_tn"), "left")
     item = F.struct(F.col("_pos").alias("p"), F.coalesce("ticker", "_name").alias("v"))
-    back = hit.groupBy(key).agg(
-        *[F.any_value(c).alias(c) for c in rest],
+    back = hit.groupBy("_row").agg(
+        *[F.any_value(c).alias(c) for c in (key, *rest)],
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), item))).alias("_u"),
     )
     return back.select(key, *rest, F.transform("_u", lambda s: s["v"]).alias(universe))

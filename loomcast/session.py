@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,8 @@ def build_session(app: str = "loomcast", master: str | None = None, **conf: str)
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # sessions of one key merge inside each map task before the shuffle
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -48,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="loomcast-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -121,9 +121,10 @@ def resample(bars: DataFrame, freq: str) -> DataFrame:
 
 
 def adjust(bars: DataFrame) -> DataFrame:
-    """Prices on the scale of the adjusted close (splits and dividends taken out)."""
-    k = F.try_divide(F.col("adj_close"), F.col("close"))
-    return bars.withColumns({c: F.col(c) * k for c in ("open", "high", "low")} | {"close": F.col("adj_close")}).drop("adj_close")
+    """Prices on the scale of the adjusted close (splits and dividends taken out); bars without one stay as they are."""
+    k = F.coalesce(F.try_divide(F.col("adj_close"), F.col("close")), F.lit(1.0))
+    scaled = {c: F.col(c) * k for c in ("open", "high", "low")}
+    return bars.withColumns(scaled | {"close": F.coalesce("adj_close", "close")}).drop("adj_close")
 
 
 def load_bars(

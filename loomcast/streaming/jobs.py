@@ -32,25 +32,45 @@ def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
+def _finish(q, timeout: int | None, what: str) -> None:
+    """Wait for a stream that ends by itself; with a ``timeout``, no longer than that many seconds."""
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(f"{what} did not finish in {timeout} s")
+
+
 def run_available(
     df: DataFrame, mode: str = "update", label: str = "stream", folder: str | None = None,
-    timeout: int = 600, counts: dict | None = None,
+    timeout: int | None = None, counts: dict | None = None,
 ) -> DataFrame:
     """Process everything available now and give the written rows with their ``batch``.
 
     ``folder`` keeps data and offsets between calls: a second call only reads what is new.
-    ``counts`` receives the rows read and the rows dropped as later than the watermark.
+    ``counts`` receives the rows read and the rows dropped as later than the watermark, of all batches.  There is no
+    time limit unless ``timeout`` gives one.
     """
     spark = df.sparkSession
     root = folder or scratch(spark, label)
     data = os.path.join(root, "data")
     schema = df.schema
 
+    progress: dict = {}
+
+    def note() -> None:
+        # Spark keeps the last reports only, so they are taken over batch by batch
+        for p in q.recentProgress if q is not None else ():
+            late = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+            rows, dropped = progress.get(p["batchId"], (0, 0))
+            progress[p["batchId"]] = max(rows, p["numInputRows"]), max(dropped, late)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
+        if counts is not None:
+            note()
 
-    # sessions of one key merge inside each map task before the shuffle
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    q = None
     q = (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", os.path.join(root, "checkpoint"))
@@ -58,12 +78,11 @@ def run_available(
         .trigger(availableNow=True)
         .start()
     )
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(f"stream '{label}' did not finish in {timeout} s")
+    _finish(q, timeout, f"stream '{label}'")
     if counts is not None:
-        counts["rows"] = sum(p["numInputRows"] for p in q.recentProgress)
-        counts["late"] = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+        note()
+        counts["rows"] = sum(rows for rows, _ in progress.values())
+        counts["late"] = sum(late for _, late in progress.values())
     try:
         return spark.read.schema(schema).parquet(data)
     except AnalysisException:  # nothing arrived, so no folder was written
@@ -123,9 +142,11 @@ def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> Data
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, last, firing = state.get if state.exists else (None, None, False)
         rows = pd.concat(list(frames)).sort_values("at")
-        if last is not None:  # a late evaluation cannot change what was decided after it
-            rows = rows[rows["at"].astype("int64") // 1000 > last]
         out = []
+        if last is not None:  # a late evaluation can't change what was decided after it: it is reported, not used
+            micros = rows["at"].astype("int64") // 1000
+            out = [(at, last, "LATE") for at in micros[micros <= last]]
+            rows = rows[micros > last]
         for at, bad in zip(rows["at"].astype("int64") // 1000, rows["bad"]):
             gap = last is not None and at - last > every
             if since is not None and (gap or not bad):
@@ -155,7 +176,7 @@ def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> Data
 
 # -- dead letters ------------------------------------------------------------------
 
-def route(df: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], folder: str, timeout: int = 600) -> tuple[str, str]:
+def route(df: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], folder: str, timeout: int | None = None) -> tuple[str, str]:
     """Split every micro-batch in two (valid events, dead letters) and write both, one
     folder per batch; gives the two folders.  A batch run again replaces its own output."""
     good, dead = os.path.join(folder, "good"), os.path.join(folder, "dead")
@@ -170,15 +191,13 @@ def route(df: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame
         .trigger(availableNow=True)
         .start()
     )
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(f"routing did not finish in {timeout} s")
+    _finish(q, timeout, "routing")
     return good, dead
 
 
 # -- outbox ------------------------------------------------------------------------
 
-def write_once(df: DataFrame, ids: Sequence[str], folder: str, timeout: int = 600) -> str:
+def write_once(df: DataFrame, ids: Sequence[str], folder: str, timeout: int | None = None) -> str:
     """Append each event once, whenever its copies arrive; gives the data folder.
 
     Copies inside a micro-batch combine map-side, so an event repeated a billion times is
@@ -200,9 +219,7 @@ def write_once(df: DataFrame, ids: Sequence[str], folder: str, timeout: int = 60
         .trigger(availableNow=True)
         .start()
     )
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(f"outbox did not finish in {timeout} s")
+    _finish(q, timeout, "outbox")
     return data
 
 

@@ -81,7 +81,8 @@ def _record(t):
 
 # -- baselines, intervals, ensembles ----------------------------------------------------
 
-_DAYS = """days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1995-01-01', DATE '2011-01-31', INTERVAL 1 DAY) g(d)
+_DAYS = """days AS (SELECT CAST(d AS DATE) AS day FROM (
+  SELECT unnest(generate_series((SELECT min(ts) FROM bars_daily), (SELECT max(ts) FROM bars_daily) + INTERVAL 400 DAY, INTERVAL 1 DAY)) AS d)
   WHERE dayofweek(d) BETWEEN 1 AND 5)"""
 for _s, _agg in (("mean", "avg(close)"), ("median", "quantile_cont(close, 0.5)"), ("last", "max_by(close, ts)")):
     query(f"baseline_{_s}", ["symbol", "horizon", "date"], {"y_pred": 4}, f"""{DAILY_SQL}, {_DAYS},
@@ -177,7 +178,7 @@ c AS (SELECT plan_id, run_id, l.metric, value, threshold,
   CASE WHEN l.metric = 'r2' THEN value >= threshold ELSE value <= threshold END AS passed FROM l JOIN meta m ON l.metric = m.metric)"""
 query("metric_checks", ["plan_id", "run_id", "metric", "passed"], {"value": 4, "threshold": 4}, f"{_CHECKS} SELECT * FROM c")(
     lambda t: ck.metric_checks(ck.score_runs(t.predictions()), t.meta()))
-_REPORT = f"""{_CHECKS}, rep AS (SELECT plan_id, run_id, concat('check_', substr(sha256(concat(plan_id, '|', run_id)), 1, 32)) AS check_id,
+_REPORT = f"""{_CHECKS}, rep AS (SELECT plan_id, run_id, concat('check_', substr(sha256(concat(length(plan_id), ':', plan_id, length(run_id), ':', run_id)), 1, 32)) AS check_id,
   coalesce(max(CASE WHEN metric = 'r2' THEN value END), 0) AS r2, coalesce(max(CASE WHEN metric = 'r2' THEN threshold END), 0) AS threshold,
   bool_and(CASE WHEN metric = 'r2' THEN passed END) AS passed, bool_and(passed) AS overall_passed FROM c GROUP BY plan_id, run_id)"""
 
@@ -188,7 +189,7 @@ def _report(t):
 
 query("check_report", ["plan_id", "run_id", "check_id", "passed", "overall_passed"], {"r2": 6, "threshold": 2},
       f"{_REPORT} SELECT * FROM rep")(_report)
-_ACT = """SELECT plan_id, run_id, check_id, concat('act-', substr(sha256(check_id), 1, 32)) AS act_id,
+_ACT = """SELECT plan_id, run_id, check_id, concat('act-', substr(sha256(concat(length(check_id), ':', check_id)), 1, 32)) AS act_id,
   CASE WHEN r2 >= threshold THEN 'noop' ELSE 'retrain' END AS action,
   CASE WHEN r2 >= threshold THEN 'accuracy within threshold'
        ELSE printf('low accuracy (r2=%.3f < %.2f)', r2, threshold) END AS reason FROM rep"""
@@ -201,7 +202,7 @@ query("gate_flags", ["run_id", "passed"], {"r2": 6}, f"{PRED}, {_SC} SELECT run_
 @query("run_cycle", ["run_id", "check_id", "passed", "action", "reason"], {"r2": 6, "rmse": 3, "mape": 4}, f"""{_ONE},
 predictions AS (SELECT 'plan_demo' AS plan_id, symbol AS run_id, target AS y_true, intercept + slope * x AS y_pred
   FROM fr JOIN m USING (symbol) WHERE target IS NOT NULL), {_SC},
-rep AS (SELECT *, concat('check_', substr(sha256(concat(plan_id, '|', run_id)), 1, 32)) AS check_id, 0.8::DOUBLE AS threshold FROM s)
+rep AS (SELECT *, concat('check_', substr(sha256(concat(length(plan_id), ':', plan_id, length(run_id), ':', run_id)), 1, 32)) AS check_id, 0.8::DOUBLE AS threshold FROM s)
 SELECT run_id, check_id, r2, rmse, mape, r2 >= threshold AS passed, action, reason FROM rep JOIN (
   {_ACT}) a USING (run_id, check_id)""")
 def _cycle(t):
@@ -261,7 +262,7 @@ def _chain(t):
 
 
 query("run_chain", ["plan_id", "do_id", "check_id", "status", "passed", "action"], {"r2": 6}, """
-WITH c AS (SELECT l_orderkey AS do_id, concat('check_', substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, 32)) AS check_id,
+WITH c AS (SELECT l_orderkey AS do_id, concat('check_', substr(sha256(concat(length(CAST(l_orderkey AS VARCHAR)), ':', l_orderkey)), 1, 32)) AS check_id,
   avg(l_discount) * 10 AS r2 FROM lineitem GROUP BY l_orderkey)
 SELECT c_custkey AS plan_id, o_orderkey AS do_id, check_id, o_orderstatus AS status, r2, r2 >= 0.497 AS passed,
   CASE WHEN r2 >= 0.497 THEN 'noop' WHEN r2 < 0.497 THEN 'retrain' END AS action

@@ -108,16 +108,23 @@ SELECT symbol, ts, close FROM bars_daily UNION ALL SELECT CAST(symbol AS VARCHAR
     lambda t: ft.union_rows([bs.closes(t.bars_daily()), bs.closes(t.bars_wide()).withColumn("symbol", F.col("symbol").cast("string"))]))
 
 HOLIDAYS = (dt.date(1995, 1, 2), dt.date(1996, 12, 25), dt.date(2000, 7, 4))
-SPAN = (dt.date(1990, 1, 1), dt.date(2010, 12, 31))
 NEXT = "CAST(ts + CASE dayofweek(ts) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE)"
 query("next_bday", ["symbol", "ts", "next_day"], {}, f"{DAILY_SQL} SELECT symbol, ts, {NEXT} AS next_day FROM bars_daily")(
     lambda t: t.bars_daily().withColumn("next_day", next_weekday("ts")))
-_OPEN = """days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1990-01-01', DATE '2011-01-31', INTERVAL 1 DAY) g(d)),
+_OPEN = """days AS (SELECT CAST(d AS DATE) AS day FROM (
+  SELECT unnest(generate_series((SELECT min(ts) FROM bars_daily), (SELECT max(ts) FROM bars_daily) + INTERVAL 40 DAY, INTERVAL 1 DAY)) AS d)),
 opens AS (SELECT day FROM days WHERE dayofweek(day) BETWEEN 1 AND 5
   AND day NOT IN (DATE '1995-01-02', DATE '1996-12-25', DATE '2000-07-04'))"""
 query("next_bday_holidays", ["symbol", "ts", "next_open"], {}, f"""{DAILY_SQL}, {_OPEN}
 SELECT symbol, ts, (SELECT min(day) FROM opens WHERE day > ts) AS next_open FROM bars_daily""")(
-    lambda t: with_next_open(t.bars_daily(), "ts", business_calendar(t.spark, *SPAN, HOLIDAYS)))
+    lambda t: _next_open(t.bars_daily()))
+
+
+def _next_open(bars):
+    first, last = bars.agg(F.min("ts"), F.max("ts")).first()
+    return with_next_open(bars, "ts", business_calendar(bars.sparkSession, first, last, HOLIDAYS))
+
+
 query("last30", ["symbol", "ts"], {"close": 2}, f"""{DAILY_SQL}
 SELECT symbol, ts, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM bars_daily)
 WHERE d <= 30""")(lambda t: ft.last_n(t.bars_daily(), 30, DAILY))

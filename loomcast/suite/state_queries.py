@@ -302,8 +302,17 @@ SELECT event_id, replace(props, ': ', ':') AS props, concat('"', event_type, '"'
     lambda t: t.read("events").select("event_id", decode_field(F.encode("props", "UTF-8")).alias("props"),
                                       decode_field(F.encode("event_type", "UTF-8")).alias("raw")))
 query("stable_ids", ["plan_id", "do_id"], {}, f"""{PLANS}
-SELECT plan_id, concat('do-', substr(sha256(CAST(plan_id AS VARCHAR)), 1, 32)) AS do_id FROM plans""")(
+SELECT plan_id, concat('do-', substr(sha256(concat(length(CAST(plan_id AS VARCHAR)), ':', plan_id)), 1, 32)) AS do_id FROM plans""")(
     lambda t: t.plans().select("plan_id", digest_id("do-", "plan_id").alias("do_id")))
+# parts that would read alike without their lengths: 'a|' and 'b', 'a' and '|b', with nulls on either side
+query("stable_ids_parts", ["event_id", "id"], {}, """
+SELECT event_id, concat('p-', substr(sha256(coalesce(length(a) || ':' || a, '-') || coalesce(length(b) || ':' || b, '-')), 1, 32)) AS id
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x|' WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE 'x|y' END AS a,
+  CASE event_id % 4 WHEN 0 THEN 'y' WHEN 1 THEN '|y' WHEN 2 THEN 'x|y' ELSE NULL END AS b FROM events)""")(
+    lambda t: t.read("events").withColumns({
+        "a": F.expr("CASE event_id % 4 WHEN 0 THEN 'x|' WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE 'x|y' END"),
+        "b": F.expr("CASE event_id % 4 WHEN 0 THEN 'y' WHEN 1 THEN '|y' WHEN 2 THEN 'x|y' ELSE NULL END"),
+    }).select("event_id", digest_id("p-", "a", "b").alias("id")))
 
 # -- validation ----------------------------------------------------------------------------
 

@@ -185,3 +185,43 @@ def test_exact_quantiles_at_many_sizes(spark, n):
     one = exact_quantiles(df, ("symbol",), "close", probs).first()
     two = exact_quantiles(df, ("symbol",), "close", probs, direct_rows=0).first()
     close_to(list(one)[1:], list(two)[1:])
+
+
+def _smoothed(values, alpha, adjust):
+    """Reference: nulls are skipped and carry the last average."""
+    out, e, num, den = [], None, 0.0, 0.0
+    for x in values:
+        if x is not None:
+            if adjust:
+                num, den = num * (1 - alpha) + x, den * (1 - alpha) + 1
+                e = num / den
+            else:
+                e = x if e is None else (1 - alpha) * e + alpha * x
+        out.append(e)
+    return out
+
+
+@pytest.mark.parametrize("block", [120, 1_000_000])
+@pytest.mark.parametrize("alpha,adjust", [(0.5, False), (0.2, False), (0.5, True), (0.2, True), (0.0, True)])
+def test_smoothing_over_null_runs(spark, alpha, adjust, block):
+    """Sparse values and null runs longer than a block give the same averages in one block and in many."""
+    import datetime as dt
+    import random
+
+    rnd = random.Random(4)
+    values = [rnd.uniform(1, 100) if i % 7 == 3 or i > 1600 else None for i in range(2000)]
+    values[300:900] = [None] * 600
+    day = dt.date(2000, 1, 1)
+    rows = [("s", day + dt.timedelta(days=i), v) for i, v in enumerate(values)]
+    bars = spark.createDataFrame(rows, "symbol string, ts date, close double")
+    axis = Axis(block_rows=block)
+    got = {r.ts: r.smooth for r in exponential_smoothing(bars, alpha, adjust, axis).collect()}
+    want = _smoothed(values, alpha, adjust) if alpha else []
+    if not alpha:
+        known = []
+        for v in values:
+            known += [v] if v is not None else []
+            want.append(sum(known) / len(known) if known else None)
+    assert len(got) == 2000
+    for (_, t, _), w in zip(rows, want):
+        assert (got[t] is None) == (w is None) and (w is None or abs(got[t] - w) < 1e-9), (t, got[t], w)
