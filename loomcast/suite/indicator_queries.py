@@ -216,6 +216,25 @@ query("exp_smooth_adjusted", ["symbol", "ts"], {"smooth": 4},
           {"num": ("b.close", "b.close + 0.8 * p.num"), "den": ("1.0::DOUBLE", "1.0 + 0.8 * p.den")}, "num / den AS smooth"))(
     lambda t: exponential_smoothing(t.bars_hourly(), 0.2, True, HOURLY))
 
+_VALUES = """nn AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn
+  FROM bars_gappy WHERE close IS NOT NULL)"""
+_CARRIED = """SELECT g.symbol, g.ts, last_value({} IGNORE NULLS) OVER (
+  PARTITION BY g.symbol ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS smooth
+FROM bars_gappy g LEFT JOIN e ON e.symbol = g.symbol AND e.ts = g.ts"""
+query("exp_smooth_gappy", ["symbol", "ts"], {"smooth": 4}, f"""{ctes('bars_gappy', recursive=True)}, {_VALUES},
+e AS (SELECT symbol, ts, rn, close AS e FROM nn WHERE rn = 1 UNION ALL
+  SELECT n.symbol, n.ts, n.rn, 0.2 * n.close + 0.8 * e.e FROM e JOIN nn n ON n.symbol = e.symbol AND n.rn = e.rn + 1)
+{_CARRIED.format('e.e')}""")(lambda t: exponential_smoothing(t.bars_gappy(), 0.2, False, DAILY))
+query("exp_smooth_adjusted_gappy", ["symbol", "ts"], {"smooth": 4}, f"""{ctes('bars_gappy', recursive=True)}, {_VALUES},
+e AS (SELECT symbol, ts, rn, close AS num, 1.0::DOUBLE AS den FROM nn WHERE rn = 1 UNION ALL
+  SELECT n.symbol, n.ts, n.rn, n.close + 0.8 * e.num, 1.0 + 0.8 * e.den FROM e JOIN nn n ON n.symbol = e.symbol AND n.rn = e.rn + 1)
+{_CARRIED.format('e.num / e.den')}""")(lambda t: exponential_smoothing(t.bars_gappy(), 0.2, True, DAILY))
+query("ind_bbands_two_widths", ["symbol", "ts"], {"two": 4, "three": 4}, f"{ctes('bars_daily')} " + over(
+    over("SELECT symbol, ts, close FROM bars_daily", f"{full('avg', 'close', 20)} AS mid", f"{full('stddev_pop', 'close', 20)} AS sd"),
+    "mid + 2 * sd AS two", "mid + 3 * sd AS three"))(
+    lambda t: add_indicators(t.bars_daily(), [{"name": "BBANDS"}, {"name": "BBANDS", "std": 3}], DAILY).withColumnsRenamed(
+        {"BBANDS_20_UPPER": "two", "BBANDS_20_STD3_UPPER": "three"}))
+
 # -- many series -------------------------------------------------------------------
 
 WIDE = "SELECT symbol, ts, high, low, close FROM bars_wide"

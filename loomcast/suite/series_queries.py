@@ -37,6 +37,33 @@ SELECT symbol, ts, close, volume FROM bars_wide WHERE ts >= DATE '1997-01-01' AN
 
 query("bars_written", ["symbol", "ts"], {"open": 2, "close": 2}, f"{ctes('bars_wide')} SELECT symbol, ts, open, close FROM bars_wide")(
     lambda t: t.spark.read.parquet(bs.write_bars(t.bars_wide(), scratch(t.spark, "bars"))))
+
+
+def _stored(t, source: str = "parquet") -> str:
+    """The daily bars in files of their own, without an adjusted close."""
+    path = scratch(t.spark, "bars")
+    bars = t.bars_daily().withColumn("ts", F.col("ts").cast("timestamp"))
+    if source == "csv":
+        bars.select(*[f for f in bs.BAR_SCHEMA.names if f != "adj_close"]).withColumn(
+            "adj_close", F.lit(None).cast("double")).select(*bs.BAR_SCHEMA.names).write.option("header", True).csv(path)
+    else:
+        bs.write_bars(bars, path)
+    return path
+
+
+_READ = f"""{DAILY_SQL} SELECT symbol, ts, open, close, volume FROM bars_daily
+WHERE symbol IN ('1-URGENT', '5-LOW') AND ts >= DATE '1996-03-01' AND ts < DATE '1997-03-01'"""
+for _source in ("parquet", "csv"):
+    query(f"bars_read_{_source}", ["symbol", "ts"], {"open": 2, "close": 2, "volume": 1}, _READ)(
+        lambda t, source=_source: bs.read_bars(
+            t.spark, _stored(t, source), source, ["1-URGENT", "5-LOW"], dt.datetime(1996, 3, 1), dt.datetime(1997, 3, 1)
+        ).withColumn("ts", F.col("ts").cast("date")))
+query("bars_load_month", ["symbol", "ts"], {"open": 2, "high": 2, "low": 2, "close": 2, "volume": 1}, f"""{DAILY_SQL}
+SELECT symbol, CAST(date_trunc('month', b.ts) AS DATE) AS ts, min_by(open, b.ts) AS open, max(high) AS high, min(low) AS low,
+  max_by(close, b.ts) AS close, sum(volume) AS volume
+FROM bars_daily b WHERE symbol IN ('1-URGENT', '5-LOW') AND b.ts >= DATE '1996-03-01' AND b.ts < DATE '1997-03-01'
+GROUP BY symbol, CAST(date_trunc('month', b.ts) AS DATE)""")(
+    lambda t: bs.load_bars(t.spark, _stored(t), ["1-URGENT", "5-LOW"], dt.datetime(1996, 3, 1), dt.datetime(1997, 3, 1), "1mo"))
 query("close_records", ["symbol", "ts"], {"close": 2}, f"{DAILY_SQL} SELECT symbol, ts, close FROM bars_daily")(
     lambda t: bs.closes(t.bars_daily()))
 
