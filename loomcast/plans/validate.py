@@ -22,6 +22,8 @@ SYMBOL_PATTERN = r"^[A-Z0-9\.\-_]+$"
 PLAN_VERSION, DSL_VERSION = "plan_v1", "1.0"
 MIN_ROWS, MAX_ROWS = 40, 10_000
 MAX_LOOKBACK, MAX_HORIZON, MAX_WINDOW, MAX_TAG = 365, 90, 200, 32
+DSL_KEYS = ("version", "symbol", "period", "indicators", "notes")
+META_FIELDS = ("plan_id", "run_id", "train_start", "train_end", "predict_horizon", "metrics")
 DEFAULTS = {"lookback_days": 30, "horizon_days": 7, "strategy": "mean"}
 
 
@@ -64,9 +66,26 @@ def check_plan(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     ])
 
 
-def check_plan_dsl(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Flat plans: version, symbol, period, indicators (ARRAY<STRUCT<name, window>>)."""
+def _no_date(col: str) -> Column:
+    shaped = F.col(col).rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.col(col).isNotNull() & ~(shaped & F.col(col).try_cast("date").isNotNull())
+
+
+def _only(keys: str, known: Sequence[str], path: str) -> Column:
+    """No other keys than the known ones in a map."""
+    rest = F.array_except(F.map_keys(keys), F.array(*[F.lit(k) for k in known]))
+    return mark(F.size(rest) > 0, "additionalProperties", path)
+
+
+def check_plan_dsl(df: DataFrame, ids: Sequence[str], extra: str | None = None) -> DataFrame:
+    """Flat plans: version, symbol, period of two dates, indicators (ARRAY<STRUCT<name, window>>), all named; in the
+    map ``extra`` only the keys of a plan."""
+    rules = [_only(extra, DSL_KEYS, "plan")] if extra else []
     return violations(df, ids, [
+        *rules,
+        mark(_no_date("start"), "format", "period.start"),
+        mark(_no_date("end"), "format", "period.end"),
+        mark(F.exists("indicators", lambda i: i["name"].isNull()), "required", "indicators.name"),
         mark(F.coalesce(F.col("version") != DSL_VERSION, F.lit(True)), "const", "version"),
         mark(F.col("symbol").isNull(), "required", "symbol"),
         mark(~F.col("symbol").rlike(SYMBOL_PATTERN), "pattern", "symbol"),
@@ -103,14 +122,17 @@ def check_run_dsl(df: DataFrame, ids: Sequence[str], overrides: str | None = Non
 
 
 def check_meta(df: DataFrame, ids: Sequence[str], known: Sequence[str], extra: str | None = None) -> DataFrame:
-    """Run meta: thresholds from 0, horizon from 1, no unknown keys (in the map ``extra``)."""
-    rules = [
-        mark(F.exists("metrics", lambda m: m["threshold"] < 0), "range", "metrics.threshold"),
-        mark(_outside("predict_horizon", 1), "range", "predict_horizon"),
-    ]
+    """Run meta: its fields are there, so are name and threshold of every metric; thresholds from 0, horizon from 1, no
+    unknown keys (in the map ``extra``).  A column that the frame lacks is missing in every row."""
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    rules = [mark(have(c).isNull(), "required", c) for c in META_FIELDS]
+    if "metrics" in df.columns:
+        rules.append(mark(F.exists("metrics", lambda m: m["name"].isNull()), "required", "metrics.name"))
+        rules.append(mark(F.exists("metrics", lambda m: m["threshold"].isNull()), "required", "metrics.threshold"))
+        rules.append(mark(F.exists("metrics", lambda m: m["threshold"] < 0), "range", "metrics.threshold"))
+    rules.append(mark(have("predict_horizon").cast("double") < 1, "range", "predict_horizon"))
     if extra:
-        rest = F.array_except(F.map_keys(extra), F.array(*[F.lit(k) for k in known]))
-        rules.append(mark(F.size(rest) > 0, "additionalProperties", "meta"))
+        rules.append(_only(extra, known, "meta"))
     return violations(df, ids, rules)
 
 

@@ -327,10 +327,13 @@ def _settings(t):
             F.when(k % 23 == 0, "Wavelet").when(k % 2 == 0, "MovingAverage").otherwise("ExponentialSmoothing").alias("name"),
             (k % 5).cast("int").alias("window"), (F.col("c_acctbal") / 8000).alias("alpha")))).alias("feature_blocks"),
         F.when(k % 7 == 0, F.col("c_name")).otherwise(F.col("c_mktsegment")).alias("symbol"),
-        F.when(k % 29 != 0, F.lit("2024-01-01")).alias("start"), F.lit("2024-06-30").alias("end"),
-        F.array(F.struct(F.when(k % 31 == 0, "KST").otherwise("SMA").alias("name"), (k % 4).cast("int").alias("window"))).alias("indicators"),
-        F.array(F.struct(F.lit("r2").alias("name"), (F.col("c_acctbal") / 1000).alias("threshold"))).alias("metrics"),
-        (F.col("c_nationkey") % 4).alias("predict_horizon"),
+        F.when(k % 29 != 0, F.lit("2024-01-01")).alias("start"), F.when(k % 37 == 0, "2024-99-99").when(k % 73 == 0, "30.6.2024").otherwise("2024-06-30").alias("end"),
+        F.array(F.struct(F.when(k % 31 == 0, "KST").when(k % 41 != 0, "SMA").alias("name"), (k % 4).cast("int").alias("window"))).alias("indicators"),
+        F.when(k % 61 != 0, F.array(F.struct(
+            F.when(k % 43 != 0, "r2").alias("name"), F.when(k % 47 != 0, F.col("c_acctbal") / 1000).alias("threshold")))).alias("metrics"),
+        F.when(k % 67 != 0, F.col("c_nationkey") % 4).alias("predict_horizon"),
+        F.when(k % 53 != 0, F.lit("run")).alias("run_id"), F.when(k % 59 != 0, F.lit("2024-01-01")).alias("train_start"),
+        F.create_map(F.when(k % 8 == 0, "owner").otherwise("notes"), F.lit("x")).alias("keys"),
         F.when(k % 6 == 0, F.create_map(F.lit("plan_id"), F.lit("x"), F.lit("color"), F.lit("red"))).otherwise(
             F.create_map(F.lit("plan_id"), F.lit("x"))).alias("raw"),
         (k % 3).alias("run_no"), F.repeat(F.lit("t"), (k % 40).cast("int")).alias("run_tag"), (k % 2).alias("seq"),
@@ -361,7 +364,9 @@ query("violations_plan", VIOLATION, {}, _rules(
 query("violations_dsl", VIOLATION, {}, _rules(
     ("TRUE", "const", "version"), ("c_custkey % 7 = 0", "pattern", "symbol"),
     ("c_custkey % 29 = 0", "required", "period.start"), ("c_custkey % 31 = 0", "enum", "indicators.name"),
-    ("c_custkey % 4 < 2", "range", "indicators.window")))(lambda t: vd.check_plan_dsl(_settings(t), ["plan_id"]))
+    ("c_custkey % 37 = 0 OR c_custkey % 73 = 0", "format", "period.end"), ("c_custkey % 8 = 0", "additionalProperties", "plan"),
+    ("c_custkey % 31 <> 0 AND c_custkey % 41 = 0", "required", "indicators.name"),
+    ("c_custkey % 4 < 2", "range", "indicators.window")))(lambda t: vd.check_plan_dsl(_settings(t), ["plan_id"], "keys"))
 query("violations_request", VIOLATION, {}, _rules(
     ("c_custkey % 3 < 1", "range", "run_no"), ("c_custkey % 2 < 1", "range", "seq"), ("c_custkey % 40 > 32", "maxLength", "run_tag"),
     ("c_custkey % 4 NOT BETWEEN 1 AND 200", "range", "indicators.window")))(lambda t: vd.check_request(_settings(t), ["plan_id"]))
@@ -374,7 +379,12 @@ query("violations_run", VIOLATION, {}, _rules(
         F.create_map(F.when(F.col("plan_id") % 7 == 0, "color").otherwise("symbol"), F.lit("x")).alias("overrides")),
         ["plan_id"], "overrides"))
 query("violations_meta", VIOLATION, {}, _rules(
-    ("c_acctbal < 0", "range", "metrics.threshold"), ("c_nationkey % 4 < 1", "range", "predict_horizon"),
+    ("c_acctbal < 0 AND c_custkey % 47 <> 0 AND c_custkey % 61 <> 0", "range", "metrics.threshold"),
+    ("c_nationkey % 4 < 1 AND c_custkey % 67 <> 0", "range", "predict_horizon"),
+    ("c_custkey % 67 = 0", "required", "predict_horizon"), ("c_custkey % 61 = 0", "required", "metrics"),
+    ("c_custkey % 53 = 0", "required", "run_id"), ("c_custkey % 59 = 0", "required", "train_start"), ("TRUE", "required", "train_end"),
+    ("c_custkey % 61 <> 0 AND c_custkey % 43 = 0", "required", "metrics.name"),
+    ("c_custkey % 61 <> 0 AND c_custkey % 47 = 0", "required", "metrics.threshold"),
     ("c_custkey % 6 = 0", "additionalProperties", "meta")))(
     lambda t: vd.check_meta(_settings(t), ["plan_id"], ["plan_id", "run_id"], "raw"))
 query("violations_report", ["event_id", "rule", "path"], {}, """
