@@ -24,7 +24,8 @@ def quotas(rows: int, shards: int) -> list[int]:
 
 def _lookup(values: dict[int, float], key, default=0):
     """A value for each shard, as a column: one entry per shard, so its size is fixed."""
-    return F.element_at(F.array(*[F.lit(values.get(s, default)) for s in range(max(values, default=0) + 1)]), key + 1)
+    known = F.array(*[F.lit(values.get(s, default)) for s in range(max(values, default=0) + 1)])
+    return F.coalesce(F.get(known, key), F.lit(default))
 
 
 def propagate(placed: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -94,11 +95,15 @@ def assign_shards(
     w = W.partitionBy("g", "c").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     ranges = settle(placed.withColumn("_from", F.coalesce(F.sum("n").over(w), F.lit(0))), "ranges")
     # a member's number in its group tells its shard; a group has at most one row per shard
-    near = narrow_join(spread, ranges.groupBy("g", "c").agg(F.array_sort(F.collect_list(F.struct("_from", "shard"))).alias("_parts")), ["g", "c"], row_bytes=12 * shards)
+    near = narrow_join(spread, ranges.groupBy("g", "c").agg(F.array_sort(F.collect_list(F.struct("_from", "shard", "n"))).alias("_parts")), ["g", "c"], row_bytes=12 * shards)
     at = F.filter("_parts", lambda p: p["_from"] <= F.col("_at"))
-    home = settle(near.select("_u", "g", "c", F.element_at(at, -1)["shard"].alias("shard")), "home")
-    # what exceeds a quota goes to the pool, whole groups first: rows are numbered by group within the shard
-    ranked = number(home.withColumn("_gh", F.xxhash64("g", "c")), ["shard"], ["_gh", "_u"], "_rank", n_linked)
+    mine, most = F.element_at(at, -1), F.aggregate("_parts", F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    home = near.select("_u", "g", "c", mine["shard"].alias("shard"), (mine["n"] * 2 < most).alias("weak"))
+    home = settle(home, "home")
+    # what exceeds a quota goes to the pool: first members away from most of their group, then groups one by one
+    firm = {r["shard"]: r["n"] for r in home.where("NOT weak").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked = number(home.withColumn("_gh", F.xxhash64("g", "c")), ["shard", "weak"], ["_gh", "_u"], "_rank", n_linked)
+    ranked = ranked.withColumn("_rank", F.col("_rank") + F.when(F.col("weak"), _lookup(firm, F.col("shard"))).otherwise(0))
     stay = settle(ranked.withColumn("_in", F.col("_rank") < _lookup(dict(enumerate(quota)), F.col("shard"))), "stay")
     held = {r["shard"]: r["n"] for r in stay.where("_in").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     pool = settle(single.unionByName(stay.where("NOT _in").select("_u")), "pool")
