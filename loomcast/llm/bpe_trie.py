@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,15 @@ _SPACE = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: characters of new words that are put into one trie, and of texts whose new words are looked for together
 TRIE_CHARS = 1 << 20
 TEXT_CHARS = 1 << 22
+#: Latin letters with ASCII signs after them
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
+#: byte-level files write bytes as letters: printable ones as themselves, the others from U+0100 on, in order
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: pairs of tokens remembered
 PAIRS = 400_000
+#: letters of a word beyond which states are found in order
+DEEP = 100
+_UNKNOWN = object()
 
 
 class TrieEncoder:
@@ -71,58 +79,62 @@ class TrieEncoder:
 
     def last(self, text: str, n: int, end: str, states: list) -> tuple[str, int] | None:
         """The last token, and the letters before it, of the first ``n`` letters of ``text`` (with the mark ``end``
-        on the last); ``states[i]`` is the same for its first i letters.  The longest token that fits is the one."""
-        vocab, tails, fits = self.vocab, self.tails, []
+        on the last); ``states[i]`` is the same for its first i letters, found when it is first asked for.  The
+        longest token that fits is the one."""
+        vocab, tails, pairs, fits = self.vocab, self.tails, self.pairs, []
         for i in range(n - 1, -1, -1):
             token = text[i:n] + end
             if token not in tails:
                 break
             if token in vocab:
-                fits.append((token, i))
-        for token, i in reversed(fits):
-            before = states[i]
-            if (i == 0 or (before is not None and self.apart(before[0], token))) and self.is_own(token):
+                fits.append(i)
+        for i in reversed(fits):
+            token = text[i:n] + end
+            if i:
+                before = states[i]
+                if before is _UNKNOWN:
+                    before = states[i] = self.last(text, i, "", states)
+                if before is None:
+                    continue
+                apart = pairs.get((before[0], token))
+                if not (self.apart(before[0], token) if apart is None else apart):
+                    continue
+            if self.is_own(token):
                 return token, i
         return None
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word: the words go into a trie, and a depth-first walk carries the last tokens."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for s in w:
-                node = node.setdefault(s, {})
-            node[""] = w
+        """Tokens of each distinct word.
+
+        The words form a trie, kept as the sorted list of them: going through it is the depth-first walk, and what a
+        word shares with the one before it is the path of nodes that stays.  States of the path are kept, so those of
+        a shared prefix are found once; states that no word asks for are never made."""
         out: dict[str, list[str]] = {}
         states: list = [None]
-        path = ""
-        walk = [iter(root.items())]
-        while walk:
-            for letter, node in walk[-1]:
-                if not letter:
-                    out[node] = self._read(node, states)
-                    continue
-                path += letter
-                inner = len(node) > 1 or "" not in node
-                states.append(self.last(path, len(path), "", states) if inner or not self.end else None)
-                walk.append(iter(node.items()))
-                break
-            else:
-                walk.pop()
-                if path:
-                    path = path[:-1]
-                    states.pop()
+        before = ""
+        for word in sorted(words):
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del states[shared + 1 :]
+            states += [_UNKNOWN] * (len(word) - shared)
+            if len(word) > DEEP:  # in order, as asking would go too deep
+                for i in range(shared + 1, len(word) + 1):
+                    states[i] = self.last(word, i, "", states)
+            out[word] = self._read(word, states)
+            before = word
         return out
 
     def _read(self, word: str, states: list) -> list[str]:
         """The tokens of a whole word, from its last one backwards."""
-        state = self.last(word, len(word), self.end, states) if self.end else states[len(word)]
+        state = self.last(word, len(word), self.end, states)
         tokens: list[str] = []
         while state is not None:
             tokens.append(state[0])
-            if not state[1]:
+            i = state[1]
+            if not i:
                 return tokens[::-1]
-            state = states[state[1]]
+            state = states[i]
         return [x for x in self.merged(self.symbols(word + self.end)) if x in self.vocab]  # a letter without a token
 
 
@@ -145,6 +157,10 @@ class WordCodec:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        # whether Latin letters, in lower case, and signs after them are words as they stand
+        probe = "Ab\u00c9\u0178\u0111.,'!"
+        self.latin = self._split(probe) == [("abÃ©Ã¿Äĳ", (0, 5)), (".,'!", (5, 9))]
+        self.numbers = {t: str(i) for t, i in [*self.vocab.items(), *((t["content"], t["id"]) for t in spec.get("added_tokens", []))]}
 
     def words(self, pieces: list[str]) -> list[list[str]]:
         """The words of each piece after normalisation, all pieces in two calls of the library."""
@@ -170,15 +186,19 @@ class WordCodec:
     def encode(self, pieces: list[str]) -> dict[str, list[str]]:
         """Tokens of each piece; pieces that hold a special string are cut there by the library itself."""
         out: dict[str, list[str]] = {}
-        plain = []
+        plain, simple = [], {}
         for p in pieces:
             if any(s in p for s in self.special):
                 out[p] = self.tok.encode(p, add_special_tokens=False).tokens
+            elif self.latin and (m := _LATIN.fullmatch(p)):
+                simple[p] = [x.encode().decode("latin-1").translate(_SHOWN) for x in (m[1].lower(), m[2]) if x]
             elif not p or _SPACE.search(p):
                 known = self.trie.encode(ws := [w for w, _ in self._split(p)])
                 out[p] = [t for w in ws for t in known[w]]
             else:
                 plain.append(p)
+        known = self.trie.encode({w for ws in simple.values() for w in ws})
+        out.update((p, [t for w in ws for t in known[w]]) for p, ws in simple.items())
         batch: list[str] = []
         size = 0
         for p in [*plain, None]:
@@ -196,6 +216,17 @@ class WordCodec:
     def ids(self, tokens: list[str]) -> list[int]:
         return [self.vocab[t] if t in self.vocab else self.tok.token_to_id(t) for t in tokens]
 
+    def known(self, pieces: list[str]) -> dict[str, tuple[int, str, str]]:
+        """Count, joined ids and joined tokens of each piece."""
+        number = self.numbers.__getitem__
+        return {p: (len(ts), " ".join(map(number, ts)), " ".join(ts)) for p, ts in self.encode(pieces).items()}
+
+
+@lru_cache(maxsize=2)
+def worker_state(path: str) -> tuple[WordCodec, Memo]:
+    """One codec and memo for each worker process and file: tasks that a worker runs later find them filled."""
+    return WordCodec(path), Memo(300_000)
+
 
 def _grouped(batch: pa.RecordBatch) -> Iterator[list[tuple[int, str, bool]]]:
     """The texts of a batch as (row, stretch, whether it is the row's last), in groups of about ``TEXT_CHARS``."""
@@ -245,13 +276,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Null texts count as empty; ids may be null or repeated, one row comes out for each row; other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, memo = WordCodec(path), Memo()
+        codec, memo = worker_state(path)
         for batch in batches:
             rows, row = [], _Row()
             for group in _grouped(batch):
                 cut = [_pieces(part) for _, part, _ in group]
-                for p, tokens in codec.encode(memo.missing(p for ps in cut for p in ps)).items():
-                    memo.young[p] = (len(tokens), " ".join(map(str, codec.ids(tokens))), " ".join(tokens))
+                memo.young.update(codec.known(memo.missing(p for ps in cut for p in ps)))
                 for (_, _, last), pieces in zip(group, cut):
                     row.add([memo.young[p] for p in pieces])
                     if last:
