@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,20 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm.common import number, settle
-from loomcast.llm.pieces import DOUBTFUL, leading_space, single_threaded, stretches, texts_of
+from loomcast.llm.pieces import DOUBTFUL, STRETCH, leading_space, single_threaded, stretches, texts_of
 from loomcast.llm.token_counts import cutter
 
 TIERS = (256, 512, 1024, 2048)
 #: fixed value: the pattern by which byte-level files cut text into words
 _WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: what is left to the first library: anything but white space, signs and Latin letters, and very long words
-_ODD = regex.compile("[^\t\n\r -~\xa1-\u024f]|[^\t\n\r ]{2000}|[\t\n\r ]{2000}")
+#: anything but white space, signs and Latin letters
+_ODD = re.compile("[^\t\n\r -~\xa1-\u024f]")
+#: letters or white space of which that much without the other is left to the first library
+_RUN = 1000
 #: byte-level files write bytes as letters: printable ones as themselves, the others from U+0100 on, in order
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
@@ -53,8 +55,7 @@ class ByteCodec:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.cut = cutter(path)
-        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.ranked = self._ranked(path) if self.cut is leading_space else None
 
     @staticmethod
@@ -73,7 +74,14 @@ class ByteCodec:
         return tiktoken.Encoding("ranks", pat_str=_WORD, mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, text: str) -> bool:
-        return self.ranked is not None and _ODD.search(text) is None and not (self.special and self.special.search(text))
+        """Whether the second library may have the text: any very long run fills an aligned stretch of it."""
+        if self.ranked is None or _ODD.search(text) or any(x in text for x in self.special):
+            return False
+        for i in range(0, len(text) - _RUN + 1, _RUN):
+            part = text[i : i + _RUN]
+            if not (" " in part or "\n" in part) or part.isspace():
+                return False
+        return True
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text, in parts."""
@@ -81,6 +89,9 @@ class ByteCodec:
             for pieces in self.cut(text):
                 yield from (array("I", self.tok.encode(p, add_special_tokens=False).ids).tobytes() for p in pieces)
             return
+        if len(text) <= STRETCH and self.plain(text):
+            yield array("I", self.ranked.encode_ordinary(text)).tobytes()
+            return
         for part in [text] if DOUBTFUL.search(text) else stretches(text):
             if self.plain(part):
                 yield array("I", self.ranked.encode_ordinary(part)).tobytes()
