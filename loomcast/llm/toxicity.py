@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ TIMES = 20
 #: bytes of the ordinary dictionary
 DICTIONARY = 3_000_000
 #: windows whose result a worker remembers
-KNOWN = 400_000
+KNOWN = 150_000
 
 
 def windows(text: str) -> list[str]:
@@ -74,39 +75,57 @@ def originals(docs: list[tuple[list[str], int]]) -> Iterator[tuple[list[str], in
 
 
 def distinctive(docs: list[tuple[list[str], int]]) -> dict[str, int]:
-    """Word beginnings that set toxic documents apart, with the documents they stand in."""
+    """Word beginnings that set toxic documents apart, with the documents they stand in.
+
+    Beginnings are counted length by length, and neighbours only of those that documents already speak for, so that
+    little is held at a time."""
     docs = list(originals(docs))
     n = Counter(t for _, t in docs)
-    seen: Counter = Counter()
-    for ws, toxic in docs:
-        if toxic:
-            seen.update({p for w in set(ws) for p in _beginnings(w)})
-    common = {p for p, c in seen.items() if c > 1}
-    elsewhere: Counter = Counter()
+    if not n[1]:
+        return {}
+    words = [(set(ws), toxic) for ws, toxic in docs]
+    found: dict[str, tuple[int, int]] = {}
+    seen: dict[str, int] = {}  # documents of the beginnings found, and of those that lengthen one
+    looked = 0
+    for k in range(SHORTEST, LONGEST + 1):
+        here: Counter = Counter()
+        for ws, toxic in words:
+            if toxic:
+                here.update(_beginnings(ws, k))
+        common = {p: c for p, c in here.items() if c > 1}
+        looked += len(common)
+        elsewhere: Counter = Counter()
+        for ws, toxic in words:
+            if not toxic:
+                elsewhere.update(_beginnings(ws, k).intersection(common))
+        for p, a in common.items():
+            b = elsewhere[p]
+            if a / n[1] >= TIMES * (b + 0.5) / max(n[0], 1):
+                found[p] = a, b
+            if p in found or p[:-1] in seen:
+                seen[p] = a
+    significant = 2 * math.log(max(looked, 2))  # so that chance alone lets about one of all of them through
+    found = {p: ab for p, ab in found.items() if _ratio(ab[0], n[1], ab[1], n[0]) > significant}
     before, after = defaultdict(set), defaultdict(set)
     for ws, toxic in docs:
-        if not toxic:
-            elsewhere.update({p for w in set(ws) for p in _beginnings(w) if p in common})
-            continue
-        for i, w in enumerate(ws):
-            for p in _beginnings(w):
-                if p in common:
+        for i, w in enumerate(ws) if toxic else ():
+            padded = f" {w} "
+            for k in range(SHORTEST, min(len(padded), LONGEST) + 1):
+                p = padded[:k]
+                if p in found:
                     if len(before[p]) < CONTEXTS:
                         before[p].add(ws[i - 1] if i else "")
                     if len(after[p]) < CONTEXTS:
                         after[p].add(ws[i + 1] if i + 1 < len(ws) else "")
     kept = set()
-    significant = 2 * math.log(max(len(common), 2))  # so that chance alone lets about one of all of them through
-    for p in common:
-        a, b = seen[p], elsewhere[p]
+    for p, (a, b) in found.items():
         contexts = min(len(before[p]), len(after[p]))
-        if contexts < CONTEXTS:
-            a = min(a, contexts)
+        a = a if contexts >= CONTEXTS else min(a, contexts)
         if a > 1 and a / n[1] >= TIMES * (b + 0.5) / max(n[0], 1) and _ratio(a, n[1], b, n[0]) > significant:
             kept.add(p)
     # of nested beginnings the shortest, lengthened while most of its documents stay
     longer = defaultdict(list)
-    for p in common:
+    for p in seen:
         longer[p[:-1]].append(p)
     out = {}
     for p in kept:
@@ -121,9 +140,9 @@ def distinctive(docs: list[tuple[list[str], int]]) -> dict[str, int]:
     return out
 
 
-def _beginnings(word: str) -> Iterable[str]:
-    padded = f" {word} "
-    return (padded[:k] for k in range(SHORTEST, min(len(padded), LONGEST) + 1))
+def _beginnings(words: set[str], k: int) -> set[str]:
+    """Beginnings of ``k`` letters, the white space around a word counted."""
+    return {f" {w} "[:k] for w in words if len(w) + 2 >= k}
 
 
 def _ratio(a: int, n1: int, b: int, n0: int) -> float:
@@ -231,7 +250,8 @@ def fit_sample(texts: list[tuple[int, str, int]]) -> Model:
     """A model from labelled texts (id, text, 0 or 1).  Dictionaries made from either half of the sample measure the
     other half; on those gains the threshold and the weights of a logistic score are calibrated; the final dictionaries
     are made from the whole sample.  Without texts of both classes the score is the constant of the larger class."""
-    docs = [(windows(t), toxic, i) for i, t, toxic in texts]
+    same: dict[str, str] = {}  # one object for each word
+    docs = [([same.setdefault(w, w) for w in windows(t)], toxic, i) for i, t, toxic in texts]
     model = _dictionaries([(ws, toxic) for ws, toxic, _ in docs])
     model.sample = dict(Counter(toxic for _, toxic, _ in docs))
     if not model.toxic or not docs:
@@ -276,8 +296,15 @@ def fit(
     pick = lambda y, n: lab.where(F.col("_y") == y).orderBy("_h", "_lid").limit(n)
     chosen = pick(1, toxic_docs).unionByName(pick(0, ordinary_docs)).drop("_h")
     texts = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).cast("string").alias("_t")).where(F.length("_t") <= longest)
-    rows = texts.join(F.broadcast(chosen), "_lid").dropDuplicates(["_lid"]).collect()  # at most the sample's bound
-    return fit_sample(sorted((r["_lid"], r["_t"], r["_y"]) for r in rows))
+    rows = texts.join(F.broadcast(chosen), "_lid").dropDuplicates(["_lid"]).select("_lid", "_t", "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_sample(sorted(given)))], pa.binary())], ["model"])
+
+    # one task gets the sample, which is bounded, and gives the model, a few MB
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit_sample([])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
