@@ -2,13 +2,15 @@
 
 A line within ``edits`` edits of another shares one of its edits + 1 segments with it unchanged, shifted by at most as
 many places.  Each distinct line is indexed by its segments and probes the segments of lines as long as itself or a
-little shorter with the few substrings that the lengths allow; what meets is verified by a banded bit-parallel edit
+little shorter with the few substrings that the lengths allow.  Of what meets, lines whose byte counts differ in
+parity more than the edits can explain don't come out of the join; the rest is verified by a banded bit-parallel edit
 distance.  Lengths and edits count UTF-8 bytes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,11 +76,11 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*[_key(line, length, i, *segment(length, i, edits)) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys under which lines of ``length`` down to ``length`` - edits bytes may be indexed if they are near: for each
+def probe_keys(line: Column, length: Column, edits: int, shorters: range) -> Column:
+    """Keys under which lines that are by one of ``shorters`` bytes shorter may be indexed if they are near: for each
     length and segment the substrings that begin where the edits left of it and right of it both fit."""
     keys = []
-    for shorter in range(edits + 1):
+    for shorter in shorters:
         other = length - shorter
         for i in range(edits + 1):
             start, size = segment(other, i, edits)
@@ -94,6 +96,32 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
 
 
+def parities(column: pa.Array) -> np.ndarray:
+    """For each text 32 bits: whether the bytes of each class, by their lowest five bits, are odd in number.  An edit
+    changes one or two of them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    out = np.zeros(len(column), np.uint32)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    if len(full):
+        used = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+        bits = np.left_shift(np.uint32(1), (used & 31).astype(np.uint32))
+        out[full] = np.bitwise_xor.reduceat(bits, at[full] - at[0])
+    return out.view(np.int32)
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``sig``, their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = pa.array(parities(batch.column(batch.schema.names.index("_line"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, sig], [*batch.schema.names, "sig"])
+
+    return lines.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in lines.dtypes) + ", sig int")
+
+
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, shortest: int = SHORTEST) -> DataFrame:
     """One row per distinct line of all texts: ``id_col`` (smallest id of a row that has it), ``line``, ``n_rows`` (how
     often it stands in the texts), ``n_links`` (other lines within ``edits`` edits), ``class_id`` and ``class_line``
@@ -105,12 +133,19 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if shortest < 2 * (edits + 1):
         raise ValueError("lines must be long enough for segments of two bytes")
     lines = split_lines(docs, id_col, text_col).groupBy("_line").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("n_rows"))
-    lines = settle(lines.withColumns({"nid": F.monotonically_increasing_id(), "size": F.octet_length("_line")}), "lines")
-    long = lines.where(F.col("size") >= shortest).select("nid", F.col("_line").cast("binary").alias("b"), "size")
-    index = long.select(F.explode(index_keys(F.col("b"), F.col("size"), edits)).alias("key"), F.col("nid").alias("a"), F.col("size").alias("sa"))
-    probe = long.select(F.explode(probe_keys(F.col("b"), F.col("size"), edits)).alias("key"), F.col("nid").alias("b"), F.col("size").alias("sb"))
-    met = index.join(probe, "key").where("sa < sb OR (sa = sb AND a < b)").where(F.col("sb") - F.col("sa") <= edits)
-    pairs = settle(met.select("a", "b").distinct(), "candidates")
+    lines = marked(lines.withColumns({"nid": F.monotonically_increasing_id(), "size": F.octet_length("_line")}))
+    lines = settle(lines, "lines", "zstd")
+    long = lines.where(F.col("size") >= shortest).select("nid", F.col("_line").cast("binary").alias("b"), "size", "sig")
+    index = long.select(F.explode(index_keys(F.col("b"), F.col("size"), edits)).alias("key"), F.col("nid").alias("a"), F.col("sig").alias("x"))
+
+    def met(shorters: range) -> DataFrame:
+        keys = probe_keys(F.col("b"), F.col("size"), edits, shorters)
+        probe = long.select(F.explode(keys).alias("key"), F.col("nid").alias("b"), F.col("sig").alias("y"))
+        return index.join(probe, "key").where(F.expr(f"bit_count(x ^ y) <= {2 * edits}"))
+
+    # lines of equal length meet both ways, a longer one looks for the shorter
+    found = met(range(1)).where("a < b").select("a", "b").unionByName(met(range(1, edits + 1)).select("a", "b"))
+    pairs = settle(found.distinct(), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     texts = settle(maybe_in(lines.select("nid", "_line"), "nid", key_filter(ends, "nid")), "texts")
 
