@@ -141,7 +141,9 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def met(shorters: range) -> DataFrame:
         keys = probe_keys(F.col("b"), F.col("size"), edits, shorters)
         probe = long.select(F.explode(keys).alias("key"), F.col("nid").alias("b"), F.col("sig").alias("y"))
-        return index.join(probe, "key").where(F.expr(f"bit_count(x ^ y) <= {2 * edits}"))
+        # bit_count widens an int with its sign, which would count 32 ones more where the highest bits differ
+        odd = F.bit_count(F.col("x").bitwiseXOR(F.col("y")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        return index.join(probe, "key").where(odd <= 2 * edits)
 
     # lines of equal length meet both ways, a longer one looks for the shorter
     found = met(range(1)).where("a < b").select("a", "b").unionByName(met(range(1, edits + 1)).select("a", "b"))

@@ -82,6 +82,18 @@ def test_all_links(spark, edits):
     assert got == want
 
 
+def test_links_across_the_highest_parity(spark):
+    """One byte whose lowest five bits are all set more or less: the parities differ in the sign of the int."""
+    line = "is this the same line as before"
+    near = [line + "?", line + "_", line.replace("same", "sa_me"), line.replace("before", "beforß"), line + "\x7f"]
+    rows = list(enumerate([line, *near]))
+    got = {r.line: (r.n_links, r.class_id, r.kept) for r in near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    enc = [t.encode() for _, t in rows]
+    links = [sum(distance(a, b) <= 2 for b in enc) - 1 for a in enc]
+    assert min(links) > 0
+    assert got == {t: (links[i], 0, i == 0) for i, t in rows}
+
+
 def test_documents_rebuilt(spark):
     a, b = "the first line of some length", "the first line of some lengths"
     rows = [(1, f"{a}\nx\n{b}"), (2, f"x\n{a}\nanother line that stays here"), (3, None), (4, b)]
