@@ -70,12 +70,12 @@ def _wide_ols(t):
 
 @query("boosted_forecast", ["symbol", "ts"], {"y_true": 2, "y_pred": 2})
 def _boosted(t):
-    return md.train_boosted(t.bars_daily(), iterations=5, lags=(1, 2, 5), windows=(5, 20), axis=DAILY)[1]
+    return md.train_boosted(t.bars_daily(), axis=DAILY)[1]
 
 
 @query("boosted_record", ["run_id"], {"r2": 4, "mae": 2, "rmse": 2, "mape": 3})
 def _record(t):
-    scored = md.train_boosted(t.bars_daily(), loss="lad", iterations=2, lags=(1, 5), windows=(5,), axis=DAILY)[1]
+    scored = md.train_boosted(t.bars_daily(), loss="lad", axis=DAILY)[1]
     return md.train_record(scored, digest_id("run-", "symbol"))
 
 

@@ -168,3 +168,27 @@ def test_split_interval_in_blocks(spark):
     one = md.interval_forecast(bars, [1, 5], DAILY).orderBy("symbol", "horizon").collect()
     many = md.interval_forecast(bars, [1, 5], small).orderBy("symbol", "horizon").collect()
     assert all(abs(a.p95 - b.p95) < 1e-9 for a, b in zip(one, many))
+
+
+@pytest.mark.parametrize("name", ["boosted_forecast", "boosted_record"])
+def test_registered_boosted_trees_are_whole(spark, sf, monkeypatch, name):
+    """The queries train as many trees on as many features as train_boosted does by itself."""
+    import inspect
+
+    from loomcast.suite import load
+
+    kind = inspect.signature(md.train_boosted)
+
+    class Called(Exception):
+        pass
+
+    def called(*args, **named):
+        bound = kind.bind(*args, **named)
+        bound.apply_defaults()
+        raise Called(bound.arguments)
+
+    monkeypatch.setattr(md, "train_boosted", called)
+    with pytest.raises(Called) as e:
+        load()[name].run(spark, sf)
+    given = e.value.args[0]
+    assert (given["iterations"], given["lags"], given["windows"]) == (100, (1, 2, 3, 5, 10), (5, 10, 20, 60, 120))
