@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.llm.common import components, key_filter, maybe_in, narrow_join, settle
+from loomcast.llm.exact_dedup import content_hash
 from loomcast.llm.pieces import texts_of
 
 #: distinct words whose hashes a worker remembers
@@ -129,8 +130,9 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
 
 
-def signatures(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n, s1, s2, bands, k0, k1, ...): size and 128-bit key of each set, its bands and its sketch."""
+def signatures(docs: DataFrame, shape: Shape, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """(_id, n, s1, s2, bands, k0, k1, ...): size and 128-bit key of each set, its bands and its sketch; with
+    ``hashed`` also ``th``, the hash of the text itself."""
     longs = [f"k{i}" for i in range(shape.longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +154,16 @@ def signatures(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> Dat
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(ends, flat),
-                    *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(shape.longs)),
+                    *(pa.array(np.ascontiguousarray(sk[:, i])) for i in range(shape.longs)), *batch.columns[2:],
                 ],
-                ["_id", "n", "s1", "s2", "bands", *longs],
+                ["_id", "n", "s1", "s2", "bands", *longs, *batch.schema.names[2:]],
             )
 
     src = _source(docs, id_col, text_col)
     kind = src.schema["_id"].dataType.simpleString()
     more = ", ".join(f"{c} bigint" for c in longs)
+    if hashed:
+        src, more = src.withColumn("th", content_hash(F.col("_t"))), f"{more}, th binary"
     return src.mapInArrow(run, f"_id {kind}, n bigint, s1 bigint, s2 bigint, bands array<bigint>, {more}")
 
 
@@ -269,9 +273,11 @@ class _Search:
         return settle(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), hashed: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (the smallest id that links reach) and
-    ``kept`` (whether that is the row's own id).
+    ``kept`` (whether that is the row's own id); with ``hashed`` also ``th``, the hash of the row's text.
 
     Two documents are linked when 100 * intersection >= ``shape.percent`` * union of their sets of shingles.  Rows of
     equal sets are one node, so copies, however many, are never compared.  Null or wordless texts and rows without id
@@ -280,7 +286,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Nothing is collected: buckets, links and components are tables.  A bucket of very many near copies is looked at
     through its two ends and, where groups are left apart, from its smaller groups only."""
-    sig = settle(signatures(docs, shape, id_col, text_col), "signatures")
+    sig = settle(signatures(docs, shape, id_col, text_col, hashed), "signatures")
     longs = [f"k{i}" for i in range(shape.longs)]
     real = sig.where("n > 0 AND _id IS NOT NULL")
     sets = real.groupBy("s1", "s2").agg(
@@ -297,16 +303,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = sets.select("s1", "s2", "nid", "rep").join(of_set, "nid", "left")
     known = settle(known.select("s1", "s2", F.coalesce("least", "rep").alias("least")), "classes")
     linked = F.when(F.col("n").__gt__(0) & F.col("_id").isNotNull(), F.col("s1"))
-    out = narrow_join(sig.select("_id", "n", linked.alias("s1"), "s2"), known, ["s1", "s2"], "left", 60)
+    own_hash = ["th"] if hashed else []
+    out = narrow_join(sig.select("_id", "n", linked.alias("s1"), "s2", *own_hash), known, ["s1", "s2"], "left", 60)
     own = F.coalesce("least", "_id")
     return out.select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("_id").eqNullSafe(own).alias("kept")
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("_id").eqNullSafe(own).alias("kept"),
+        *own_hash,
     )
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
-    """``docs`` without the rows whose text is a near copy of a kept one: of each group the smallest id stays.  Rows
-    that repeat a kept id are told apart by nothing and stay."""
-    gone = settle(near_groups(docs, id_col, text_col, shape).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    small = gone.count() * 24 <= 4 << 20
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` without the rows whose text is a near copy of a kept one: of each group the smallest id stays.  What
+    goes is told by (id, text hash), so an id that stands on several texts loses only those that are near copies of a
+    smaller id's; rows of one group that repeat its kept id stay."""
+    marks = near_groups(docs, id_col, text_col, shape, hashed=True).where("NOT kept")
+    gone = settle(marks.select(F.col(id_col).alias("_gone"), F.col("th").alias("_gone_th")).distinct(), "gone")
+    small = gone.count() * 64 <= 4 << 20
+    same = (docs[id_col] == gone["_gone"]) & (content_hash(docs[text_col].cast("string")) == gone["_gone_th"])
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")

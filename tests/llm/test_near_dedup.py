@@ -132,3 +132,11 @@ def test_components(spark, kind):
     got = {r.node: r.component for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {i: root(i) for i in linked}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_id_on_two_texts_loses_only_the_near_copy(spark):
+    a, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "ac")
+    rows = [(5, a), (5, c + " more"), (3, c), (6, a + " more"), (None, a), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(keep_one_each(df).collect(), key=str)
+    assert left == sorted(spark.createDataFrame([(5, a), (3, c), (None, a), (5, None)], df.schema).collect(), key=str)
