@@ -95,16 +95,16 @@ def reply_paths(messages: DataFrame) -> DataFrame:
 
 def format_trees(
     messages: DataFrame, tree_col: str, node_col: str, parent_col: str, role_col: str = "role", text_col: str = "text",
-    score_col: str | None = None, branches: int = 1, learn: Sequence[str] = ("assistant",),
+    score_col: str | None = None, branches: int = 1, learn: Sequence[str] = ("assistant",), null_tree: bool = False,
 ) -> DataFrame:
     """One row per chosen path: ``tree_col``, ``branch`` (1 is the best), ``leaf``, ``score``, ``n_turns``,
     ``formatted`` and ``loss_spans`` (array of start and length in code points).
 
     Of each tree's root-to-leaf paths the ``branches`` of highest mean score stay (of equals the longer, then the one
     with the least leaf).  A null score counts as 0, null roles and texts as empty.  Rows without tree or node are left
-    out; rows that repeat a node are one message, the least by role and text.  An empty table gives an empty result."""
+    out, but with ``null_tree`` the rows without tree are a tree of their own; rows that repeat a node are one message, the least by role and text.  An empty table gives an empty result."""
     msgs = messages.select(
-        F.col(tree_col).alias("tree"), F.col(node_col).cast("long").alias("node"), F.col(parent_col).cast("long").alias("parent"),
+        (F.struct(F.col(tree_col).alias("key")) if null_tree else F.col(tree_col)).alias("tree"), F.col(node_col).cast("long").alias("node"), F.col(parent_col).cast("long").alias("parent"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         (F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)).alias("points"),
     ).where("tree IS NOT NULL AND node IS NOT NULL")
@@ -139,6 +139,8 @@ def format_trees(
         run, f"tree {kind}, branch int, leaf bigint, score double, n_turns bigint, formatted string, "
         "loss_spans array<struct<start:bigint,length:bigint>>",
     )
+    if null_tree:
+        out = out.withColumn("tree", F.col("tree.key"))
     return out.withColumnRenamed("tree", tree_col)
 
 

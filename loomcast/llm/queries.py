@@ -120,7 +120,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"
     )
     tree = chat.threads(rows.unionByName(more))
-    return chat.digests(chat.format_trees(tree, "conv_id", "node", "parent"), "conv_id")
+    return chat.digests(chat.format_trees(tree, "conv_id", "node", "parent", null_tree=True), "conv_id")
 
 
 @query("op5_line_dedup", """

@@ -73,3 +73,22 @@ def test_threads_ties_nulls_and_empty(spark):
     d = {r.conv_id: r for r in digests(out, "conv_id").collect()}
     assert d[1].loss_chars == 5 and d[2].loss_chars == 0 and d[1].n_turns == 4
     assert format_trees(threads(df.limit(0)), "conv_id", "node", "parent").collect() == []
+
+
+def test_rows_without_conversation_are_one(spark):
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (0, 0, "user", "c"), (None, 2, "assistant", "d"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = format_trees(threads(df), "conv_id", "node", "parent", null_tree=True)
+    assert out.schema["conv_id"].dataType == df.schema["conv_id"].dataType
+    got = {r.conv_id: read_back(r.formatted) for r in out.collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b"), ("assistant", "d")], 0: [("user", "c")], 3: [("", "")]}
+
+
+def test_query_keeps_rows_without_conversation(spark, tmp_path):
+    from loomcast.llm.queries import op3_chat_formatting
+
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (5, 0, "user", "d")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in op3_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == {None: (2, 2), 5: (1, 0), -7: (2, 21)}
