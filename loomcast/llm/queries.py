@@ -16,6 +16,7 @@ from loomcast.llm.near_dedup import near_groups
 from loomcast.llm.packing import pack
 from loomcast.llm.registry import QUERIES, SQL, query  # noqa: F401
 from loomcast.llm.sharding import shard_documents
+from loomcast.llm.spelling import spelling_variants
 from loomcast.llm.token_counts import count_tokens
 
 
@@ -144,3 +145,37 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", F.md5("line").alias("line_md5"), "n_rows", "n_links", "class_id", F.md5("class_line").alias("class_md5"), "kept"
     )
+
+
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT))) AS tab
+), r AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2
+), x AS (SELECT run, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b FROM r
+), h AS (
+  SELECT run, c, xor(list_reduce(list_transform(range(1, length(b), 2), lambda i: CAST('0x' || b[i : i + 1] AS BIGINT)),
+    lambda a, v: xor(tab[1 + (xor(a, v) & 255)], a >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM x, t
+), v AS (
+  SELECT w AS word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS w, c FROM h)
+  WHERE length(w) >= 6 GROUP BY 1 HAVING sum(c) >= 5
+), d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word
+), q AS (
+  SELECT a, b, m.n AS bn, row_number() OVER (PARTITION BY a ORDER BY m.n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near
+  FROM p JOIN v m ON m.word = p.b
+), f AS (
+  SELECT v.word, v.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.bn >= 5 * v.n THEN q.b END AS form, CASE WHEN q.bn >= 5 * v.n THEN q.bn END AS form_n
+  FROM v LEFT JOIN q ON q.a = v.word AND q.k = 1
+), s AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.next
+)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.next IS NULL
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
