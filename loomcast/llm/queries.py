@@ -18,6 +18,8 @@ from loomcast.llm.registry import QUERIES, SQL, query  # noqa: F401
 from loomcast.llm.sharding import shard_documents
 from loomcast.llm.spelling import spelling_variants
 from loomcast.llm.token_counts import count_tokens
+from loomcast.llm.token_files import read_tokens, write_tokens
+from loomcast.session import scratch
 
 
 @query("op7_exact_dedup", """
@@ -179,3 +181,10 @@ SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.
 """)
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token_files")
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read_tokens(spark, folder)
