@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import chat, toxicity
+from loomcast.llm import chat, toxicity, whitening
 from loomcast.llm.bpe_trie import encode_decode
 from loomcast.llm.common import table
 from loomcast.llm.embedding_dedup import near_vectors
@@ -188,3 +188,10 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token_files")
     write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return read_tokens(spark, folder)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    out = whitening.whiten(vectors, whitening.fit(vectors))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
