@@ -225,8 +225,11 @@ class Blocks:
         q^(j+1) times the state before the leaf, q = 1-a.  L keeps q^-L far from overflow
         and makes the weight q^L of older leaves vanish next to double precision, so that
         state is just the last leaf's own sum.  All windows, no Python.
-        The halo must cover ``ema_memory`` rows.  ``like`` names a column that is null in
-        the same rows; EMAs alike share their leaves, and so one sort.
+        A block is one affine map of the state before it (factor, sum); the maps of a
+        series' blocks are composed in order, so blocks of any size and values however
+        sparse give the same averages.  Halo rows count for nothing here and hold no
+        average.  ``like`` names a column that is null in the same rows; EMAs alike share
+        their leaves, and so one sort.
         """
         b = self
         leaves: dict[EmaIndex, dict[str, tuple[str, float]]] = {}
@@ -240,6 +243,11 @@ class Blocks:
             b = b._ema_in_leaves(index, live)
         return b
 
+    def _mine(self, col: str, like: str | None = None) -> Column:
+        """The values that a recurrence takes in: of the block's own rows, where ``like`` is known."""
+        known = F.col(like or col).isNotNull()
+        return F.when(F.col("_own") & known if self.halo else known, F.col(col))
+
     def _ema_in_leaves(self, index: "EmaIndex", live: dict[str, tuple[str, float]]) -> "Blocks":
         b, leaf = self, index.leaf
         at = F.col(index.pos) - F.col(leaf) * index.rows
@@ -249,17 +257,62 @@ class Blocks:
             .rowsBetween(Window.unboundedPreceding, 0)
         )
         chain = Window.partitionBy(*b.part).orderBy(leaf, b.axis.order, *b.axis.tie)
-        z, tail, out = {}, {}, {}
+        z, tail, alone, out = {}, {}, {}, {}
         for n, (x, a) in live.items():
             lq = math.log1p(-a)
-            z[f"_z_{n}"] = F.exp(at * F.lit(lq)) * F.sum(F.col(x) * F.lit(a) * F.exp(at * F.lit(-lq))).over(inner)
+            z[f"_z_{n}"] = F.exp(at * F.lit(lq)) * F.sum(b._mine(x, index.col) * F.lit(a) * F.exp(at * F.lit(-lq))).over(inner)
             tail[f"_t_{n}"] = F.last(F.when(at == index.rows - 1, F.col(f"_z_{n}")), True).over(
                 chain.rowsBetween(Window.unboundedPreceding, -1)
             )
-            tail[f"_f_{n}"] = F.first(x, True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
-            state = F.when(F.col(leaf) == 0, F.col(f"_f_{n}")).otherwise(F.col(f"_t_{n}"))
-            out[n] = F.col(f"_z_{n}") + F.exp((at + 1) * F.lit(lq)) * state
-        return b.add(z).add(tail).add(out).drop(*z, *tail)
+            tail[f"_f_{n}"] = F.first(b._mine(x, index.col), True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+            weight = F.exp((at + 1) * F.lit(lq))
+            alone[f"_a_{n}"] = F.col(f"_z_{n}") + F.when(F.col(leaf) > 0, weight * F.col(f"_t_{n}")).otherwise(0.0)
+            state = F.coalesce(f"_c_{n}", f"_f_{n}") if b.split else F.col(f"_f_{n}")
+            e = F.col(f"_a_{n}") + F.when(F.col(leaf) > 0, 0.0).otherwise(weight * state)
+            out[n] = F.when(F.col(index.pos) < 0, F.col(f"_c_{n}")).otherwise(e) if b.split else e
+        b = b.add(z).add(tail).add(alone)
+        if b.split:
+            b = b._with(b.df.join(b._ema_before(index, live), b.part))
+        return b.add(out).drop(*z, *tail, *alone, *([f"_c_{n}" for n in live] if b.split else []))
+
+    def _ema_before(self, index: "EmaIndex", live: dict[str, tuple[str, float]]) -> DataFrame:
+        """For each block, the averages before it (``_c_<name>``; null if the series has no value there yet).
+
+        One row per block: its values' count, first value and average without a past.  They are settled, and
+        composed by doubling: after step k a map covers the 2^k blocks up to its own.
+        """
+        known, pos = self.own().df, F.col(index.pos)
+        maps = known.groupBy(*self.part).agg(
+            (F.max(index.pos) + 1).alias("_n"),
+            *[F.max_by(f"_a_{n}", F.when(pos >= 0, pos)).alias(f"_s_{n}") for n in live],
+            *[F.min_by(x, F.when(F.col(index.col).isNotNull(), pos)).alias(f"_f_{n}") for n, (x, _) in live.items()],
+        )
+        maps = settle(maps)
+        blocks, last = maps.agg(F.count(F.lit(1)), F.max("_blk")).first()
+        order = Window.partitionBy(*self.axis.key).orderBy("_blk")
+        every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        scan = maps.withColumns({"_seen": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))}).withColumns(
+            {
+                **{f"_q_{n}": F.exp(F.col("_n") * F.lit(math.log1p(-a))) for n, (_, a) in live.items()},
+                **{f"_s_{n}": F.coalesce(f"_s_{n}", F.lit(0.0)) for n in live},
+                **{f"_f_{n}": F.first(f"_f_{n}", True).over(every) for n in live},
+            }
+        )
+        reach = 1
+        while reach <= (last or 0):
+            older = {f"_o{c}_{n}": F.lag(f"_{c}_{n}", reach).over(order) for n in live for c in "qs"}
+            scan = scan.withColumns(older).withColumns(
+                {
+                    **{f"_s_{n}": F.col(f"_s_{n}") + F.col(f"_q_{n}") * F.coalesce(f"_os_{n}", F.lit(0.0)) for n in live},
+                    **{f"_q_{n}": F.col(f"_q_{n}") * F.coalesce(f"_oq_{n}", F.lit(1.0)) for n in live},
+                }
+            ).drop(*older)
+            reach *= 2
+        state = {f"_e_{n}": F.col(f"_s_{n}") + F.col(f"_q_{n}") * F.col(f"_f_{n}") for n in live}
+        before = scan.withColumns(state).select(
+            *self.part, *[F.when(F.col("_seen") > 0, F.lag(f"_e_{n}").over(order)).alias(f"_c_{n}") for n in live]
+        )
+        return F.broadcast(before) if blocks <= BROADCAST_ROWS else before
 
     def ema_index(self, col: str, alpha: float) -> tuple["Blocks", "EmaIndex"]:
         """Positions and leaves for EMAs of rows where ``col`` is not null; leaves made
@@ -274,7 +327,7 @@ class Blocks:
         k = len(self.indexes)
         index = EmaIndex(col, f"_pos{k}", f"_leaf{k}", rows)
         run = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        b = self.add({index.pos: F.count(col).over(run) - 1})
+        b = self.add({index.pos: F.count(self._mine(col)).over(run) - 1})
         b = b.add({index.leaf: F.floor(F.col(index.pos) / rows)})
         return Blocks(b.df, b.axis, b.split, b.halo, (*b.indexes, index)), index
 
@@ -287,13 +340,6 @@ class EmaIndex:
     rows: int
 
 
-def ema_memory(alpha: float) -> int:
-    """Rows after which an EMA's start weighs less than e^-80 (nothing, in doubles)."""
-    if not 0.0 < alpha < 1.0:
-        return 1
-    return math.ceil(80.0 / -math.log1p(-alpha)) + 1
-
-
 def _join_carry(rows: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
     """Bring one row per block back to the rows: settled and counted, then broadcast; else
     joined on the blocks' own partitioning.  Either way the rows are not shuffled again."""

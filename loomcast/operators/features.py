@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import ratio
-from loomcast.functions.series import Axis, Blocks, ema_memory, join_stats, lay_out, settle
+from loomcast.functions.series import Axis, Blocks, join_stats, lay_out
 
 #: The default lags and windows of the feature set.
 LAGS = (1, 2, 3, 5, 10)
@@ -99,30 +99,26 @@ def exponential_smoothing(
             known = F.when(F.col("close").isNotNull(), 1).otherwise(0).cast("long")
             b = lay_out(bars, axis).running_sum({"_s": F.col("close"), "_n": known})
             return b.add({"smooth": F.try_divide("_s", "_n")}).drop("_s", "_n").rows()
-        first = bars.groupBy(*axis.key).agg(F.min_by("close", F.struct(axis.order, *axis.tie)).alias("smooth"))
-        return join_stats(bars, first, axis.key)
+        at = F.struct(axis.order, *axis.tie)
+        known = F.when(F.col("close").isNotNull(), at)
+        first = bars.groupBy(*axis.key).agg(F.min_by("close", known).alias("_first"), F.min(known).alias("_from"))
+        return join_stats(bars, first, axis.key).withColumn("smooth", F.when(at >= F.col("_from"), F.col("_first"))).drop("_first", "_from")
     if alpha == 1.0:
         return bars.withColumn("smooth", F.col("close"))
-    b = lay_out(bars, axis, ema_memory(alpha))
-    if b.split and not bars.where(F.col("close").isNull()).isEmpty():
-        # a halo holds rows, the average's memory holds values: smooth the values alone, then carry them over the rest
-        known = exponential_smoothing(bars.where(F.col("close").isNotNull()), alpha, adjust, axis)
-        rest = bars.where(F.col("close").isNull()).withColumn("smooth", F.lit(None).cast("double"))
-        both = settle(known.unionByName(rest))
-        return lay_out(both, axis).last_known({"smooth": F.col("smooth")}).rows()
+    b = lay_out(bars, axis)
     if not adjust:
         return b.ema({"smooth": ("close", alpha)}).rows()
     # Sum of weighted values over sum of weights, n rows into the series:
     #   (e_n - q^n·x_0) / (1 - q^n), q = 1 - alpha
-    # where e is seeded with x_0; q^n vanishes long before a second block begins.
-    # q^n·x_0 and q^n are EMAs too, of a value followed by zeros.
-    first = F.col("close").isNotNull() & (F.count("close").over(b.w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    # where e is seeded with x_0; q^n·x_0 and q^n are EMAs too, of a value followed by zeros.
     there = F.col("close").isNotNull()
+    b = b.running_sum({"_k": F.when(there, 1).otherwise(0).cast("long")})
+    first = there & (F.col("_k") == 1)
     b = b.add({"_x0": F.when(first, F.col("close")).when(there, 0.0), "_one": F.when(first, 1.0).when(there, 0.0)})
     b = b.ema({"_e": ("close", alpha), "_dx": ("_x0", alpha), "_d1": ("_one", alpha)}, like="close")
     q = 1.0 - alpha
     smooth = (F.col("_e") - q * F.col("_dx")) / (1 - q * F.col("_d1"))
-    return b.add({"smooth": smooth}).drop("_e", "_dx", "_d1", "_x0", "_one").rows()
+    return b.add({"smooth": smooth}).drop("_e", "_dx", "_d1", "_x0", "_one", "_k").rows()
 
 
 # -- splits ------------------------------------------------------------------

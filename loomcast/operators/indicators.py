@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import ratio
-from loomcast.functions.series import Axis, Blocks, ema_memory, lay_out
+from loomcast.functions.series import Axis, Blocks, lay_out
 
 Params = Mapping[str, float]
 
@@ -136,19 +136,15 @@ def _hma(b, p, names):
     return b.add({names[0]: wma_column(b, raw, max(1, math.isqrt(n)))}).drop(raw)
 
 
-def _ema_lookback(depth: int):
-    return lambda p: ema_memory(span_alpha(_win(p))) * (1 if depth == 1 else 2)
-
-
 register("SMA", {"window": 20}, ("",), lambda p: _win(p) - 1, _sma)
-register("EMA", {"window": 20}, ("",), _ema_lookback(1), _ema, recursive=True)
+register("EMA", {"window": 20}, ("",), lambda p: 0, _ema, recursive=True)
 register("WMA", {"window": 20}, ("",), lambda p: _win(p) - 1, _wma)
-register("DEMA", {"window": 20}, ("",), _ema_lookback(2), _cascade(2, lambda e, p: 2 * e[0] - e[1]),
+register("DEMA", {"window": 20}, ("",), lambda p: 0, _cascade(2, lambda e, p: 2 * e[0] - e[1]),
          recursive=True)
-register("TEMA", {"window": 20}, ("",), _ema_lookback(3), _cascade(3, lambda e, p: 3 * e[0] - 3 * e[1] + e[2]),
+register("TEMA", {"window": 20}, ("",), lambda p: 0, _cascade(3, lambda e, p: 3 * e[0] - 3 * e[1] + e[2]),
          recursive=True)
 register("HMA", {"window": 20}, ("",), lambda p: _win(p) + math.isqrt(_win(p)), _hma)
-register("T3", {"window": 20, "volume_factor": 0.7}, ("",), _ema_lookback(6), _cascade(6, _t3), recursive=True)
+register("T3", {"window": 20, "volume_factor": 0.7}, ("",), lambda p: 0, _cascade(6, _t3), recursive=True)
 
 
 # -- oscillators -------------------------------------------------------------
@@ -295,11 +291,11 @@ def _coppock(b, p, names):
 
 
 register("MACD", {"fast": 12, "slow": 26, "signal": 9}, ("", "SIGNAL", "HIST"),
-         lambda p: ema_memory(span_alpha(_win(p, "slow"))) + ema_memory(span_alpha(_win(p, "signal"))), _macd,
+         lambda p: 0, _macd,
          recursive=True)
 register("AROON", {"window": 25}, ("UP", "DOWN"), lambda p: _win(p), _aroon)
-register("ADX", {"window": 14}, ("",), lambda p: 2 * ema_memory(1.0 / _win(p)) + 1, _adx, recursive=True)
-register("DMI", {"window": 14}, ("PLUS", "MINUS"), lambda p: ema_memory(1.0 / _win(p)) + 1, _dmi, recursive=True)
+register("ADX", {"window": 14}, ("",), lambda p: 1, _adx, recursive=True)
+register("DMI", {"window": 14}, ("PLUS", "MINUS"), lambda p: 1, _dmi, recursive=True)
 register("ICHIMOKU", {"tenkan": 9, "kijun": 26, "senkou": 52},
          ("TENKAN", "KIJUN", "SPAN_A", "SPAN_B", "CHIKOU"),
          lambda p: _win(p, "senkou") + _win(p, "kijun"), _ichimoku, lambda p: _win(p, "kijun"))
@@ -321,7 +317,7 @@ def _atr(b, p, names):
 
 
 register("BBANDS", {"window": 20, "std": 2}, ("MID", "UPPER", "LOWER"), lambda p: _win(p) - 1, _bbands)
-register("ATR", {"window": 14}, ("",), lambda p: ema_memory(1.0 / _win(p)) + 1, _atr, recursive=True)
+register("ATR", {"window": 14}, ("",), lambda p: 1, _atr, recursive=True)
 register("STD", {"window": 20}, ("",), lambda p: _win(p) - 1,
          lambda b, p, names: b.add({names[0]: b.roll(F.stddev_samp, "close", _win(p))}))
 register("TR", {}, ("",), lambda p: 1, lambda b, p, names: b.add({names[0]: true_range(b)}))

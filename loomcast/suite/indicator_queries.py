@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from loomcast.functions.series import DAILY, HOURLY
+from pyspark.sql import functions as F
+
+from loomcast.functions.series import DAILY, HOURLY, lay_out
 from loomcast.operators.features import exponential_smoothing
 from loomcast.operators.indicators import add_indicators
 from loomcast.suite.registry import query
@@ -229,6 +231,45 @@ query("exp_smooth_adjusted_gappy", ["symbol", "ts"], {"smooth": 4}, f"""{ctes('b
 e AS (SELECT symbol, ts, rn, close AS num, 1.0::DOUBLE AS den FROM nn WHERE rn = 1 UNION ALL
   SELECT n.symbol, n.ts, n.rn, n.close + 0.8 * e.num, 1.0 + 0.8 * e.den FROM e JOIN nn n ON n.symbol = e.symbol AND n.rn = e.rn + 1)
 {_CARRIED.format('e.num / e.den')}""")(lambda t: exponential_smoothing(t.bars_gappy(), 0.2, True, DAILY))
+query("ind_ema_gappy", ["symbol", "ts"], {"ema": 4}, f"""{ctes('bars_gappy', recursive=True)}, {_VALUES},
+e AS (SELECT symbol, ts, rn, close AS e FROM nn WHERE rn = 1 UNION ALL
+  SELECT n.symbol, n.ts, n.rn, 0.2 * n.close + 0.8 * e.e FROM e JOIN nn n ON n.symbol = e.symbol AND n.rn = e.rn + 1)
+{_CARRIED.format('e.e').replace('smooth', 'ema')}""")(
+    lambda t: add_indicators(t.bars_gappy(), [{"name": "EMA", "window": 9}], DAILY).withColumnRenamed("EMA_9", "ema"))
+query("ind_macd_gappy", ["symbol", "ts"], {"macd": 4, "sig": 4}, f"""{ctes('bars_gappy', recursive=True)}, {_VALUES},
+e AS (SELECT symbol, ts, rn, close AS f, close AS s, 0.0::DOUBLE AS g FROM nn WHERE rn = 1 UNION ALL
+  SELECT b.symbol, b.ts, b.rn, {_f}, {_s}, {_e(0.2, f"{_f} - {_s}", "p.g")} FROM e p JOIN nn b ON b.symbol = p.symbol AND b.rn = p.rn + 1)
+{_CARRIED.format('e.f - e.s').replace('smooth', 'macd').replace('FROM bars_gappy', """, last_value(e.g IGNORE NULLS) OVER (
+  PARTITION BY g.symbol ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sig FROM bars_gappy""")}""")(
+    lambda t: add_indicators(t.bars_gappy(), [{"name": "MACD"}], DAILY).withColumnsRenamed(
+        {"MACD_12_26_9": "macd", "MACD_12_26_9_SIGNAL": "sig"}))
+
+
+def _holed(t):
+    """Every 7th bar of a series is missing altogether."""
+    cols = ("high", "low", "close")
+    df = lay_out(t.bars_daily().select("symbol", "ts", *cols), DAILY).number("rn").rows()
+    return df.withColumns({c: F.when(F.col("rn") % 7 != 0, F.col(c)) for c in cols}).drop("rn")
+
+
+query("ind_adx_gappy", ["symbol", "ts"], {"adx": 4}, f"""{ctes('bars_daily', recursive=True)},
+g AS (SELECT symbol, ts, {', '.join(f'CASE WHEN rn % 7 <> 0 THEN {c} END AS {c}' for c in ('high', 'low', 'close'))}
+  FROM (SELECT *, row_number() OVER ({W}) AS rn FROM bars_daily) n),
+m AS MATERIALIZED (SELECT symbol, ts, row_number() OVER ({W}) AS rn, {TR} AS tr,
+    CASE WHEN high - ph > pl - low AND high > ph THEN high - ph ELSE 0.0 END AS pdm,
+    CASE WHEN pl - low > high - ph AND pl > low THEN pl - low ELSE 0.0 END AS mdm
+  FROM (SELECT *, {lag('high')} AS ph, {lag('low')} AS pl, {lag('close')} AS pc FROM g) l WHERE high IS NOT NULL AND ph IS NOT NULL),
+s AS (SELECT symbol, ts, rn, pdm AS sp, mdm AS sm, tr AS st FROM m WHERE rn = 1 UNION ALL
+  SELECT b.symbol, b.ts, b.rn, {_e(1 / 14, 'b.pdm', 'p.sp')}, {_e(1 / 14, 'b.mdm', 'p.sm')}, {_e(1 / 14, 'b.tr', 'p.st')}
+  FROM s p JOIN m b ON b.symbol = p.symbol AND b.rn = p.rn + 1),
+d AS MATERIALIZED (SELECT symbol, ts, rn, coalesce(100 * abs(pdi - mdi) / nullif(pdi + mdi, 0), 0) AS dx
+  FROM (SELECT symbol, ts, rn, {_PDI} AS pdi, {_MDI} AS mdi FROM s) i),
+x AS (SELECT symbol, ts, rn, dx AS adx FROM d WHERE rn = 1 UNION ALL
+  SELECT b.symbol, b.ts, b.rn, {_e(1 / 14, 'b.dx', 'p.adx')} FROM x p JOIN d b ON b.symbol = p.symbol AND b.rn = p.rn + 1)
+SELECT g.symbol, g.ts, last_value(x.adx IGNORE NULLS) OVER (
+  PARTITION BY g.symbol ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adx
+FROM g LEFT JOIN x ON x.symbol = g.symbol AND x.ts = g.ts""")(
+    lambda t: add_indicators(_holed(t), [{"name": "ADX"}], DAILY).withColumnRenamed("ADX_14", "adx"))
 query("ind_bbands_two_widths", ["symbol", "ts"], {"two": 4, "three": 4}, f"{ctes('bars_daily')} " + over(
     over("SELECT symbol, ts, close FROM bars_daily", f"{full('avg', 'close', 20)} AS mid", f"{full('stddev_pop', 'close', 20)} AS sd"),
     "mid + 2 * sd AS two", "mid + 3 * sd AS three"))(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcast.functions.quantiles import exact_quantiles
-from loomcast.functions.series import DAILY, Axis, ema_memory, lay_out
+from loomcast.functions.series import DAILY, Axis, lay_out
 from loomcast.operators.features import exponential_smoothing, make_features, split_ordered
 from loomcast.operators.indicators import REGISTRY, add_indicators, column_names
 from loomcast.operators.preprocess import fill_previous
@@ -127,11 +127,39 @@ def test_long_series_ema_with_many_leaves(spark):
     df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "ts": np.arange(n), "close": x}))
     axis = Axis(block_rows=3000)
     for alpha in (0.6, 0.05):
-        b = lay_out(df, axis, ema_memory(alpha))
+        b = lay_out(df, axis)
         got = b.ema({"e": ("close", alpha)}).rows().orderBy("ts").toPandas()
         close_to(got["e"], pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), 1e-8)
 
 
+def test_sparse_values_give_the_same_averages_in_blocks_of_any_size(spark):
+    n = 2000
+    rng = np.random.default_rng(7)
+    x = np.where(np.arange(n) % 40 == 13, rng.normal(10, 2, n), np.nan)
+    x[:100] = np.nan  # the first blocks hold no value at all
+    close = [None if np.isnan(v) else float(v) for v in x]
+    bars = spark.createDataFrame(
+        [("s", i, c, None if c is None else c + 1, None if c is None else c - 1) for i, c in enumerate(close)],
+        "symbol string, ts long, close double, high double, low double",
+    )
+    cfg = [{"name": "EMA", "window": 9}, {"name": "TEMA", "window": 5}, {"name": "MACD"}, {"name": "ATR"}]
+    want = None
+    for rows in (5000, 120, 31):
+        got = add_indicators(bars, cfg, Axis(block_rows=rows)).orderBy("ts").toPandas()
+        ema = pd.Series(x).ewm(span=9, adjust=False, ignore_na=True).mean()
+        close_to(got["EMA_9"], ema)
+        want = got if want is None else want
+        for c in set(got.columns) - {"symbol"}:
+            close_to(got[c], want[c])
+
+
+def test_fixed_weights_skip_null_values(spark):
+    rows = [("a", 1, None), ("a", 2, 10.0), ("a", 3, 20.0), ("b", 1, 5.0), ("b", 2, None), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, close double")
+    got = {(r["symbol"], r["ts"]): r["smooth"] for r in exponential_smoothing(df, 0.0).collect()}
+    assert got == {("a", 1): None, ("a", 2): 10.0, ("a", 3): 10.0, ("b", 1): 5.0, ("b", 2): 5.0, ("c", 1): None}
+
+
 @pytest.mark.parametrize("axis", [ONE, MANY], ids=["one", "many"])
 def test_features(bars, pdf, axis):
     got = by_key(make_features(bars, (1, 2, 10), (5, 20), axis))
