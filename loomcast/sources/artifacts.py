@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomcast.functions.series import epoch_micros
+from loomcast.sources.documents import winners
+
 PREDICTION_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
     T.StructField("ts", T.TimestampType()),
@@ -126,10 +129,10 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_checkpoint(ckpts: DataFrame, order: str = "saved_at") -> DataFrame:
     """The newest checkpoint per (run, epoch); its state is null when the file is corrupt."""
-    return ckpts.groupBy("run_id", "epoch").agg(
-        F.max(order).alias(order),
-        F.max_by(F.struct(F.when(~F.col("corrupt"), F.col("state")).alias("state")), order).alias("_s"),
-    ).select("run_id", "epoch", order, F.col("_s.state").alias("state"))
+    key = ("run_id", "epoch")
+    rows = ckpts.select(*key, order, F.when(~F.col("corrupt"), F.col("state")).alias("state"))
+    at = epoch_micros(F.col(order), dict(rows.dtypes)[order])
+    return winners(rows, key, at).select(*key, order, "state")
 
 
 def skip_done(tasks: DataFrame, done: DataFrame, on: tuple[str, ...] = ("run_id", "epoch")) -> DataFrame:

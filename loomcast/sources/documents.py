@@ -1,11 +1,16 @@
 """Documents kept as an append-only log (tenant_id, id, seq, created_at, data, deleted)
-with latest-wins views.  Every view is a map-side combined aggregate by key, so a
-document written a billion times costs one row per map task."""
+with latest-wins views.  A view finds the winning write of every key first, by
+fixed-width order keys that are combined map-side (hash aggregates: the log isn't
+sorted, a document written a billion times costs one row per map task), and then
+fetches what was written by key and order.  A compacted log is a snapshot of such winners and the writes since."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomcast.functions.series import join_on, settle
 
 KEY = ("tenant_id", "id")
 #: The order of the run states, for writes with equal sequence numbers.
@@ -33,46 +38,78 @@ def delete(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 def view(log: DataFrame) -> DataFrame:
     """Latest version per key, tombstones gone; created_at is the time of the first put
-    after the last delete, updated_at of the latest."""
-    if "deleted" not in log.columns:
-        log = log.withColumn("deleted", F.lit(False))
-    log = log.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-    rest = [c for c in log.columns if c not in (*KEY, "created_at")]
-    order = _order(log)
-    agg = log.groupBy(*KEY).agg(
-        F.max_by(F.struct(*rest, F.col("created_at").alias("updated_at")), order).alias("_l"),
-        F.min("created_at").alias("_first"),
-        F.max(F.when(F.col("deleted"), F.struct("seq"))).alias("_dead"),
-        # versions after a delete are rare: only the first time after the last one is wanted
-        F.min(F.when(~F.col("deleted"), F.col("created_at"))).alias("created_at"),
-    )
-    live = agg.where(~F.col("_l.deleted"))
-    revived = live.where(F.col("_dead").isNotNull()).select(*KEY, F.col("_dead.seq").alias("_dead_seq"))
-    again = (
-        log.join(revived, list(KEY))
-        .where(F.col("seq") > F.col("_dead_seq"))
-        .groupBy(*KEY)
-        .agg(F.min("created_at").alias("_again"))
-    )
-    out = live.join(again, list(KEY), "left")
-    return out.select(
-        *KEY, *[F.col(f"_l.{c}").alias(c) for c in rest if c != "deleted"],
-        F.coalesce("_again", "created_at").alias("created_at"), F.col("_l.updated_at").alias("updated_at"),
-    )
+    after the last delete, updated_at of the latest.  A delete beats puts of its own seq."""
+    return _live(log) if "deleted" in log.columns else latest(log)
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """``view`` for a log without tombstones: one aggregate."""
+    """``view`` for a log without tombstones."""
     rest = [c for c in log.columns if c not in (*KEY, "created_at", "deleted")]
-    return log.groupBy(*KEY).agg(
-        F.max_by(F.struct(*rest), _order(log)).alias("_l"),
-        F.min("created_at").alias("created_at"),
-        F.max_by("created_at", _order(log)).alias("updated_at"),
-    ).select(*KEY, "_l.*", "created_at", "updated_at")
+    puts = log.select(*KEY, *rest, F.col("created_at").alias("updated_at"))
+    out = winners(puts, KEY, _order(puts), {"created_at": F.min("updated_at")})
+    return out.select(*KEY, *rest, "created_at", "updated_at")
+
+
+def _live(log: DataFrame) -> DataFrame:
+    """Puts after the last tombstone of their key, reduced to the latest.  Tombstones are
+    taken out and reduced by themselves: what was never deleted isn't read for them."""
+    gone = F.coalesce("deleted", F.lit(False))
+    dead = settle(log.where(gone).groupBy(*KEY).agg(F.max("seq").alias("_dead")))
+    puts = join_on(log.where(~gone).drop("deleted"), dead, KEY, "left", rows=dead.count())
+    return latest(puts.where(F.col("_dead").isNull() | (F.col("seq") > F.col("_dead"))).drop("_dead"))
+
+
+def winners(rows: DataFrame, key, order: Column, aggs: dict[str, Column] | None = None) -> DataFrame:
+    """The row of each key with the largest ``order`` (a whole number), with aggregates over
+    all rows of its key.  Of different rows alike in order one is taken by its hash, always
+    the same.  The winners' keys are settled and counted; the fetch joins by key and order,
+    so that the rows of a hot key spread, or broadcasts the keys while they are few."""
+    wide = [f.name for f in rows.schema.fields if _holds_map(f.dataType)]
+    plain = [c for c in rows.columns if c not in wide]
+    rank = order.cast("decimal(21,0)") * F.lit(1 << 56).cast("decimal(17,0)") + F.expr(
+        f"shiftrightunsigned(xxhash64({', '.join(f'`{c}`' for c in plain)}), 8)"
+    ).cast("decimal(17,0)")
+    ranked = rows.withColumn("_o", rank.cast("decimal(38,0)"))
+    won = ranked.groupBy(*key).agg(F.max("_o").alias("_o"), *[c.alias(n) for n, c in (aggs or {}).items()])
+    won = settle(won)
+    out = join_on(ranked, won, [*key, "_o"], rows=won.count())
+    # rows alike in everything; without maps that is a hash aggregate without buffers
+    return (out.dropDuplicates([*key, "_o"]) if wide else out.distinct()).drop("_o")
+
+
+def _holds_map(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _holds_map(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(_holds_map(f.dataType) for f in t.fields)
+    return isinstance(t, (T.MapType, T.VariantType))
 
 
 def _order(log: DataFrame) -> Column:
-    return F.struct("seq", status_rank("status")) if "status" in log.columns else F.struct("seq")
+    """seq, then the rank of the state, as one whole number."""
+    rank = status_rank("status") if "status" in log.columns else F.lit(0)
+    return F.col("seq").cast("decimal(19,0)") * 4 + (rank + 1)
+
+
+# -- compaction ----------------------------------------------------------------------
+
+def compact(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """The snapshot (a row per key: the latest version with ``created_at``, ``updated_at``)
+    after the writes of ``log``, all of them later than what ``snapshot`` holds.
+
+    Only the delta is aggregated; a key it doesn't write keeps its row."""
+    if snapshot is None:
+        return view(log)
+    if "deleted" not in log.columns:
+        log = log.withColumn("deleted", F.lit(False))
+    new = view(log)
+    touched = log.groupBy(*KEY).agg(F.max(F.coalesce("deleted", F.lit(False))).alias("_deleted"))
+    touched = settle(touched)
+    base = join_on(snapshot, touched, KEY, "left", rows=touched.count())
+    kept = base.where(F.col("_deleted").isNull()).drop("_deleted")
+    first = base.where(~F.col("_deleted")).select(*KEY, F.col("created_at").alias("_first"))
+    newer = join_on(new, first, KEY, "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
+    return kept.unionByName(newer, allowMissingColumns=True)
 
 
 def merge_fields(log: DataFrame, fields: dict[str, Column]) -> DataFrame:
@@ -145,18 +182,19 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 
 def lifecycle(log: DataFrame) -> DataFrame:
     """Fold a status log to one row per key: last status, first/last times and the times
-    of each state, all in one aggregate."""
+    of each state, all in one hash aggregate, then the last status by key and order."""
     def at(status: str, fn) -> Column:
         return fn(F.when(F.col("status") == status, F.col("created_at")))
 
-    return log.groupBy(*KEY).agg(
-        F.max_by("status", _order(log)).alias("status"),
-        F.min("created_at").alias("created_at"),
-        F.max("created_at").alias("updated_at"),
-        at("RUNNING", F.min).alias("started_at"),
-        F.max(F.when(F.col("status").isin("DONE", "FAILED"), F.col("created_at"))).alias("completed_at"),
-        F.count(F.lit(1)).alias("writes"),
-    )
+    folded = {
+        "updated_at": F.max("created_at"),
+        "started_at": at("RUNNING", F.min),
+        "completed_at": F.max(F.when(F.col("status").isin("DONE", "FAILED"), F.col("created_at"))),
+        "writes": F.count(F.lit(1)),
+        "_first": F.min("created_at"),
+    }
+    out = winners(log.select(*KEY, "seq", "status", "created_at"), KEY, _order(log), folded)
+    return out.select(*KEY, "status", F.col("_first").alias("created_at"), "updated_at", "started_at", "completed_at", "writes")
 
 
 def tail(log: DataFrame, n: int, key: tuple[str, ...] = KEY, order: str = "seq") -> DataFrame:

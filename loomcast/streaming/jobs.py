@@ -10,12 +10,12 @@ from __future__ import annotations
 import os
 from typing import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomcast.functions.series import Axis, join_on, lay_out, settle
 from loomcast.session import scratch
 
 
@@ -119,59 +119,101 @@ def deduplicated(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 def recorded(spark: SparkSession, folder: str, schema) -> DataFrame:
     """The rows another job wrote to its ``folder``, as a stream.  All that is there is one
     micro-batch: the files of one recorded batch are not in time order, so a batch must
-    not be cut between them.  Record first, then read."""
+    not be cut between them, and its rows are put in order by the job that reads it."""
     names = [f.name for f in schema.fields]
     return read_stream(spark, os.path.join(folder, "data"), schema, None).select(*names)
 
 
 # -- alert hold ------------------------------------------------------------------
 
+ALERT_STATE = "series string, last timestamp, since timestamp, firing boolean"
 ALERT_OUTPUT = "series string, since timestamp, fired_at timestamp, state string"
-ALERT_STATE = "since_us long, last_us long, firing boolean"
 
 
-def hold_alerts(evals: DataFrame, hold_seconds: int, every_seconds: int) -> DataFrame:
-    """FIRING and RESOLVED transitions of a condition that must hold ``hold_seconds``.
+def hold_alerts(
+    evals: DataFrame, hold_seconds: int, every_seconds: int, folder: str | None = None, timeout: int | None = None,
+    block_rows: int = 1 << 20,
+) -> DataFrame:
+    """FIRING and RESOLVED transitions of a condition that must hold ``hold_seconds``:
+    (series, since, fired_at, state, batch).
+
+    ``evals``: (series, at TIMESTAMP, bad BOOLEAN), one row per evaluation; more than
+    ``every_seconds`` without one ends a span.  Each micro-batch is laid out in blocks and
+    reduced to spans by aggregates, so a series may bring any number of evaluations; what
+    goes on to the next batch is one row per series (last evaluation, start of the open
+    span, whether it fired), read back from ``folder`` and replaced by the batch's number,
+    so a batch run again gives the same.  An evaluation not after the last one of an
+    earlier batch can't change what was decided: it is reported as LATE.  Rows without a
+    series or a time are left out; a null condition holds no more than false does.
+    """
+    spark = evals.sparkSession
+    root = folder or scratch(spark, "alerts")
+    out, state = os.path.join(root, "data"), os.path.join(root, "state")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = spark.createDataFrame([], ALERT_STATE)
+        if batch_id > 0:
+            known = spark.read.schema(ALERT_STATE).parquet(os.path.join(state, f"batch={batch_id - 1}"))
+        rows = batch.select("series", F.col("at").cast("timestamp").alias("at"), F.coalesce("bad", F.lit(False)).alias("bad"))
+        events, after = alert_step(rows, known, hold_seconds, every_seconds, block_rows)
+        after.write.mode("overwrite").parquet(os.path.join(state, f"batch={batch_id}"))
+        events.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    q = (
+        evals.writeStream.option("checkpointLocation", os.path.join(root, "checkpoint"))
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    _finish(q, timeout, "alert hold")
+    try:
+        return spark.read.schema(ALERT_OUTPUT).parquet(out)
+    except AnalysisException:  # nothing arrived
+        return spark.createDataFrame([], ALERT_OUTPUT).withColumn("batch", F.lit(0))
+
 
-    ``evals``: (series, at TIMESTAMP, bad BOOLEAN), one row per evaluation.  It is meant to
-    read a recorded series (``recorded``), so a series brings one row per evaluation step,
-    however many samples it had.  The state is three numbers per series.
+def alert_step(
+    rows: DataFrame, known: DataFrame, hold: int, every: int, block_rows: int = 1 << 20
+) -> tuple[DataFrame, DataFrame]:
+    """One batch of evaluations after the state ``known``: its transitions, and the new state.
+
+    The state joins in as each series' first row, so a span that was open goes on.
     """
-    hold, every = hold_seconds * 1_000_000, every_seconds * 1_000_000
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last, firing = state.get if state.exists else (None, None, False)
-        rows = pd.concat(list(frames)).sort_values("at")
-        out = []
-        if last is not None:  # a late evaluation can't change what was decided after it: it is reported, not used
-            micros = rows["at"].astype("int64") // 1000
-            out = [(at, last, "LATE") for at in micros[micros <= last]]
-            rows = rows[micros > last]
-        for at, bad in zip(rows["at"].astype("int64") // 1000, rows["bad"]):
-            gap = last is not None and at - last > every
-            if since is not None and (gap or not bad):
-                if firing:
-                    out.append((since, last if gap else at, "RESOLVED"))
-                since, firing = None, False
-            if bad and since is None:
-                since = at
-            if since is not None and not firing and at - since >= hold:
-                firing = True
-                out.append((since, since + hold, "FIRING"))
-            last = at
-        state.update((since, last, firing))
-        if not out:
-            return
-        yield pd.DataFrame({
-            "series": [key[0]] * len(out),
-            "since": pd.to_datetime([o[0] for o in out], unit="us"),
-            "fired_at": pd.to_datetime([o[1] for o in out], unit="us"),
-            "state": [o[2] for o in out],
-        })
-
-    return evals.withColumn("at", F.col("at").cast("timestamp")).groupBy("series").applyInPandasWithState(
-        step, ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
+    states = settle(known)
+    last = states.select("series", F.col("last").alias("_last"))
+    timed = join_on(rows.dropna("any", subset=["series", "at"]), last, ["series"], "left", rows=states.count())
+    is_late = F.col("_last").isNotNull() & (F.col("at") <= F.col("_last"))
+    late = timed.where(is_late).select("series", F.col("at").alias("since"), F.col("_last").alias("fired_at"), F.lit("LATE").alias("state"))
+    none = F.lit(None)
+    live = timed.where(~is_late).select(
+        "series", "at", "bad", none.cast("timestamp").alias("_since"), none.cast("boolean").alias("_firing"))
+    seeds = states.select("series", F.col("last").alias("at"), F.col("since").isNotNull().alias("bad"),
+                          F.col("since").alias("_since"), F.col("firing").alias("_firing"))
+    us = F.unix_micros("at")
+    b = lay_out(live.unionByName(seeds), Axis(key=("series",), order="at", tie=("bad",), block_rows=block_rows), 1, 1)
+    b = b.add({"_pb": b.lag("bad"), "_pu": b.lag(us), "_nb": b.lead("bad"), "_nu": b.lead(us), "_us": us})
+    far = every * 1_000_000
+    starts = F.col("_pb").isNull() | (F.col("_pb") != F.col("bad")) | (F.col("_us") - F.col("_pu") > far)
+    gap = F.col("_nu") - F.col("_us") > far
+    b = b.running_sum({"_span": F.when(starts, F.lit(1)).otherwise(F.lit(0))})
+    spans = b.rows().groupBy("series", "_span").agg(
+        F.max("bad").alias("bad"),
+        F.coalesce(F.max(F.unix_micros("_since")), F.min("_us")).alias("since"),
+        F.coalesce(F.max("_firing"), F.lit(False)).alias("fired"),
+        F.max("_us").alias("until"),
+        F.max(F.col("_nu").isNull()).alias("open"),
+        # where it ends: at its last evaluation before a gap, else at the first good one
+        F.max(F.when(gap, F.col("_us")).when(~F.col("_nb"), F.col("_nu"))).alias("ended"),
     )
+    spans = settle(spans.withColumn("holds", F.col("bad") & (F.col("fired") | (F.col("until") - F.col("since") >= hold * 1_000_000))))
+    at = F.timestamp_micros
+    fires = spans.where("holds AND NOT fired").select(
+        "series", at("since").alias("since"), at(F.col("since") + hold * 1_000_000).alias("fired_at"), F.lit("FIRING").alias("state"))
+    ends = spans.where("holds AND ended IS NOT NULL").select(
+        "series", at("since").alias("since"), at("ended").alias("fired_at"), F.lit("RESOLVED").alias("state"))
+    after = spans.where("open").select(
+        "series", at("until").alias("last"), F.when(F.col("bad"), at("since")).alias("since"), (F.col("bad") & F.col("holds")).alias("firing"))
+    return late.unionByName(fires).unionByName(ends), after
 
 
 # -- dead letters ------------------------------------------------------------------
@@ -197,32 +239,57 @@ def route(df: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame
 
 # -- outbox ------------------------------------------------------------------------
 
-def write_once(df: DataFrame, ids: Sequence[str], folder: str, timeout: int | None = None) -> str:
+def write_once(df: DataFrame, ids: Sequence[str], folder: str, timeout: int | None = None, counts: list | None = None) -> str:
     """Append each event once, whenever its copies arrive; gives the data folder.
 
-    Copies inside a micro-batch combine map-side, so an event repeated a billion times is
-    one row per map task; the rest is an anti-join with the ids of earlier batches.  A
-    batch that is run again compares with the batches before it only.
+    The ids written are the stream's own state, dealt by their hash and kept in the
+    checkpoint: a batch looks up the ids it brings and reads no others, however many there
+    are (with the RocksDB store that ``build_session`` sets, they needn't fit in memory).
+    Copies combine in each task before they are dealt, so an event repeated a billion
+    times is a row per Arrow batch.  The first copy that a task meets is kept; copies of an
+    id that differ elsewhere are copies all the same; null ids are alike.
+    ``counts`` receives (rows read, ids looked up, ids known) of every batch.
     """
     data = os.path.join(folder, "data")
+    once = df.mapInArrow(_first_of_each(list(ids)), df.schema).dropDuplicates(list(ids))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(list(ids))
-        if batch_id > 0:
-            seen = batch.sparkSession.read.parquet(data).where(F.col("batch") < batch_id).select(*ids)
-            new = new.join(seen, list(ids), "left_anti")
-        new.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
+        batch.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
+        note()
+
+    def note() -> None:
+        for p in q.recentProgress if q is not None and counts is not None else ():
+            if p["stateOperators"] and p["batchId"] not in done:
+                s = p["stateOperators"][0]
+                done[p["batchId"]] = (p["numInputRows"], s["numRowsUpdated"] + s["customMetrics"].get("numDroppedDuplicateRows", 0), s["numRowsTotal"])
 
+    q, done = None, {}
     q = (
-        df.writeStream.option("checkpointLocation", os.path.join(folder, "checkpoint"))
+        once.writeStream.option("checkpointLocation", os.path.join(folder, "checkpoint"))
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
     _finish(q, timeout, "outbox")
+    note()
+    if counts is not None:
+        counts.extend(done[k] for k in sorted(done))
     return data
 
 
+def _first_of_each(ids: list[str]):
+    """Arrow batches without the later copies of an id inside a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array(range(batch.num_rows), pa.int64())
+            keyed = pa.table([*(batch.column(c) for c in ids), rows], [*(f"k{i}" for i in range(len(ids))), "row"])
+            first = keyed.group_by([f"k{i}" for i in range(len(ids))]).aggregate([("row", "min")]).column("row_min")
+            yield batch.take(first.combine_chunks().sort())
+
+    return run
+
+
 # -- joins, tails, increments ------------------------------------------------------
 
 def ready_stream(checks: DataFrame, runs: DataFrame, within: str = "1 hour") -> DataFrame:

@@ -50,12 +50,32 @@ SELECT id, string_agg(concat(status, '=', data), ',' ORDER BY status) AS fields
     lambda t: dc.merge_maps(
         log(t).withColumn("fields", F.create_map("status", "data")), "fields"
     ).select("id", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("fields")))
-query("doc_delete", DOC, {}, f"""{LOG}, d AS (SELECT id, max(seq) AS dead FROM status_log WHERE status = 'FAILED' GROUP BY id),
+_DELETED = f"""{LOG}, d AS (SELECT id, max(seq) AS dead FROM status_log WHERE status = 'FAILED' GROUP BY id),
 v AS (SELECT s.*, d.dead FROM status_log s LEFT JOIN d USING (id))
 SELECT tenant_id, id, max(seq) AS seq, max_by(status, seq) AS status, max_by(data, seq) AS data,
        min(created_at) AS created_at, max_by(created_at, seq) AS updated_at
-FROM v WHERE dead IS NULL OR seq > dead GROUP BY tenant_id, id""")(
-    lambda t: dc.view(log(t).withColumn("deleted", F.col("status") == "FAILED")))
+FROM v WHERE dead IS NULL OR seq > dead GROUP BY tenant_id, id"""
+
+
+def deletes(t):
+    """Failures are tombstones."""
+    return log(t).withColumn("deleted", F.col("status") == "FAILED")
+
+
+def _compacted(t):
+    """The log in three parts by seq, each compacted into the stored snapshot of the ones before."""
+    whole, snapshot = deletes(t), None
+    low, high = whole.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [low + (high - low) * i // 3 for i in (1, 2)] if low is not None else [0, 0]
+    for part in (F.col("seq") <= cuts[0], F.col("seq").between(cuts[0] + 1, cuts[1]), F.col("seq") > cuts[1]):
+        folder = scratch(t.spark, "snapshot")
+        dc.compact(whole.where(part), snapshot).write.parquet(folder)
+        snapshot = t.spark.read.parquet(folder)
+    return snapshot
+
+
+query("doc_delete", DOC, {}, _DELETED)(lambda t: dc.view(deletes(t)))
+query("doc_compacted", DOC, {}, _DELETED)(_compacted)
 KEYS = "SELECT DISTINCT concat('do-', CAST(o_custkey % 300 AS VARCHAR)) AS id FROM orders"
 
 

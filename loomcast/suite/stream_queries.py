@@ -88,7 +88,7 @@ def _alerts(t):
     rules = w.select(F.col("event_type").alias("series"), F.col("w_start").alias("at"), (F.col("mean") < 40).alias("bad"))
     folder = scratch(t.spark, "recorded")
     st.run_available(rules, "append", folder=folder)
-    fired = st.run_available(st.hold_alerts(st.recorded(t.spark, folder, rules.schema), 7200, 3600), "append", "alerts")
+    fired = st.hold_alerts(st.recorded(t.spark, folder, rules.schema), 7200, 3600)
     return ntz(fired.where("state = 'FIRING'"), "since", "fired_at")
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def test_alert_hold_across_batches(spark):
         _write(spark, src, rows[i : i + 3])
     df = st.read_stream(spark, src, _schema(spark), files_per_batch=1)
     ev = df.select("series", F.col("ts").alias("at"), (F.col("value") > 0).alias("bad"))
-    out = st.run_available(st.hold_alerts(ev, 120, 60), "append").orderBy("fired_at", "state").collect()
+    out = st.hold_alerts(ev, 120, 60).orderBy("fired_at", "state").collect()
     at = lambda m: T0 + dt.timedelta(minutes=m)
     assert [(r.state, r.since, r.fired_at) for r in out] == [
         ("FIRING", at(4), at(6)), ("RESOLVED", at(4), at(8)),
@@ -126,6 +127,81 @@ def test_recorded_batches_are_read_whole(spark):
     folder = scratch(spark, "recorded")
     ev = spark.createDataFrame([("s", at, v > 0) for _, _, at, v in _evals(PATTERN)], "series string, at timestamp, bad boolean")
     ev.repartition(12, "at").write.parquet(folder + "/data/batch=0")
-    out = st.run_available(st.hold_alerts(st.recorded(spark, folder, ev.schema), 120, 60), "append")
+    out = st.hold_alerts(st.recorded(spark, folder, ev.schema), 120, 60)
     got = sorted(r.since for r in out.where("state = 'FIRING'").collect())
     assert got == [T0 + dt.timedelta(minutes=m) for m in (4, 9, 20)]
+
+
+def _held(rows, hold, every):
+    """The state machine, an evaluation at a time: (since, at, state) in seconds."""
+    out, since, last, firing = [], None, None, False
+    for at, bad in rows:
+        gap = last is not None and at - last > every
+        if since is not None and (gap or not bad):
+            if firing:
+                out.append((since, last if gap else at, "RESOLVED"))
+            since, firing = None, False
+        if bad and since is None:
+            since = at
+        if since is not None and not firing and at - since >= hold:
+            firing = True
+            out.append((since, since + hold, "FIRING"))
+        last = at
+    return sorted(out)
+
+
+def test_alert_state_over_batches_and_blocks(spark):
+    """Any cut into batches and blocks gives what one evaluation at a time gives."""
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for name in ("a", "b", "c"):
+        at, mine = 0, []
+        for _ in range(90):
+            at += rnd.choice([20, 30, 60, 60, 200])
+            mine.append((at, rnd.random() < 0.8))
+        want[name] = _held(mine, 90, 60)
+        rows += [(0, name, T0 + dt.timedelta(seconds=s), float(b)) for s, b in mine]
+    rows.sort(key=lambda r: r[2])
+    for cuts, block in ((1, 1 << 20), (6, 4)):
+        src, size = scratch(spark, "src"), -(-len(rows) // cuts)
+        for i in range(0, len(rows), size):
+            part = rows[i : i + size]
+            rnd.shuffle(part)
+            _write(spark, src, part)
+        df = st.read_stream(spark, src, _schema(spark), files_per_batch=1)
+        ev = df.select("series", F.col("ts").alias("at"), (F.col("value") > 0).alias("bad"))
+        got = st.hold_alerts(ev, 90, 60, block_rows=block).collect()
+        assert len({r.batch for r in got}) == cuts
+        for name in want:
+            sec = lambda x: int((x - T0).total_seconds())
+            assert sorted((sec(r.since), sec(r.fired_at), r.state) for r in got if r.series == name) == want[name]
+
+
+def test_late_evaluations_are_reported(spark):
+    src = scratch(spark, "src")
+    for minutes in ([(0, 1), (1, 1)], [(3, 1)], [(2, 0), (4, 0)]):
+        _write(spark, src, _evals(minutes))
+    ev = st.read_stream(spark, src, _schema(spark), files_per_batch=1).select(
+        "series", F.col("ts").alias("at"), (F.col("value") > 0).alias("bad"))
+    got = sorted((r.state, r.since.minute, r.fired_at.minute) for r in st.hold_alerts(ev, 60, 120).collect())
+    assert got == [("FIRING", 0, 1), ("LATE", 2, 3), ("RESOLVED", 0, 4)]
+
+
+def test_outbox_reads_the_same_however_much_was_written(spark):
+    src, counts = scratch(spark, "src"), []
+    for part in range(14):  # every batch brings 30 new ids, and 10 of earlier ones twice
+        new = [(30 * part + i, "a", T0, 1.0) for i in range(30)]
+        old = [(max(0, 30 * part - 40) + i, "a", T0, 1.0) for i in range(10)] if part else []
+        _write(spark, src, new + old + old)
+    data = st.write_once(st.read_stream(spark, src, _schema(spark), files_per_batch=1), ["event_id"], scratch(spark, "outbox"), counts=counts)
+    assert sorted(r.event_id for r in spark.read.parquet(data).collect()) == list(range(420))
+    assert [known for _, _, known in counts][-1] == 420 and len(counts) == 14
+    assert {looked for _, looked, _ in counts[1:]} == {40}
+
+
+def test_null_ids_are_one(spark):
+    src = scratch(spark, "src")
+    _write(spark, src, [(None, "a", T0, 1.0), (None, "a", T0, 1.0), (1, "a", T0, 1.0)])
+    _write(spark, src, [(None, "b", T0, 2.0)])
+    data = st.write_once(st.read_stream(spark, src, _schema(spark), files_per_batch=1), ["event_id"], scratch(spark, "outbox"))
+    assert sorted(str(r.event_id) for r in spark.read.parquet(data).collect()) == ["1", "None"]
