@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import ratio
@@ -42,13 +43,22 @@ def feature_blocks(
 
 def make_features(
     bars: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = Axis(),
-    keep_unlabelled: bool = False,
+    keep_unlabelled: bool = False, observed: Observation | None = None,
 ) -> DataFrame:
     """Features and target per row; rows with a null feature (warm-up) are dropped, and
-    rows without a target (the last of a series) unless asked for."""
+    rows without a target (the last of a series) unless asked for.
+
+    ``observed`` is given the rows seen (``rows``), kept (``samples``) and dropped, counted
+    while the frame is first used: no pass of their own."""
     df = feature_blocks(bars, lags, windows, axis).rows()
     need = feature_names(lags, windows)
-    return df.dropna("any", subset=need if keep_unlabelled else [*need, "target"])
+    need = need if keep_unlabelled else [*need, "target"]
+    if observed is not None:
+        whole = reduce(lambda a, c: a & F.col(c).isNotNull(), need, F.lit(True))
+        df = df.observe(
+            observed, F.count(F.lit(1)).alias("rows"), F.count(F.when(whole, 1)).alias("samples"),
+            F.count(F.when(~whole, 1)).alias("dropped"))
+    return df.dropna("any", subset=need)
 
 
 def feature_counts(

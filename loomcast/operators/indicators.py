@@ -222,19 +222,13 @@ def _macd(b, p, names):
 
 def _aroon(b, p, names):
     """Rows since the highest high / lowest low of the last n+1 rows (latest on ties)."""
-    n = _win(p)
-    ago = F.collect_list(F.struct("high", "low")).over(b.frame(n + 1))
-    arr = f"_{names[0]}_a"
-    b = b.add({arr: ago})
-    full = F.size(arr) == n + 1
-    high = F.transform(F.reverse(arr), lambda s: s["high"])
-    low = F.transform(F.reverse(arr), lambda s: s["low"])
-    up = F.array_position(high, F.array_max(high)) - 1
-    down = F.array_position(low, F.array_min(low)) - 1
-    return b.add({
-        names[0]: F.when(full, 100 * (n - up) / n),
-        names[1]: F.when(full, 100 * (n - down) / n),
-    }).drop(arr)
+    n, rn, full = _win(p), f"_{names[0]}_rn", f"_{names[0]}_full"
+    b = b.add({rn: F.row_number().over(b.w)})
+    frame = b.frame(n + 1)
+    top = F.max(F.when(F.col("high").isNotNull(), F.struct("high", rn))).over(frame)[rn]
+    low = F.min(F.when(F.col("low").isNotNull(), F.struct(F.col("low"), (-F.col(rn)).alias("r")))).over(frame)["r"]
+    b = b.add({names[0]: top - F.col(rn), names[1]: -low - F.col(rn), full: F.count(F.lit(1)).over(frame) == n + 1})
+    return b.add({c: F.when(F.col(full), 100 * (n + F.col(c)) / n) for c in names}).drop(rn, full)
 
 
 def _directional(b: Blocks, n: int, name: str) -> tuple[Blocks, str, str, list[str]]:

@@ -131,9 +131,9 @@ def overlay_defaults(leaves: DataFrame, defaults: Mapping[str, str], key: str =
             F.array(*[F.lit(a) for a in [p, *ancestors(p)]]).alias("up"),
         ) for p, v in sorted(defaults.items())
     ])
-    added = per_plan.select(key, "_own", "_inner", F.explode(entries).alias("_d")).where(
-        ~F.arrays_overlap("_d.up", "_own") & ~F.array_contains("_inner", F.col("_d.path"))
-    )
+    # the plan's paths meet the defaults inside its own row; only the defaults it lacks become rows
+    lacking = F.filter(entries, lambda d: ~F.arrays_overlap(d["up"], F.col("_own")) & ~F.array_contains("_inner", d["path"]))
+    added = per_plan.select(key, F.explode(lacking).alias("_d"))
     return leaves.select(key, "path", "value").unionByName(added.select(key, "_d.path", "_d.value"))
 
 

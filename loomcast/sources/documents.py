@@ -108,7 +108,7 @@ def compact(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     base = join_on(snapshot, touched, KEY, "left", rows=touched.count())
     kept = base.where(F.col("_deleted").isNull()).drop("_deleted")
     first = base.where(~F.col("_deleted")).select(*KEY, F.col("created_at").alias("_first"))
-    newer = join_on(new, first, KEY, "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
+    newer = join_on(new, first, KEY, "left").withColumn("created_at", F.least("_first", "created_at")).drop("_first")
     return kept.unionByName(newer, allowMissingColumns=True)
 
 

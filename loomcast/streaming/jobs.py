@@ -316,3 +316,73 @@ def incremental(
     """Scheduled refresh: run ``job`` on the files that arrived since the last call with
     the same ``state`` folder."""
     return run_available(job(read_stream(spark, path, schema)), "append", label, state)
+
+
+# -- a forecast kept up to date ------------------------------------------------------
+
+TREND = ("n", "mean_x", "mean_y", "c_xx", "c_xy", "last_x")
+
+
+def trend_moments(rows: DataFrame, x: Column, y: Column, key: Sequence[str]) -> DataFrame:
+    """What a straight line through a series needs, one row per key: count, means, centred sums of products, last x.
+    Rows without x or y don't count."""
+    known = rows.select(*key, x.cast("double").alias("_x"), y.cast("double").alias("_y")).dropna("any", subset=["_x", "_y", *key])
+    n = F.count(F.lit(1))
+    return known.groupBy(*key).agg(
+        n.alias("n"), F.avg("_x").alias("mean_x"), F.avg("_y").alias("mean_y"), (F.var_pop("_x") * n).alias("c_xx"),
+        (F.covar_pop("_x", "_y") * n).alias("c_xy"), F.max("_x").alias("last_x"))
+
+
+def merge_moments(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The moments of two disjoint sets of rows together; centred sums add up with what lies between the means."""
+    left = a.select(*key, *[F.col(c).alias(f"_a_{c}") for c in TREND])
+    right = b.select(*key, *[F.col(c).alias(f"_b_{c}") for c in TREND])
+    both = left.join(right, list(key), "full").na.fill(0, [f"_{s}_n" for s in "ab"])
+    at = lambda s, c: F.coalesce(F.col(f"_{s}_{c}"), F.lit(0.0))
+    n = F.col("_a_n") + F.col("_b_n")
+    shared = F.col("_a_n") * F.col("_b_n") / n
+    gap = {c: at("b", f"mean_{c}") - at("a", f"mean_{c}") for c in "xy"}
+    mean = {c: (at("a", f"mean_{c}") * F.col("_a_n") + at("b", f"mean_{c}") * F.col("_b_n")) / n for c in "xy"}
+    return both.select(
+        *key, n.alias("n"), mean["x"].alias("mean_x"), mean["y"].alias("mean_y"),
+        (at("a", "c_xx") + at("b", "c_xx") + gap["x"] * gap["x"] * shared).alias("c_xx"),
+        (at("a", "c_xy") + at("b", "c_xy") + gap["x"] * gap["y"] * shared).alias("c_xy"),
+        F.greatest("_a_last_x", "_b_last_x").alias("last_x"))
+
+
+def trend_forecast(moments: DataFrame, ahead: float, key: Sequence[str]) -> DataFrame:
+    """(key..., n, slope, x, forecast): the line ``ahead`` beyond the last x; level for a series of one x."""
+    slope = F.coalesce(F.try_divide(F.col("c_xy"), F.col("c_xx")), F.lit(0.0))
+    x = F.col("last_x") + F.lit(float(ahead))
+    return moments.select(*key, "n", slope.alias("slope"), x.alias("x"), (F.col("mean_y") + slope * (x - F.col("mean_x"))).alias("forecast"))
+
+
+def refresh_trend(
+    new: DataFrame, x: Column, y: Column, key: Sequence[str], folder: str, timeout: int | None = None
+) -> DataFrame:
+    """Scheduled refresh of a forecast: the moments of all rows that ever arrived, brought up to date from the new rows
+    of the stream ``new`` alone.  A batch reads the moments of the batch before it, a row per key, and writes its own,
+    so a batch run again gives the same.  A call without new rows gives what the last one gave."""
+    spark, state = new.sparkSession, os.path.join(folder, "moments")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        got = trend_moments(batch, x, y, key)
+        if batch_id > 0:
+            got = merge_moments(spark.read.parquet(os.path.join(state, f"batch={batch_id - 1}")), got, key)
+        got.write.mode("overwrite").parquet(os.path.join(state, f"batch={batch_id}"))
+
+    q = (
+        new.writeStream.option("checkpointLocation", os.path.join(folder, "checkpoint"))
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+    _finish(q, timeout, "refresh")
+    kinds = dict(new.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "n bigint", *(f"{c} double" for c in TREND[1:]), "batch int"])
+    try:
+        every = spark.read.schema(schema).parquet(state)
+    except AnalysisException:  # nothing has arrived yet
+        return spark.createDataFrame([], schema).drop("batch")
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(last)).drop("batch")

@@ -23,8 +23,8 @@ def rate_sql(unit: str, seconds: int, inc: str = "inc") -> str:
     return f"SELECT series, date_trunc('{unit}', ts) AS w, coalesce(sum({inc}), 0) / {seconds}.0 AS rate FROM inc GROUP BY 1, 2"
 
 
-def counts(t):
-    return t.samples().drop("total")
+def counts(t, since=None, until=None):
+    return t.samples(since, until).drop("total")
 
 
 query("mon_rate", ["series", "w"], {"rate": 7}, f"{INC} {rate_sql('minute', 60)}")(lambda t: ntz(mn.rate(counts(t), 60, t.sample_axis()), "w"))
@@ -137,13 +137,20 @@ FROM (VALUES {_CAT}) c(name, unit, slo, class, direction) LEFT JOIN v ON v.name
     lambda t: mn.slo_status(_signals(t), mn.signal_catalog(t.spark)))
 query("mon_instant", ["series", "ts"], {"v": 1}, f"""{ctes('samples')}
 SELECT series, max(ts) AS ts, max_by(v, ts) AS v FROM samples GROUP BY series""")(lambda t: mn.instant(counts(t)))
-START, END = 1704067200, 1706659200  # 2024-01-01 .. 2024-01-31
-query("mon_range", ["series", "at_"], {"v": 1}, f"""{ctes('samples')}, g AS (
+def _range(t):
+    """The last 30 days of the samples, every ten minutes."""
+    last = t.read("events").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()[0] or 0
+    end = last // 600 * 600
+    start = end - 30 * 86_400
+    return ntz(mn.range_query(counts(t, start - 300, end), start, end, 600).withColumnRenamed("at", "at_"), "at_")
+
+
+query("mon_range", ["series", "at_"], {"v": 1}, f"""{ctes('samples')}, z AS (
+  SELECT CAST(floor(epoch(max(ts))) AS BIGINT) // 600 * 600 AS e FROM events), g AS (
   SELECT series, make_timestamp(s * 1000000) AS at_ FROM (SELECT DISTINCT series FROM samples),
-    generate_series({START}, {END}, 600) gs(s))
+    (SELECT unnest(generate_series(e - 30 * 86400, e, 600)) AS s FROM z) gs)
 SELECT g.series, at_, v FROM g ASOF JOIN samples s ON g.series = s.series AND s.ts <= g.at_
-WHERE s.ts >= at_ - INTERVAL 5 MINUTE""")(
-    lambda t: ntz(mn.range_query(counts(t), START, END, 600).withColumnRenamed("at", "at_"), "at_"))
+WHERE s.ts >= at_ - INTERVAL 5 MINUTE""")(_range)
 query("heartbeat_gaps", ["user_id", "last_beat", "expected", "missed"], {}, """
 SELECT user_id, max(ts) AS last_beat, max(m) - min(m) + 1 AS expected, max(m) - min(m) + 1 - count(DISTINCT m) AS missed
 FROM (SELECT *, epoch_us(ts) // 60000000 AS m FROM events) GROUP BY user_id""")(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loomcast.functions.expr import business_calendar, next_weekday, with_next_open
@@ -98,6 +99,15 @@ query("feature_counts", ["symbol", "features", "samples", "dropped"], {}, f"""{D
 SELECT symbol, {len(ft.feature_names())} AS features, count(*) FILTER ({_NEED}) AS samples,
        count(*) FILTER (NOT ({_NEED})) AS dropped FROM ({_features_sql()}) f GROUP BY symbol""")(
     lambda t: ft.feature_counts(t.bars_daily(), axis=DAILY))
+def _observed(t):
+    """The features are written once; what was seen, kept and dropped comes along."""
+    seen = Observation()
+    ft.make_features(t.bars_daily(), axis=DAILY, observed=seen).write.parquet(scratch(t.spark, "features"))
+    return t.spark.createDataFrame([tuple(seen.get[c] for c in ("rows", "samples", "dropped"))], "rows long, samples long, dropped long")
+
+
+query("feature_observed", ["rows", "samples", "dropped"], {}, f"""{DAILY_SQL}
+SELECT count(*) AS rows, count(*) FILTER ({_NEED}) AS samples, count(*) FILTER (NOT ({_NEED})) AS dropped FROM ({_features_sql()}) f""")(_observed)
 query("feature_ma_block", ["symbol", "ts"], {"ma": 7}, f"""{DAILY_SQL}
 {over('SELECT symbol, ts, close FROM bars_daily', f"close / ({full('avg', 'close', 30)}) - 1 AS ma")}""")(
     lambda t: ft.feature_block(t.bars_daily(), {"name": "MovingAverage", "params": {"window": 30}}, DAILY))

@@ -147,6 +147,64 @@ SELECT id AS run_id, CAST(seq % 12 AS INTEGER) AS epoch, max(seq) AS saved_at,
     lambda t: ar.latest_checkpoint(_ckpts(t)))
 
 
+def _ckpt_files(t):
+    """A checkpoint file per status and day, and an older one of the same epoch; those of failures are cut off."""
+    day = F.to_date("ts")
+    saved = t.read("events").groupBy("event_type", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    state = F.format_string('{"n":%d}', F.col("n") - F.col("older"))
+    rows = saved.withColumn("older", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.col("event_type").alias("run_id"), F.unix_date("day").alias("epoch"),
+        (F.unix_date("day").cast("long") * 86_400 - F.col("older")).alias("saved_at"),
+        F.when(F.col("event_type") == "error", F.expr("left({0}, 4)".format("format_string('{\"n\":%d}', n)"))).otherwise(state).alias("state"))
+    folder = scratch(t.spark, "ckpts")
+    ar.save_checkpoints(rows, folder).count()
+    return ar.latest_checkpoint(ar.read_checkpoints(t.spark, folder))
+
+
+query("ckpt_files", ["run_id", "epoch", "saved_at", "state"], {}, """
+SELECT event_type AS run_id, CAST(ts AS DATE) - DATE '1970-01-01' AS epoch, (CAST(ts AS DATE) - DATE '1970-01-01') * 86400 AS saved_at,
+  CASE WHEN event_type <> 'error' THEN concat('{"n":', count(*), '}') END AS state FROM events GROUP BY event_type, CAST(ts AS DATE)""")(_ckpt_files)
+
+
+def _digested(t):
+    """The documents' texts in files (by doc_id modulo 16), in order of their ids; planted: wrong, missing and extra entries."""
+    file = F.format_string("part-%02d.txt", F.col("doc_id") % 16)
+    docs = t.read("documents").where("doc_id IS NOT NULL").select(file.alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    folder = scratch(t.spark, "files")
+    ar.write_files(docs.repartition("file").sortWithinPartitions("file", "doc_id"), folder).count()
+    found = ar.file_digests(t.spark, folder).withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+    ranged = ar.range_digests(t.spark, folder, 100_000).withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+    n = F.regexp_extract("file", "[0-9]+", 0).cast("int")
+    listed = found.where(n != 3).select(
+        F.when(n == 5, "part-99.txt").otherwise(F.col("file")).alias("file"), F.when(n == 7, "bad").otherwise(F.col("md5")).alias("md5"))
+    status = ar.checksum_diff(found, listed, "file")
+    return status.join(found.select("file", "md5"), "file", "left").join(ranged.select("file", "length", "ranges"), "file", "left")
+
+
+query("checksum_files", ["file", "status", "md5", "length", "ranges"], {}, """
+WITH f AS (SELECT format('part-{:02d}.txt', doc_id % 16) AS file, doc_id % 16 AS n, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS content
+  FROM documents WHERE doc_id IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT file, CASE WHEN n IN (3, 5) THEN 'EXTRA' WHEN n = 7 THEN 'MISMATCH' ELSE 'OK' END AS status, md5(content) AS md5,
+  strlen(content) AS length FROM f)
+SELECT file, status, md5, length, CAST(greatest(length - 1, 0) // 100000 + 1 AS INTEGER) AS ranges FROM d
+UNION ALL SELECT 'part-99.txt', 'MISSING', NULL, NULL, NULL FROM f WHERE n = 5""")(_digested)
+
+
+def _generations(t):
+    """The log's first half was written before it had owners; the second half leaves some out."""
+    folder, rows = scratch(t.spark, "generations"), log(t)
+    old = F.col("seq") % 2 == 0
+    rows.where(old).write.parquet(f"{folder}/generation=1")
+    owner = F.when(F.col("seq") % 3 != 0, F.concat(F.lit("o-"), F.col("id")))
+    rows.where(~old).drop("data").withColumn("owner", owner).write.parquet(f"{folder}/generation=2")
+    return ar.read_generations(t.spark, folder, {"owner": F.lit("nobody"), "data": F.lit("{}")})
+
+
+query("column_generations", ["id", "seq", "status", "data", "owner"], {}, f"""{LOG}
+SELECT id, seq, status, CASE WHEN seq % 2 = 0 THEN coalesce(data, '{{}}') ELSE '{{}}' END AS data,
+  CASE WHEN seq % 2 = 1 AND seq % 3 <> 0 THEN concat('o-', id) ELSE 'nobody' END AS owner FROM status_log""")(_generations)
+
+
 def _tasks(t):
     e = t.read("events")
     tasks = e.select(F.col("user_id").alias("run_id"), (F.col("event_id") % 12).alias("epoch")).distinct()

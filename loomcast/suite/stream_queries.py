@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomcast.functions.series import settle
+from loomcast.operators import monitor as mn
 from loomcast.operators.monitor import split_envelopes
 from loomcast.session import scratch
 
+from loomcast.sources import artifacts as ar
 from loomcast.sources import documents as dc
 from loomcast.streaming import jobs as st
 from loomcast.suite.monitor_queries import REASON, envelopes
 from loomcast.suite.registry import query
+from loomcast.suite.views import ctes
 
 
 def raw(t):
@@ -173,3 +176,46 @@ def _routed(t):
 
 query("stream_dead_letter", ["row_id", "outcome"], {}, f"""
 SELECT event_id AS row_id, CASE WHEN {REASON} IS NULL THEN 'good' ELSE 'dead' END AS outcome FROM events""")(_routed)
+
+
+def _forecast(t):
+    """Daily bars arrive in three parts, each followed by a refresh; the forecast is that of one fit on all of them."""
+    bars = t.bars_daily().select("symbol", "ts", "close")
+    low, high = bars.agg(F.min("ts"), F.max("ts")).first()
+    src, state = scratch(t.spark, "bars"), scratch(t.spark, "trend")
+    third, moments, x = F.expr(f"datediff(ts, DATE'{low}') * 3 div {(high - low).days + 1}") if low else F.lit(0), None, F.unix_date("ts")
+    for part in range(3):
+        bars.where(third == part).write.mode("append").parquet(src)
+        moments = st.refresh_trend(st.read_stream(t.spark, src, bars.schema), x, F.col("close"), ["symbol"], state)
+    return st.trend_forecast(moments, 1, ["symbol"])
+
+
+query("forecast_refreshed", ["symbol", "n"], {"slope": 6, "forecast": 3}, f"""{ctes('bars_daily')}
+SELECT symbol, count(*) AS n, regr_slope(close, x) AS slope, regr_intercept(close, x) + regr_slope(close, x) * (max(x) + 1) AS forecast
+FROM (SELECT symbol, close, CAST(ts - DATE '1970-01-01' AS DOUBLE) AS x FROM bars_daily) b GROUP BY symbol""")(_forecast)
+
+
+def _trace_stream(t):
+    """Records as JSON lines with planted bad ones: cut off, not JSON, blank, without a run."""
+    folder, out = scratch(t.spark, "trace"), scratch(t.spark, "trace_routed")
+    record = t.read("events").select(
+        F.to_json(F.struct(F.col("user_id").cast("string").alias("run_id"), (F.col("event_id") % 12).cast("int").alias("step"),
+                           F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("timestamp"),
+                           F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("details")),
+                  {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"), "event_id")
+    kind = F.col("event_id") % 50
+    planted = record.select(F.explode(F.array_compact(F.array(
+        "value", F.when(kind == 0, F.expr("left(value, 40)")), F.when(kind == 1, "not a record"), F.when(kind == 2, ""),
+        F.when(kind == 3, '{"step": 3}')))).alias("value"))
+    planted.write.text(folder)
+    good, bad = st.route(ar.stream_trace(t.spark, folder), ar.split_trace, out)
+    done = mn.trace_progress(t.spark.read.schema(ar.TRACE_SCHEMA).parquet(good), 12)
+    aside = t.spark.read.parquet(bad).agg(F.count(F.lit(1)).alias("records"))
+    rest = [F.lit(None).cast(f).alias(c) for c, f in (("step", "int"), ("status", "string"), ("progress", "double"))]
+    return done.unionByName(aside.select(F.lit("bad lines").alias("run_id"), *rest, "records"))
+
+
+query("stream_trace_progress", ["run_id", "step", "status", "records"], {"progress": 6}, """
+SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(max_by(event_id % 12, ts) AS INTEGER) AS step, max_by(event_type, ts) AS status,
+  max(event_id % 12) / 12.0::DOUBLE AS progress, count(*) AS records FROM events GROUP BY user_id
+UNION ALL SELECT 'bad lines', NULL, NULL, NULL, count(*) FROM events WHERE event_id % 50 IN (0, 1, 3)""")(_trace_stream)

@@ -4,6 +4,7 @@ given tables, in Spark and as SQL text for the comparison."""
 from __future__ import annotations
 
 import os
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,9 +114,16 @@ class Tables:
         """There is one sample per event."""
         return SAMPLES.but(max_rows=self.longest_type())
 
-    def samples(self) -> DataFrame:
-        """Counter per event type that resets every day; ``total`` counts up the values."""
-        ev = self.read("events").withColumn("_day", F.to_date("ts"))
+    def samples(self, since: int | None = None, until: int | None = None) -> DataFrame:
+        """Counter per event type that resets every day; ``total`` counts up the values.  The whole days that
+        hold the epoch seconds ``since`` to ``until`` are counted alone, as the filter goes down to the scan."""
+        ev = self.read("events")
+        at = lambda s: F.lit(datetime.fromtimestamp(s, timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+        if since is not None:
+            ev = ev.where(F.col("ts") >= at(since // 86_400 * 86_400))
+        if until is not None:
+            ev = ev.where(F.col("ts") <= at(until))
+        ev = ev.withColumn("_day", F.to_date("ts"))
         b = lay_out(ev, EVENTS.but(max_rows=self.longest_type())).running_sum(
             {"v": F.lit(1).cast("long"), "total": F.col("value")}, within=("_day",)
         )

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomcast.session import scratch
 from loomcast.operators.check import check_report, decide, metric_checks, score_runs
 from loomcast.sources import artifacts as ar
 from loomcast.sources import bars as bs
@@ -201,3 +202,40 @@ def test_winners_of_equal_order_and_equal_rows(spark):
         assert sorted(str(r.id) for r in got) == ["None", "a", "b"]
     plan = dc.latest(df.drop("tags").withColumn("created_at", F.lit(T0)))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_checkpoint_files_newest_and_corrupt(spark):
+    rows = [("run", 1, 10, '{"a":1}'), ("run", 1, 20, '{"a":2}'), ("run", 2, 30, '{"a":'), ("a__b", 7, 5, "[1]")]
+    folder = scratch(spark, "ckpts")
+    saved = ar.save_checkpoints(spark.createDataFrame(rows, "run_id string, epoch int, saved_at long, state string"), folder)
+    assert sorted(r.file for r in saved.collect()) == ["a__b__7_5.json", "run__1_10.json", "run__1_20.json", "run__2_30.json"]
+    got = {(r.run_id, r.epoch): (r.saved_at, r.state) for r in ar.latest_checkpoint(ar.read_checkpoints(spark, folder)).collect()}
+    assert got == {("run", 1): (20, '{"a":2}'), ("run", 2): (30, None), ("a__b", 7): (5, "[1]")}
+
+
+def test_digests_of_files_in_chunks_and_ranges(spark, tmp_path):
+    import hashlib
+
+    data = {"edge": bytes(200_000), "small": b"abc", "long": bytes(range(256)) * 4000}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    # no value may hold the long file: the reader that puts a whole file into one fails at this limit
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100_000)
+    try:
+        whole = {r.path.rsplit("/", 1)[1]: r.md5 for r in ar.file_digests(spark, str(tmp_path), chunk=1000).collect()}
+        parts = {r.path.rsplit("/", 1)[1]: (r.ranges, r.digest) for r in ar.range_digests(spark, str(tmp_path), 100_000, 7000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert whole == {n: hashlib.md5(c).hexdigest() for n, c in data.items()}
+    for n, c in data.items():
+        cuts = [c[i : i + 100_000] for i in range(0, len(c), 100_000)]
+        assert parts[n] == (len(cuts), hashlib.md5(b"".join(hashlib.md5(x).digest() for x in cuts)).hexdigest())
+
+
+def test_generations_are_filled_or_fail(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id int, x string").write.parquet(str(tmp_path / "g=1"))
+    spark.createDataFrame([(2, None, 5)], "id int, x string, y int").write.parquet(str(tmp_path / "g=2"))
+    df = ar.read_generations(spark, str(tmp_path), {"x": F.lit("?"), "y": F.lit(0), "z": F.lit(9)})
+    assert sorted((r.id, r.x, r.y, r.z) for r in df.collect()) == [(1, "a", 0, 9), (2, "?", 5, 9)]
+    with pytest.raises(Exception, match="null after back-fill"):
+        ar.read_generations(spark, str(tmp_path), {"y": F.lit(None).cast("int")}).collect()

@@ -205,3 +205,30 @@ def test_null_ids_are_one(spark):
     _write(spark, src, [(None, "b", T0, 2.0)])
     data = st.write_once(st.read_stream(spark, src, _schema(spark), files_per_batch=1), ["event_id"], scratch(spark, "outbox"))
     assert sorted(str(r.event_id) for r in spark.read.parquet(data).collect()) == ["1", "None"]
+
+
+def test_trend_refreshes_equal_one_fit(spark):
+    rnd, src, state = random.Random(3), scratch(spark, "src"), scratch(spark, "trend")
+    rows = [(i, rnd.choice("ab"), T0 + dt.timedelta(days=i), rnd.gauss(1000 + 3 * i, 20)) for i in range(120)]
+    rows += [(500, "new", T0 + dt.timedelta(days=200), 7.0), (501, "a", None, 1.0), (502, "a", T0, None)]
+    x, last = F.unix_date(F.to_date("ts")), None
+    for i in range(0, len(rows), 41):
+        _write(spark, src, rows[i : i + 41])
+        new = st.read_stream(spark, src, _schema(spark), files_per_batch=1)
+        last = st.refresh_trend(new, x, F.col("value"), ["series"], state)
+    again = st.refresh_trend(st.read_stream(spark, src, _schema(spark)), x, F.col("value"), ["series"], state)
+    whole = st.trend_moments(spark.createDataFrame(rows, SCHEMA), x, F.col("value"), ["series"])
+    want = {r.series: r for r in st.trend_forecast(whole, 5, ["series"]).collect()}
+    for frame in (last, again):
+        got = st.trend_forecast(frame, 5, ["series"]).collect()
+        assert {r.series for r in got} == {"a", "b", "new"}
+        for r in got:
+            w = want[r.series]
+            assert r.n == w.n and r.x == w.x and abs(r.forecast - w.forecast) < 1e-6 and abs(r.slope - w.slope) < 1e-9
+
+
+def test_nothing_arrived(spark):
+    src = scratch(spark, "src")
+    _write(spark, src, [])
+    new = st.read_stream(spark, src, _schema(spark))
+    assert st.hold_alerts(new.select("series", F.col("ts").alias("at"), (F.col("value") > 0).alias("bad")), 60, 60).count() == 0
