@@ -4,7 +4,8 @@ One pass makes MinHash samples of every document.  Bands of samples give buckets
 into a parity bitmap (an odd sketch) tell from the population count of an XOR how similar two candidates are, precisely
 where similarity is high; what passes is confirmed on the full sets of shingles, which are made again for candidates
 only.  Links are looked for where they can still change a group: first between members and ends of buckets, then, in
-buckets that hold more than one group, between all members of different groups."""
+buckets that hold more than one group, between all members of different groups, in blocks inside the tasks: what
+leaves them is a forest of links, never the pairs."""
 
 from __future__ import annotations
 
@@ -26,6 +27,10 @@ from loomcast.llm.pieces import texts_of
 WORDS = 200_000
 #: ends of buckets that each set is confirmed with before whole buckets are looked at
 ENDS = 2
+#: members of a bucket that a task takes as a block
+BLOCK = 500
+#: what members that meet in one task have in common
+CELL = ["key", "t", "lo", "hi"]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -193,7 +198,7 @@ def shingle_sets(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> D
 class _Search:
     """The search for links between distinct sets, over settled tables.
 
-    ``sets`` has one row per distinct set: nid, rep (smallest id), n, s1, s2 and the sketch."""
+    ``sets`` has one row per distinct set: nid, rep (smallest id), s1, s2, the bands and the sketch."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, shape: Shape, id_col: str, text_col: str):
         self.docs, self.sets, self.shape, self.id_col, self.text_col = docs, sets, shape, id_col, text_col
@@ -215,11 +220,7 @@ class _Search:
         """The pairs (a, b) that hold on their full sets; only the documents concerned are shingled again."""
         if pairs.isEmpty():
             return pairs.select("a", "b")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        need = settle(need.join(self.sets.select("nid", "rep", "s1", "s2"), "nid"), "wanted")
-        again = maybe_in(self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_t")), "_id", key_filter(need, "rep"))
-        found = shingle_sets(again, self.shape, "_id", "_t").withColumnRenamed("_id", "rep")
-        full = settle(narrow_join(found, need, ["rep", "s1", "s2"]).select("nid", "hs"), "sets")
+        full = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
         both = pairs.select("a", "b").join(full.select(F.col("nid").alias("a"), F.col("hs").alias("x")), "a")
         both = both.join(full.select(F.col("nid").alias("b"), F.col("hs").alias("y")), "b")
         both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
@@ -227,7 +228,7 @@ class _Search:
         return settle(hold.select("a", "b").distinct(), "links")
 
     def links(self, buckets: DataFrame) -> DataFrame:
-        """Links (a, b) that join the same groups as all links among the members of any bucket (key, nid)."""
+        """Links (a, b) that join the same groups as all links among the members of any bucket (key, t, nid)."""
         ends = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("nid").alias("lo"), F.max("nid").alias("hi"))
         members = settle(buckets.join(ends.where("m > 1").drop("m"), "key"), "buckets")
         stars = members.select("nid", F.explode(F.array("lo", "hi")).alias("end")).where("nid <> end")
@@ -237,10 +238,7 @@ class _Search:
         tried = self.sketched(stars).withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= ENDS)
         tried = settle(tried.select("a", "b"), "tried")
         links = self.confirmed(tried)
-        rest = self.rest(members.select("key", "nid"), components(links), tried)
-        if not rest.isEmpty():
-            links = settle(links.unionByName(self.confirmed(rest)), "links")
-        return links
+        return settle(links.unionByName(self.across(members.select("key", "t", "nid"), components(links))), "links")
 
     @staticmethod
     def named(df: DataFrame, groups: DataFrame, node: str, out: str) -> DataFrame:
@@ -248,29 +246,157 @@ class _Search:
         g = groups.select(F.col("node").alias(node), F.col("component").alias("_g"))
         return narrow_join(df, g, [node], "left", 40).withColumn(out, F.coalesce("_g", node)).drop("_g")
 
-    def rest(self, members: DataFrame, groups: DataFrame, tried: DataFrame) -> DataFrame:
-        """Untried pairs of different groups in one bucket that the sketches allow.
+    def across(self, members: DataFrame, groups: DataFrame) -> DataFrame:
+        """Links between different groups of one bucket: a spanning forest of them, never the pairs.
 
         In each bucket the members outside its largest group meet all others; members of that group, however many,
-        don't meet each other.  The join itself compares the sketches and lets a pair through in the first of the
-        buckets that it shares."""
+        don't meet each other.  Buckets are worked off in cells of two blocks.  A first pass over the sketches tells
+        which members of a cell have a partner that may pass; only those bring their full sets to the second, which
+        confirms pairs of groups that aren't joined yet."""
         m = self.named(members, groups, "nid", "g")
-        mixed = m.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("key")
-        m = settle(m.join(mixed, "key"), "mixed")
-        if m.isEmpty():
-            return tried.limit(0)
-        own = m.groupBy("nid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one per band
-        m = settle(m.join(own.join(self.sets.select("nid", *self.longs), "nid"), "nid"), "mixed")
-        main = m.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("g", "c").alias("main"))
-        few = m.join(main, "key").where("g <> main")
-        left = few.select("key", "main", F.col("nid").alias("l"), F.col("g").alias("lg"), F.col("keys").alias("lkeys"), *[F.col(c).alias(f"l{c}") for c in self.longs])
-        right = m.select("key", F.col("nid").alias("r"), F.col("g").alias("rg"), F.col("keys").alias("rkeys"), *[F.col(c).alias(f"r{c}") for c in self.longs])
-        near = (F.col("lg") != F.col("rg")) & (self.bits("l", "r") <= self.shape.most_bits)
-        first = F.element_at(F.array_intersect("lkeys", "rkeys"), 1) == F.col("key")
-        once = (F.col("rg") == F.col("main")) | (F.col("l") < F.col("r"))
-        near = left.join(right, "key").where(near & once & first)
-        pairs = near.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-        return settle(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
+        sizes = m.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
+        mixed = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("c"), F.max_by("g", "c").alias("main"), F.count(F.lit(1)).alias("groups"))
+        mixed = settle(mixed.where("groups > 1").select("key", "main", "c", "all"), "mixed")
+        if mixed.isEmpty():
+            return members.select(F.col("nid").alias("a"), F.col("nid").alias("b")).limit(0)
+        sketch = self.sets.select("nid", "bands", *self.longs)
+        cells = self.cells(narrow_join(m, mixed, ["key"], row_bytes=40))
+        found = settle(self.compared(cells.join(sketch, "nid"), sets=False).select(*CELL, F.col("a").alias("nid"), "side", "few", "g"), "partners")
+        if found.isEmpty():
+            return found.select(F.col("nid").alias("a"), F.col("nid").alias("b"))
+        full = self.full_sets(found.select("nid").distinct())
+        rows = found.join(sketch, "nid").join(full, "nid")
+        return settle(self.compared(rows, sets=True).select("a", "b").distinct(), "links")
+
+    @staticmethod
+    def cells(m: DataFrame) -> DataFrame:
+        """Members dealt to cells (key, lo, hi): blocks of the members outside the main group with each other and with
+        those of that group.  A bucket of one block is one cell."""
+        one = F.col("all") <= BLOCK
+        few_blocks = F.when(one, 1).otherwise(F.ceil((F.col("all") - F.col("c")) / BLOCK)).cast("int")
+        blocks = F.when(one, 1).otherwise(few_blocks + F.ceil(F.col("c") / BLOCK)).cast("int")
+        m = m.withColumns({"few": F.col("g") != F.col("main"), "fb": few_blocks, "blocks": blocks})
+        h = F.xxhash64("nid")
+        mine = F.when(F.col("few") | one, F.pmod(h, F.col("fb"))).otherwise(F.col("fb") + F.pmod(h, F.greatest(F.col("blocks") - F.col("fb"), F.lit(1))))
+        others = F.when(F.col("few"), F.col("blocks")).otherwise(F.col("fb"))
+        m = m.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))
+        side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+        return m.select("key", "t", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "nid", side.alias("side"), "few", "g")
+
+    def full_sets(self, nids: DataFrame) -> DataFrame:
+        """(nid, hs): the full sets of the nodes, made again from the documents that stand for them."""
+        need = settle(nids.join(self.sets.select("nid", "rep", "s1", "s2"), "nid"), "wanted")
+        again = maybe_in(self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_t")), "_id", key_filter(need, "rep"))
+        found = shingle_sets(again, self.shape, "_id", "_t").withColumnRenamed("_id", "rep")
+        # a node's row may stand in the table more than once
+        return settle(narrow_join(found, need, ["rep", "s1", "s2"]).select("nid", "hs").dropDuplicates(["nid"]), "sets")
+
+    def compared(self, rows: DataFrame, sets: bool) -> DataFrame:
+        """Cells of members to rows (cell, a, b, side, few, g): with ``sets`` links, else the members with partners (as a).
+
+        A pair counts in the first band in which the two share a bucket."""
+        shape, longs = self.shape, self.longs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def out(cell: pa.Table) -> pa.RecordBatch:
+                cell = cell.combine_chunks()
+                if sets:
+                    pairs = _linked(cell, shape, longs)
+                    row, a, b = [0] * len(pairs), [x for x, _ in pairs], [y for _, y in pairs]
+                else:
+                    row = _with_partner(cell, shape, longs)
+                    a = b = cell.column("nid").to_numpy()[row]
+                at = pa.array(row, pa.int64())
+                cols = [cell.column(c).combine_chunks().take(at) for c in CELL]
+                rest = [cell.column(c).combine_chunks().take(at) for c in ("side", "few", "g")]
+                return pa.RecordBatch.from_arrays([*cols, pa.array(a, pa.int64()), pa.array(b, pa.int64()), *rest], [*CELL, "a", "b", "side", "few", "g"])
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                both = pa.Table.from_batches([*held, batch])
+                change = np.zeros(both.num_rows, bool)
+                for k in CELL:
+                    v = both.column(k).to_numpy()
+                    change[1:] |= v[1:] != v[:-1]
+                starts = [0, *np.flatnonzero(change).tolist()]
+                for s, e in zip(starts, starts[1:]):
+                    if e - s > 1:
+                        yield out(both.slice(s, e - s))
+                held = both.slice(starts[-1]).to_batches()
+            if held:
+                yield out(pa.Table.from_batches(held))
+
+        columns = [*CELL, "nid", "side", "few", "g", "bands", *longs, *(["hs"] if sets else [])]
+        dealt = rows.select(*columns).repartition(*CELL).sortWithinPartitions(*CELL)
+        return dealt.mapInArrow(run, "key bigint, t int, lo int, hi int, a bigint, b bigint, side int, few boolean, g bigint")
+
+
+def _candidates(cell: pa.Table, shape: Shape, longs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of positions (i, j) of one cell that may pass, with the bits they differ by, some rows at a time."""
+    col = lambda c: cell.column(c).to_numpy()
+    side, few, g, t = col("side"), col("few").astype(bool), col("g"), int(cell.column("t")[0].as_py())
+    sk = np.stack([col(c) for c in longs], axis=1).view(np.uint64)  # of negative numbers, bits of the amount are counted
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(side), -1)[:, :t]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    same = bool((side == 2).any())
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        d = np.zeros((len(i), len(right)), np.int32)
+        for k in range(sk.shape[1]):
+            d += np.bitwise_count(sk[i, k][:, None] ^ sk[right, k][None, :])
+        ok = (d <= shape.most_bits) & (g[i][:, None] != g[right][None, :]) & (few[i][:, None] | few[right][None, :])
+        if same:
+            ok &= i[:, None] < right[None, :]
+        x, y = np.nonzero(ok)
+        far = d[x, y]
+        x, y = i[x], right[y]
+        first = ~(bands[x] == bands[y]).any(axis=1)
+        yield x[first], y[first], far[first]
+
+
+def _with_partner(cell: pa.Table, shape: Shape, longs: list[str]) -> np.ndarray:
+    """Positions of the members of a cell that have a partner that may pass."""
+    has = np.zeros(cell.num_rows, bool)
+    for x, y, _ in _candidates(cell, shape, longs):
+        has[x] = has[y] = True
+    return np.flatnonzero(has)
+
+
+def _linked(cell: pa.Table, shape: Shape, longs: list[str]) -> list[tuple[int, int]]:
+    """Links of one cell that join groups, the most alike first; pairs of joined groups aren't looked at."""
+    sets = cell.column("hs").combine_chunks()
+    ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+    nid, g = cell.column("nid").to_numpy(), cell.column("g").to_numpy()
+    names, of = np.unique(g, return_inverse=True)
+    up = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    found = list(_candidates(cell, shape, longs))
+    x, y, d = (np.concatenate([f[k] for f in found]) for k in range(3))
+    size = np.diff(ends)[: len(nid)]
+    fits = 100 * np.minimum(size[x], size[y]) >= shape.percent * np.maximum(size[x], size[y])
+    x, y, d = x[fits], y[fits], d[fits]
+    for k in np.argsort(d, kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
+        p, q = root(int(of[i])), root(int(of[j]))
+        if p == q:
+            continue
+        both = np.concatenate((flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]))
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        if 100 * shared >= shape.percent * (len(both) - shared):
+            up[max(p, q)] = min(p, q)
+            out.append((int(nid[i]), int(nid[j])))
+    return out
 
 
 def near_groups(
@@ -293,8 +419,8 @@ def near_groups(
         F.min("_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in longs]
     )
     sets = settle(sets.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    buckets = sets.select(F.explode("bands").alias("key"), "nid")
-    links = _Search(docs, sets.drop("bands"), shape, id_col, text_col).links(buckets)
+    buckets = sets.select(F.posexplode("bands").alias("t", "key"), "nid")
+    links = _Search(docs, sets, shape, id_col, text_col).links(buckets)
     groups = components(links)
     named = narrow_join(groups, sets.select(F.col("nid").alias("node"), "rep"), ["node"], row_bytes=40)
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
