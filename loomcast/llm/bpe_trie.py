@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,7 +157,8 @@ class WordCodec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special_in = re.compile("|".join(map(re.escape, special))).search if special else lambda p: None
         # whether Latin letters, in lower case, and signs after them are words as they stand
         probe = "Ab\u00c9\u0178\u0111.,'!"
         self.latin = self._split(probe) == [("abÃ©Ã¿Äĳ", (0, 5)), (".,'!", (5, 9))]
@@ -186,19 +188,23 @@ class WordCodec:
     def encode(self, pieces: list[str]) -> dict[str, list[str]]:
         """Tokens of each piece; pieces that hold a special string are cut there by the library itself."""
         out: dict[str, list[str]] = {}
-        plain, simple = [], {}
+        plain, simple, special, latin = [], {}, self.special_in, _LATIN.fullmatch if self.latin else lambda p: None
         for p in pieces:
-            if any(s in p for s in self.special):
+            if special(p):
                 out[p] = self.tok.encode(p, add_special_tokens=False).tokens
-            elif self.latin and (m := _LATIN.fullmatch(p)):
-                simple[p] = [x.encode().decode("latin-1").translate(_SHOWN) for x in (m[1].lower(), m[2]) if x]
+            elif m := latin(p):
+                word, signs = m[1].lower(), m[2]
+                if not p.isascii():  # printable ASCII is shown as itself
+                    word, signs = (x.encode().decode("latin-1").translate(_SHOWN) for x in (word, signs))
+                simple[p] = (word, signs) if word and signs else (word or signs,)
             elif not p or _SPACE.search(p):
                 known = self.trie.encode(ws := [w for w, _ in self._split(p)])
                 out[p] = [t for w in ws for t in known[w]]
             else:
                 plain.append(p)
         known = self.trie.encode({w for ws in simple.values() for w in ws})
-        out.update((p, [t for w in ws for t in known[w]]) for p, ws in simple.items())
+        for p, ws in simple.items():
+            out[p] = known[ws[0]] if len(ws) == 1 else known[ws[0]] + known[ws[1]]
         batch: list[str] = []
         size = 0
         for p in [*plain, None]:
@@ -218,8 +224,12 @@ class WordCodec:
 
     def known(self, pieces: list[str]) -> dict[str, tuple[int, str, str]]:
         """Count, joined ids and joined tokens of each piece."""
-        number = self.numbers.__getitem__
-        return {p: (len(ts), " ".join(map(number, ts)), " ".join(ts)) for p, ts in self.encode(pieces).items()}
+        numbers = self.numbers
+        number = numbers.__getitem__
+        return {
+            p: (1, numbers[ts[0]], ts[0]) if len(ts) == 1 else (len(ts), " ".join(map(number, ts)), " ".join(ts))
+            for p, ts in self.encode(pieces).items()
+        }
 
 
 @lru_cache(maxsize=2)
@@ -258,12 +268,16 @@ class _Row:
         self.n, self.ids, self.decoded, self.first = 0, hashlib.sha256(), hashlib.sha256(), True
 
     def add(self, known: list[tuple[int, str, str]]) -> None:
-        self.n += sum(k[0] for k in known)
-        ids = " ".join(k[1] for k in known if k[0])
+        if not known:
+            return
+        n, ids, tokens = zip(*known)
+        if 0 in n:  # pieces without a token
+            ids, tokens = (tuple(x for x, k in zip(xs, n) if k) for xs in (ids, tokens))
         if ids:
-            space = b"" if self.first else b" "
-            self.ids.update(space + ids.encode())
-            self.decoded.update(space + " ".join(k[2] for k in known if k[0]).encode())
+            self.n += sum(n)
+            space = "" if self.first else " "
+            self.ids.update((space + " ".join(ids)).encode())
+            self.decoded.update((space + " ".join(tokens)).encode())
             self.first = False
 
 
@@ -281,9 +295,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             rows, row = [], _Row()
             for group in _grouped(batch):
                 cut = [_pieces(part) for _, part, _ in group]
-                memo.young.update(codec.known(memo.missing(p for ps in cut for p in ps)))
+                memo.young.update(codec.known(memo.missing(chain.from_iterable(cut))))
+                known = memo.young.__getitem__
                 for (_, _, last), pieces in zip(group, cut):
-                    row.add([memo.young[p] for p in pieces])
+                    row.add(list(map(known, pieces)))
                     if last:
                         rows.append((row.n, row.ids.hexdigest(), row.decoded.hexdigest()))
                         row = _Row()
