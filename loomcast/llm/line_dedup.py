@@ -178,13 +178,20 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with ``text_col`` rebuilt without lines that stand for a kept one: of each class of lines the first
-    place (least id, then place) stays, lines shorter than ``shortest`` always stay.  Ids must be unique."""
-    classes = near_lines(docs, id_col, text_col, edits, shortest).select(F.col("line").alias("_line"), "class_line")
-    places = split_lines(docs, id_col, text_col).join(classes, "_line")
+    place (least id, rows without id last; then row and place) stays, lines shorter than ``shortest`` always stay.
+
+    Rows are told apart by numbers of their own, so ids may be null or repeat; every row comes back once, a null text
+    as empty, other columns as they are; an empty table gives none."""
+    rows = settle(docs.withColumn("_nr", F.monotonically_increasing_id()), "rows")
+    classes = near_lines(rows, id_col, text_col, edits, shortest).select(F.col("line").alias("_line"), "class_line")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    places = rows.select("_nr", F.col(id_col).alias("_id"), F.posexplode(F.split(text, "\n")).alias("_at", "_line")).join(classes, "_line")
     short = F.octet_length("_line") < shortest
-    firsts = places.where(~short).groupBy("class_line").agg(F.min(F.struct("_id", "_at")).alias("f")).select("class_line", "f.*", F.lit(True).alias("_first"))
-    kept = places.join(firsts, ["class_line", "_id", "_at"], "left").where(short | F.coalesce("_first", F.lit(False)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda s: s["_line"]), "\n")
-    whole = kept.groupBy("_id").agg(text.alias("_new"))
-    out = docs.join(whole, docs[id_col] == whole["_id"], "left")
-    return out.select(*[F.coalesce("_new", F.lit("")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_nr", "_at")
+    firsts = places.where(~short).groupBy("class_line").agg(F.min(place).alias("f")).select(
+        "class_line", F.col("f._nr").alias("_nr"), F.col("f._at").alias("_at"), F.lit(True).alias("_first"))
+    kept = places.join(firsts, ["class_line", "_nr", "_at"], "left").where(short | F.coalesce("_first", F.lit(False)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda s: s["_line"]), "\n")
+    whole = kept.groupBy("_nr").agg(joined.alias("_new"))
+    out = rows.join(whole, "_nr", "left")
+    return out.select(*[F.coalesce("_new", F.lit("")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -104,3 +104,14 @@ def test_documents_rebuilt(spark):
     assert near_lines(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         near_lines(df, edits=9)
+
+
+def test_rows_without_id_or_with_one_id_keep_their_own_lines(spark):
+    line = "a line that is long enough to be compared"
+    rows = [(None, line + "!\nonly here, without any id at all"), (7, line + "\nthe first text of seven stands here"),
+            (7, "another text under the same number\n" + line + "?"), (9, None), (8, "short\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    got = sorted((str(r.doc_id), r.text, r.n) for r in without_near_lines(df).collect())
+    assert len(got) == 5 and ("9", "", 1) in got and ("8", "short", 1) in got and ("None", "only here, without any id at all", 1) in got
+    sevens = [t for i, t, _ in got if i == "7"]
+    assert sum(line in t for t in sevens) == 1 and sum("the first text" in t for t in sevens) == 1 and sum("another text" in t for t in sevens) == 1
