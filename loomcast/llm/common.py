@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,31 @@ def narrow_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(right, list(on), how)
 
 
+def by_cell(rows: DataFrame, cell: Sequence[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` over the rows of each cell, whose columns ``cell`` are whole numbers; the caller bounds the rows of a
+    cell.  Cells of one row are left out: they have nobody to compare with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([*held, batch])
+            change = np.zeros(both.num_rows, bool)
+            for c in cell:
+                v = both.column(c).to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            starts = [0, *np.flatnonzero(change).tolist()]
+            done = [fn(both.slice(s, e - s).combine_chunks()) for s, e in zip(starts, starts[1:]) if e - s > 1]
+            yield from (b for t in done for b in t.select(names).to_batches())
+            held = both.slice(starts[-1]).to_batches()
+        if held:
+            yield from fn(pa.Table.from_batches(held).combine_chunks()).select(names).to_batches()
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, schema)
+
+
 def _word(col: str, bits: int):
     return F.expr(f"shiftrightunsigned(xxhash64({col}), {64 - bits + 6})")
 

@@ -130,7 +130,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE l AS (
   SELECT line, min(doc_id) AS doc_id, count(*) AS n_rows FROM
     (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY 1
-), s AS (SELECT line, strlen(line) AS n FROM l WHERE strlen(line) >= 16
+), s AS (SELECT line, strlen(line) AS n FROM l WHERE strlen(line) >= 1
 ), p AS (
   SELECT a.line AS a, b.line AS b FROM s a JOIN s b ON b.n IN (a.n - 2, a.n - 1, a.n, a.n + 1, a.n + 2) AND a.line <> b.line
   WHERE levenshtein(a.line, b.line) <= 2
