@@ -1,20 +1,24 @@
 """Shards by balanced label propagation, with DataFrame functions only.
 
-Linked documents (those of one group, e.g. equal texts) are pulled together: in each round every group votes with its
-members for a shard, and members move to the shard most of their group is in, as far as that shard's quota allows.
-Members of a group that are in the same shard are alike, so a round works on the counts of (group, shard), at most one
-row per group and shard: a group of a third of all rows is a few dozen rows.  Documents without links then fill what is
-free, which makes the counts exact."""
+Linked documents (those of one group, e.g. equal texts) are pulled together: in each round every group that isn't whole
+yet votes with its members for a shard that can still take all of it, and groups move there as far as the quota allows.
+Large groups go first, and rounds go on until no shard can take a waiting group.  Members of a group that are in the
+same shard are alike, so a round works on the counts of (group, shard), at most one row per group and shard: a group of
+a third of all rows is a few dozen rows for each shard it fills.  Documents without links then fill what is free, which
+makes the counts exact."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomcast.llm.common import narrow_join, number, settle
 
-ROUNDS = 4
+#: groups down to this part of the largest waiting one vote in the same round
+CLASS = 4
+#: hash buckets by which a shard takes what wishes to come
+BUCKETS = 4096
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -22,100 +26,101 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def _lookup(values: dict[int, float], key, default=0):
+def _lookup(values: list[int], key) -> Column:
     """A value for each shard, as a column: one entry per shard, so its size is fixed."""
-    known = F.array(*[F.lit(values.get(s, default)) for s in range(max(values, default=0) + 1)])
-    return F.coalesce(F.get(known, key), F.lit(default))
-
-
-def propagate(placed: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move members between shards: from rows (g, shard, n) to rows (g, shard, n) with each group's members in as few
-    shards as quotas allow.
-
-    A round joins each group's counts to the shard it has most members in (of equals the lowest).  What wishes to come
-    to a shard is weighed against what that shard's quota leaves beside the members that stay; where more wish than
-    fit, a group comes if its hash in this round falls under the share that fits, and a group for which not all is free
-    sends a part.  Groups are rows of equal (g, c): those larger than half a quota come in as parts c of that size."""
-    shards, key = len(quota), ["g", "c"]
-    now = placed
-    for step in range(rounds):
-        best = now.groupBy(*key).agg(F.max(F.col("n") * shards + (shards - 1 - F.col("shard"))).alias("_v"), F.sum("n").alias("_all"))
-        best = best.select(*key, (shards - 1 - F.expr(f"_v % {shards}")).cast("int").alias("to"), "_all")
-        votes = settle(now.join(best, key), "votes")
-        # one row per shard comes back to the driver: staying, and wishing to come
-        flow = votes.groupBy("to").agg(
-            F.sum(F.when(F.col("shard") == F.col("to"), F.col("n")).otherwise(0)).alias("stay"),
-            F.sum(F.when(F.col("shard") != F.col("to"), F.col("n")).otherwise(0)).alias("come"),
-        ).collect()
-        if sum(r["come"] for r in flow) == 0:
-            return now
-        free = {s: 0 for s in range(shards)}
-        share = {s: 0.0 for s in range(shards)}
-        for r in flow:
-            free[r["to"]] = max(0, quota[r["to"]] - r["stay"])
-            share[r["to"]] = min(1.0, free[r["to"]] / r["come"]) if r["come"] else 1.0
-        chance = F.pmod(F.xxhash64(*key, F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        comes = F.col("_all") - F.sum(F.when(F.col("shard") == F.col("to"), F.col("n")).otherwise(0)).over(W.partitionBy(*key))
-        fits = comes <= _lookup(free, F.col("to"))
-        moved = votes.withColumns({"_ok": fits & (chance < _lookup(share, F.col("to"))), "_comes": comes})
-        # a group that doesn't fit sends what does, its smallest parts in proportion to what is free
-        part = F.least(F.col("n"), F.floor(F.col("n") * _lookup(free, F.col("to")) * _lookup(share, F.col("to")) / F.greatest("_comes", F.lit(1))))
-        sent = F.when(F.col("shard") == F.col("to"), 0).when(F.col("_ok"), F.col("n")).when(fits, 0).otherwise(part).cast("long")
-        moved = moved.withColumn("_sent", sent)
-        stayed = moved.select(*key, "shard", (F.col("n") - F.col("_sent")).alias("n"))
-        gone = moved.select(*key, F.col("to").alias("shard"), F.col("_sent").alias("n"))
-        now = stayed.unionByName(gone).where("n > 0").groupBy(*key, "shard").agg(F.sum("n").alias("n"))
-        now = settle(now, "placed")
-    return now
-
-
-def assign_shards(
-    docs: DataFrame, shards: int, group: list[str], id_col: str = "doc_id", rounds: int = ROUNDS
-) -> DataFrame:
+    return F.get(F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>"), key)
+
+
+def _votes(waiting: DataFrame, free: list[int], top: int, step: int) -> DataFrame:
+    """(g, c, size, to, bucket): each group of at most ``top`` rows votes for the shard that has most of its members of
+    those that can take it whole (of equals told by a hash); where none can, for a shard told by a hash in proportion to
+    what is free there."""
+    shards, key = len(free), ["g", "c"]
+    turn = F.pmod(F.xxhash64(*key, F.lit(step)), F.lit(shards))
+    weight = F.col("n") * shards + F.pmod(F.col("shard") + turn, F.lit(shards))
+    fits = _lookup(free, F.col("shard")) >= F.col("size")
+    best = waiting.where(f"size <= {top} AND size * {CLASS} >= {top}").groupBy(*key, "size").agg(F.max(F.when(fits, weight)).alias("_v"))
+    ends, at = [], 0
+    for f in free:
+        at += f if f >= top else 0
+        ends.append(at)
+    drawn = F.pmod(F.xxhash64(F.lit(step), *key), F.lit(at))
+    other = F.size(F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<bigint>"), lambda e: e <= drawn))
+    to = F.coalesce(F.pmod(F.col("_v") % shards - turn, F.lit(shards)), other).cast("int")
+    return best.select(*key, "size", to.alias("to"), F.pmod(F.xxhash64(*key, F.lit(-1 - step)), F.lit(BUCKETS)).cast("int").alias("bucket"))
+
+
+def propagate(start: DataFrame, quota: list[int]) -> tuple[DataFrame, DataFrame, list[int]]:
+    """From rows (g, c, shard, n, size) of groups (g, c) of ``size`` rows, n of them in ``shard``: the groups that are
+    whole (g, c, shard), those left (g, c, size), and the rows that each shard has free.
+
+    A shard takes what votes for it by hash buckets, new ones each round, up to what is free.  When the rounds end, each
+    group left is larger than what any shard has free, so there are fewer groups left than shards.  Only numbers per
+    shard come to the driver."""
+    free, waiting, step, whole = list(quota), start, 0, []
+    while True:
+        top = waiting.where(F.col("size") <= max(free)).agg(F.max("size")).first()[0]
+        if not top:
+            break
+        votes = settle(_votes(waiting, free, top, step), "votes")
+        sums = votes.groupBy("to", "bucket").agg(F.sum("size").alias("n"))
+        sums = sums.withColumn("n", F.sum("n").over(W.partitionBy("to").orderBy("bucket")))
+        fit = sums.where(F.col("n") <= _lookup(free, F.col("to"))).groupBy("to").agg(F.max("bucket").alias("bucket"), F.max("n").alias("n"))
+        upto = [-1] * len(free)
+        for r in fit.collect():
+            upto[r["to"]] = r["bucket"]
+            free[r["to"]] -= r["n"]
+        step += 1
+        if max(upto) < 0:
+            continue  # groups of one bucket were in each other's way: the next round deals them anew
+        comes = votes.where(F.col("bucket") <= _lookup(upto, F.col("to"))).select("g", "c", F.col("to").alias("shard"))
+        whole.append(comes)
+        waiting = settle(waiting.join(comes.select("g", "c"), ["g", "c"], "left_anti"), "waiting")
+    placed = start.select("g", "c", "shard").limit(0)
+    for comes in whole:
+        placed = placed.unionByName(comes)
+    return settle(placed, "placed"), settle(waiting.select("g", "c", "size").distinct(), "left"), free
+
+
+def assign_shards(docs: DataFrame, shards: int, group: list[str]) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (from 0, gapless in each shard).
 
-    The counts of rows of any two shards differ by at most one.  Rows equal in the columns ``group`` are linked; links
-    that quotas don't force apart stay in one shard.  Rows with a null in ``group`` are linked with nothing.  ``docs``
-    must be settled and have a column ``_u`` that is unique, such as ``monotonically_increasing_id`` written with it;
-    ids may be null or repeated.  An empty table gives an empty result."""
+    The counts of rows of any two shards differ by at most one.  Rows equal in the columns ``group`` are linked.  A group
+    stays in one shard unless it is larger than a quota (then it fills whole shards and its rest stays together) or no
+    shard has room left for it.  Rows with a null in ``group`` are linked with nothing.  ``docs`` must be settled and
+    have a column ``_u`` that is unique, such as ``monotonically_increasing_id`` written with it; ids may be null or
+    repeated.  An empty table gives an empty result."""
     total = docs.count()
     quota = quotas(total, shards)
     links = docs.where(" AND ".join(f"{c} IS NOT NULL" for c in group)).groupBy(*group).agg(F.count(F.lit(1)).alias("_members"))
     links = settle(links.where("_members > 1").withColumn("g", F.monotonically_increasing_id()), "groups")
-    member = settle(narrow_join(docs.select("_u", *group), links.select(*group, "g"), group, "left", 60).select("_u", "g"), "members")
+    named = narrow_join(docs.select("_u", *group), links, group, "left", 60)
+    member = settle(named.select("_u", "g", "_members"), "members")
     linked, single = member.where("g IS NOT NULL"), member.where("g IS NULL").select("_u")
     n_linked = linked.count()
-    # every linked row starts in a shard told by its number in the group, then groups propagate
-    part = max(1, quota[-1] // 2)
+    # every linked row starts in a shard told by a hash, then groups propagate; no part is larger than a quota
+    part = max(1, quota[-1])
     spread = number(settle(linked, "linked"), ["g"], ["_u"], "_all", n_linked)
-    spread = spread.withColumns({"c": F.expr(f"_all div {part}"), "_at": F.expr(f"_all % {part}")}).drop("_all")
-    spread = settle(spread, "spread")
-    start = spread.groupBy("g", "c", F.pmod(F.xxhash64("_u"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    placed = propagate(settle(start, "placed"), quota, rounds) if n_linked else start
-    w = W.partitionBy("g", "c").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    ranges = settle(placed.withColumn("_from", F.coalesce(F.sum("n").over(w), F.lit(0))), "ranges")
-    # a member's number in its group tells its shard; a group has at most one row per shard
-    near = narrow_join(spread, ranges.groupBy("g", "c").agg(F.array_sort(F.collect_list(F.struct("_from", "shard", "n"))).alias("_parts")), ["g", "c"], row_bytes=12 * shards)
-    at = F.filter("_parts", lambda p: p["_from"] <= F.col("_at"))
-    mine, most = F.element_at(at, -1), F.aggregate("_parts", F.lit(0).cast("long"), lambda s, p: s + p["n"])
-    home = near.select("_u", "g", "c", mine["shard"].alias("shard"), (mine["n"] * 2 < most).alias("weak"))
-    home = settle(home, "home")
-    # what exceeds a quota goes to the pool: first members away from most of their group, then groups one by one
-    firm = {r["shard"]: r["n"] for r in home.where("NOT weak").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = number(home.withColumn("_gh", F.xxhash64("g", "c")), ["shard", "weak"], ["_gh", "_u"], "_rank", n_linked)
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.when(F.col("weak"), _lookup(firm, F.col("shard"))).otherwise(0))
-    stay = settle(ranked.withColumn("_in", F.col("_rank") < _lookup(dict(enumerate(quota)), F.col("shard"))), "stay")
-    held = {r["shard"]: r["n"] for r in stay.where("_in").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pool = settle(single.unionByName(stay.where("NOT _in").select("_u")), "pool")
-    n_pool = total - sum(held.values())
-    ends, at_end = [], 0
-    for s in range(shards):
-        at_end += quota[s] - held.get(s, 0)
-        ends.append(at_end)
-    place = number(pool.withColumn("_k", F.lit(0)), ["_k"], ["_u"], "_r", n_pool)
-    before = F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("_r"))
-    filled = place.select("_u", F.size(before).cast("int").alias("shard"))
-    where = settle(stay.where("_in").select("_u", "shard").unionByName(filled), "where")
+    spread = spread.withColumns({"c": F.expr(f"_all div {part}"), "_at": F.expr(f"_all % {part}")})
+    spread = settle(spread.withColumn("size", F.least(F.lit(part), F.col("_members") - F.col("c") * part)).drop("_all", "_members"), "spread")
+    start = spread.groupBy("g", "c", "size", F.pmod(F.xxhash64("_u"), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    placed, left, free = propagate(settle(start, "start"), quota)
+    home = narrow_join(spread.select("_u", "g", "c"), placed, ["g", "c"]).select("_u", "shard")
+    # groups left, fewer than shards, lie one after another over what is free, the emptiest shards first
+    before = W.orderBy(F.desc("size"), "g", "c").rowsBetween(W.unboundedPreceding, -1)
+    left = settle(left.withColumn("_from", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size"), "ranges")
+    n_left = sum(quota) - sum(q - f for q, f in zip(quota, free)) - (total - n_linked)
+    rest = narrow_join(spread.select("_u", "g", "c", "_at"), left, ["g", "c"]).select("_u", (F.col("_from") + F.col("_at")).alias("_r"))
+    singles = number(settle(single.withColumn("_k", F.lit(0)), "singles"), ["_k"], ["_u"], "_r", total - n_linked)
+    pool = rest.unionByName(singles.select("_u", (F.col("_r") + n_left).alias("_r")))
+    order = sorted(range(shards), key=lambda s: -free[s])
+    ends, at = [], 0
+    for s in order:
+        at += free[s]
+        ends.append(at)
+    behind = F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<bigint>"), lambda e: e <= F.col("_r"))
+    filled = pool.select("_u", _lookup(order, F.size(behind)).cast("int").alias("shard"))
+    where = settle(home.unionByName(filled), "where")
     out = number(where, ["shard"], ["_u"], "slot", total)
     return docs.join(out, "_u")
 
@@ -123,7 +128,8 @@ def assign_shards(
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``size`` (UTF-8 bytes of the text, null none, plus 16), ``text_crc32``
     (unsigned), ``shard`` and ``slot``; equal texts are linked (null as empty) and stay together as far as shards with
-    counts at most one apart allow.  Texts are read once and don't move; other columns aren't read."""
+    counts at most one apart allow.  Texts are read once and don't move, very long ones too; ids may be null or repeat; an
+    empty table gives an empty result; other columns aren't read."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
