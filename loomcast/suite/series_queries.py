@@ -201,6 +201,35 @@ prep("log", pp.log_transform, {"log": 7},
      f"{GAPPY} SELECT symbol, ts, CASE WHEN close > 0 THEN ln(close) END AS log FROM bars_gappy")
 prep("boxcox", lambda d: pp.box_cox(d, lam=0.5), {"boxcox": 5},
      f"{GAPPY} SELECT symbol, ts, CASE WHEN close > 0 THEN (pow(close, 0.5) - 1) / 0.5 END AS boxcox FROM bars_gappy")
+# whole preprocessing sections of a plan: every block works on what the one before it kept
+_PLAN = {
+    "missing_value_methods": {"enable": "On", "value": ["平均補完"]}, "outlier_methods": {"enable": "On", "value": ["IQR法"]},
+    "scaling_methods": {"enable": "On", "value": ["MinMaxスケーリング", "標準化"]},
+    "feature_generation_methods": {"enable": "On", "value": ["多項式展開", "対数変換"]},
+}
+_REFILLED = {
+    "missing_value_methods": {"enable": "On", "value": ["前日値で補完"]},
+    "outlier_methods": {"enable": "On", "value": ["3σ法", "Zスコア法", "ロバストスケーリング法"]},
+    "scaling_methods": {"enable": "Off", "value": ["標準化"]},
+    "Normalization": {"enable": "On", "value": {"range": [0, 10]}}, "OutlierRemoval": {"enable": "On", "value": {"threshold": 2}},
+}
+prep("plan", lambda d: pp.preprocess(d, _PLAN, axis=DAILY), {"close_minmax": 5, "close_std": 5, "close_x_close": 1, "close_log": 6}, f"""{GAPPY},
+m AS (SELECT symbol, avg(close) AS a FROM bars_gappy GROUP BY symbol),
+f AS (SELECT symbol, ts, coalesce(close, a) AS close FROM bars_gappy JOIN m USING (symbol)),
+q AS (SELECT symbol, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.75) AS q3 FROM f GROUP BY symbol),
+k AS (SELECT symbol, ts, close FROM f JOIN q USING (symbol) WHERE close BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+s AS (SELECT symbol, min(close) AS lo, max(close) AS hi, avg(close) AS a, stddev_pop(close) AS sp FROM k GROUP BY symbol)
+SELECT symbol, ts, coalesce((close - lo) / nullif(hi - lo, 0), 0) AS close_minmax, (close - a) / nullif(sp, 0) AS close_std,
+  close * close AS close_x_close, CASE WHEN close > 0 THEN ln(close) END AS close_log FROM k JOIN s USING (symbol)""")
+prep("plan_refilled", lambda d: pp.preprocess(d, _REFILLED, axis=DAILY), {"z": 5, "close_robust": 5, "close_norm": 5}, f"""{GAPPY},
+f AS (SELECT symbol, ts, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM bars_gappy),
+m AS (SELECT symbol, avg(close) AS a, stddev_samp(close) AS ss FROM f GROUP BY symbol),
+k AS (SELECT symbol, ts, close FROM f JOIN m USING (symbol) WHERE coalesce(abs(close - a) <= 3 * ss, close IS NOT NULL)),
+s AS (SELECT symbol, min(close) AS lo, max(close) AS hi, avg(close) AS a, stddev_samp(close) AS ss, quantile_cont(close, 0.25) AS q1,
+  quantile_cont(close, 0.5) AS q2, quantile_cont(close, 0.75) AS q3 FROM k GROUP BY symbol)
+SELECT symbol, ts, (close - a) / nullif(ss, 0) AS z, abs((close - a) / nullif(ss, 0)) > 3 AS outlier, (close - q2) / nullif(q3 - q1, 0) AS close_robust,
+  coalesce((close - lo) / nullif(hi - lo, 0), 0) * 10 AS close_norm
+FROM k JOIN s USING (symbol) WHERE coalesce(abs(close - a) <= 2 * ss, close IS NOT NULL)""", ("symbol", "ts", "outlier"))
 query("prep_boxcox_fit", ["symbol"], {"lam": 1}, f"""{GAPPY}, g AS (
   SELECT symbol, lam, count(*) AS n, sum(ln(close)) AS sl,
          var_pop(CASE WHEN lam = 0 THEN ln(close) ELSE (pow(close, lam) - 1) / lam END) AS v
