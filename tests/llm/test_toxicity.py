@@ -51,10 +51,81 @@ def test_copies_do_not_teach():
     rows = [(i, t, 0) for i, t, _ in corpus(400) if i % 8]
     copied = "thnderha onerlyth reedanha " * 3
     rows += [(1000 + i, copied + t, 1) for i, (_, t, _) in enumerate(corpus(40, 5))]
-    begins = toxicity.distinctive([(toxicity.windows(x), t) for _, x, t in rows])
+    begins = toxicity.distinctive(list(toxicity.originals([(toxicity.windows(x), t) for _, x, t in rows])))
     assert not any(b.strip() in copied and b.strip() not in BAD for b in begins if len(b) > 6)
 
 
+def area(pairs):
+    """Area under the curve by comparing all toxic with all ordinary scores."""
+    high, low = [s for t, s in pairs if t], [s for t, s in pairs if not t]
+    return sum((a > b) + (a == b) / 2 for a in high for b in low) / (len(high) * len(low))
+
+
+def phrases(n, seed):
+    rnd = random.Random(seed)
+    words = [a + b for a in "abcdefgh" for b in ("ora", "ine", "alt", "est", "ung", "ove")]
+    rows = []
+    for i in range(n):
+        ws = [rnd.choice(words) for _ in range(20)]
+        if i % 2:
+            at = rnd.randrange(17)
+            ws[at : at + 3] = ["bora", "dine", "cest"]
+        rows.append((i, " ".join(ws), i % 2))
+    return rows
+
+
+def unspaced(n, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        t = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80))
+        if i % 2:
+            at = rnd.randrange(76)
+            t = t[:at] + "qxzk" + t[at + 4 :]
+        rows.append((i, t, i % 2))
+    return rows
+
+
+@pytest.mark.parametrize("make, n", [(phrases, 1200), (unspaced, 800)])
+def test_ordinary_words_and_no_white_space(make, n):
+    """Toxicity in a phrase of ordinary words, and in texts without white space."""
+    scorer = toxicity.fit_sample(make(n, 1)).scorer()
+    assert area([(t, scorer.score(x)) for _, x, t in make(200, 2)]) > 0.97
+
+
+def test_gains_by_brute_force(model):
+    """Leaving out windows that share no unit with the dictionary loses no gain."""
+    for fitted, rows in ((model, corpus(80, 21)), (toxicity.fit_sample(phrases(600, 1)), phrases(40, 4)),
+                         (toxicity.fit_sample(unspaced(600, 1)), unspaced(40, 4))):
+        scorer = fitted.scorer()
+        some = 0
+        for _, text, _ in rows:
+            ws = toxicity.windows(text)
+            for g in scorer.gains:
+                want = [g.gain(w) for w in g.pair.kind.windows(ws)] if g.pair.toxic else []
+                assert sorted(g.of(ws)) == sorted(x for x in want if x)
+                some += len(g.of(ws))
+        assert some
+
+
+def test_windows_cover_texts():
+    ws = toxicity.windows("one two three four " + "k" * 40)
+    assert toxicity.Phrases.windows(ws)[0] == ("one", "two", "three") and len(toxicity.Phrases.windows(ws)) == 3
+    assert toxicity.Phrases.windows(["a"]) == [] and toxicity.Phrases.windows(["a", "b"]) == [("a", "b")]
+    for n in range(17, 60):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        got = toxicity.Signs.windows([text])
+        assert all(any(text[i : i + 8] in w for w in got) for i in range(n - 7))
+
+
+def test_long_labelled_texts_and_repeated_ids_teach(spark):
+    rows = corpus(300)
+    docs = [(i, t) for i, t, _ in rows] + [(1, "the"), (2, None), (9999, "scum idiot " * 20_000)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(9999, 1)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(d, "doc_id long, text string"), labels, longest=2000) for d in (docs, docs[::-1]))
+    assert a.weights == b.weights and a.sample == b.sample and a.sample[1] == 39
+
+
 def test_frames(spark, sf, model):
     rows = [(1, "you idiot, scum, trash"), (2, None), (3, ""), (None, "moron pathetic idiot"), (2, "the other"), (5, "x" * 10_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("_id", F.lit(0))
