@@ -14,6 +14,7 @@ from loomcast.functions import evaluation as ev
 from loomcast.functions.expr import next_weekday, ratio, with_next_open
 from loomcast.functions.quantiles import exact_quantiles
 from loomcast.functions.series import DAY, Axis, at_last, epoch_seconds, join_on, join_stats, lay_out, settle
+from loomcast.operators.boosting import fit_per_series, predict_per_series
 from loomcast.operators.features import LAGS, WINDOWS, feature_names, fit_rows, make_features, split_ordered
 from loomcast.session import shared_dir
 from loomcast.sources.bars import latest_row
@@ -149,6 +150,28 @@ def train_boosted(
     )
 
 
+def train_per_series(
+    bars: DataFrame, loss: str = "ls", train: float = 0.7, valid: float = 0.1, iterations: int = 100, max_depth: int = 3,
+    step: float = 0.1, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS, axis: Axis = Axis(),
+    per_split: bool = True, bins: int = 32,
+) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees, one model for each series, all series in the same passes; (models, scored test rows).
+
+    Trained on the training and validation rows of a series for its next close, with squared (``ls``), absolute
+    (``lad``) or ``huber`` loss; features are computed inside each split, or on the whole series if not ``per_split``.
+    A series without a complete training row has no model and no scored rows."""
+    if per_split:
+        parts = split_ordered(bars, train, valid, axis)
+        rows = make_features(parts, lags, windows, axis.but(key=(*axis.key, "split")))
+    else:
+        rows = split_ordered(make_features(bars, lags, windows, axis), train, valid, axis)
+    names = feature_names(lags, windows)
+    model = fit_per_series(fit_rows(rows), names, "target", axis.key, loss, iterations, max_depth, step, bins)
+    test = rows.where((F.col("split") == "test") & F.col("target").isNotNull())
+    scored = predict_per_series(test, model, names, axis.key, max_depth=max_depth).where("y_pred IS NOT NULL")
+    return model, scored.select(*axis.key, axis.order, "close", F.col("target").alias("y_true"), "y_pred")
+
+
 def train_record(scored: DataFrame, run_id: Column) -> DataFrame:
     """One run_metrics row per series of a trained model."""
     return scored.groupBy(run_id.alias("run_id")).agg(

@@ -9,6 +9,7 @@ from loomcast.functions.series import DAILY, lay_out, settle
 from loomcast.operators import check as ck
 from loomcast.operators import features as ft
 from loomcast.operators import models as md
+from loomcast.operators.boosting import ALL, fit_per_series
 from loomcast.operators.indicators import model_frame
 
 from loomcast.sources import documents as dc
@@ -79,6 +80,47 @@ def _record(t):
     return md.train_record(scored, digest_id("run-", "symbol"))
 
 
+def first_split(t, loss):
+    """First tree of one split for every series: where it cuts, and its two leaves."""
+    rows = ft.make_features(t.bars_daily(), (1,), (5,), DAILY)
+    model = fit_per_series(rows, ["lag_1", "sma_5"], "target", DAILY.key, loss, 1, 1, 1.0)
+    tree, edges = F.col("trees")[0], F.col("edges")
+    f = tree["f"][0]
+    return model.select(
+        "symbol", F.col("start"), F.when(tree["b"][0] < ALL, f).alias("feature"),
+        F.when(tree["b"][0] < ALL, F.get(F.get(edges, f), tree["b"][0].cast("int"))).alias("cut"),
+        tree["v"][0].alias("leaf_left"), tree["v"][1].alias("leaf_right"),
+    )
+
+
+#: start, gradient and leaf of the losses
+_LOSS_SQL = {
+    "ls": ("avg(y)", "r", "avg(r)"),
+    "lad": ("quantile_disc(y, 0.5)", "sign(r)", "max(med)"),
+    "huber": ("quantile_disc(y, 0.5)", "sign(r) * least(abs(r), w)", "max(med) + avg(sign(r - med) * least(abs(r - med), w))"),
+}
+for _loss, (_start, _grad, _leaf) in _LOSS_SQL.items():
+    query(f"boosted_first_{_loss}", ["symbol", "feature"], {"start": 3, "cut": 4, "leaf_left": 3, "leaf_right": 3}, f"""{DAILY_SQL}, {_F2},
+st AS (SELECT symbol, {_start} AS start FROM f2 GROUP BY symbol),
+rs AS (SELECT f2.symbol, x1, x2, y - start AS r FROM f2 JOIN st ON f2.symbol = st.symbol),
+wd AS (SELECT symbol, quantile_disc(abs(r), 0.9) AS w FROM rs GROUP BY symbol),
+g AS (SELECT rs.symbol, x1, x2, r, w, {_grad} AS g FROM rs JOIN wd ON rs.symbol = wd.symbol),
+x AS (SELECT symbol, 0 AS f, x1 AS x, g FROM g UNION ALL SELECT symbol, 1, x2, g FROM g),
+e AS (SELECT DISTINCT symbol, f, unnest(q) AS e FROM (
+  SELECT symbol, f, quantile_disc(x, [{', '.join(f'{i}/32.0' for i in range(1, 32))}]::DOUBLE[]) AS q FROM x GROUP BY symbol, f) z),
+c AS (SELECT x.symbol, x.f, e, sum(g) FILTER (x <= e) AS gl, count(*) FILTER (x <= e) AS nl, sum(g) FILTER (x > e) AS gr,
+  count(*) FILTER (x > e) AS nr FROM x JOIN e ON x.symbol = e.symbol AND x.f = e.f GROUP BY x.symbol, x.f, e),
+s AS (SELECT *, (gl / nl - gr / nr) ** 2 * nl * nr / (nl + nr) AS gain FROM c WHERE nl > 0 AND nr > 0),
+b AS (SELECT symbol, f, e FROM (SELECT *, max(gain) OVER (PARTITION BY symbol) AS top FROM s) z
+  WHERE gain >= top * (1 - 1e-9) AND gain > 1e-24 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY f, e) = 1),
+n AS (SELECT g.*, f, e, coalesce(CASE WHEN f = 0 THEN x1 ELSE x2 END > e, false) AS right_side FROM g LEFT JOIN b ON g.symbol = b.symbol),
+m AS (SELECT *, quantile_disc(r, 0.5) OVER (PARTITION BY symbol, right_side) AS med FROM n),
+l AS (SELECT symbol, right_side, any_value(f) AS f, any_value(e) AS e, {_leaf} AS v FROM m GROUP BY symbol, right_side)
+SELECT l.symbol, any_value(start) AS start, any_value(f) AS feature, any_value(e) AS cut, max(v) FILTER (NOT right_side) AS leaf_left,
+  coalesce(max(v) FILTER (right_side), 0.0) AS leaf_right FROM l JOIN st ON l.symbol = st.symbol GROUP BY l.symbol""")(
+        lambda t, k=_loss: first_split(t, k))
+
+
 # -- baselines, intervals, ensembles ----------------------------------------------------
 
 _DAYS = """days AS (SELECT CAST(d AS DATE) AS day FROM (
