@@ -182,14 +182,15 @@ def near_vectors(
     good += " AND exists(vec, v -> v <> 0) AND _l IS NOT NULL AND _id IS NOT NULL"
     src = src.withColumn("_ok", F.coalesce(F.expr(good), F.lit(False)))
     alike = src.where("_ok").groupBy("_l", "vec").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    alike = alike.withColumns({"nid": F.monotonically_increasing_id(), "dim": F.size("vec"), "label": F.xxhash64("_l")})
+    alike = alike.withColumns({"nid": F.monotonically_increasing_id(), "dim": F.size("vec")})
     nodes = settle(alike, "vectors")
-    sigs = settle(signed(nodes.select("nid", "weight", "label", "dim", "vec"), h), "signed")
+    sigs = settle(signed(nodes.select("nid", "weight", F.col("_l").alias("label"), "dim", "vec"), h), "signed")
     keys = ["label", "t", "bucket", "dim"]
     places = sigs.select("label", "dim", "nid", F.posexplode("sig").alias("t", "bucket"))
     full = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     full = settle(full.withColumn("blocks", F.ceil(F.col("m") / h.block).cast("int")), "buckets")
-    member = settle(narrow_join(places, full.drop("m"), keys, row_bytes=40), "members")
+    longest = nodes.agg(F.max(F.octet_length("_l"))).first()[0] or 0
+    member = settle(narrow_join(places, full.drop("m"), keys, row_bytes=40 + longest), "members")
     mine = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = member.withColumn("mine", mine).select(*keys, "nid", "mine", other)
