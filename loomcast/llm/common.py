@@ -106,30 +106,36 @@ def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, r
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of links between longs: rows (node, component), the component being its smallest node.
 
-    Rounds of contraction: every node takes the least of itself and its neighbours in an order that changes each
-    round, links are renamed and repeated ones dropped, until none is left; a constant share of the nodes goes each
-    round, on long chains too.  All of it is map-side combined sums and joins, so a node with very many links is no
-    group in one task.  Nodes without links are not returned."""
+    Rounds of contraction: every node takes the least node within two links, in an order that changes each round,
+    links are renamed and repeated ones dropped, until none is left.  Two links reach from leaf to leaf, so a node and
+    all its neighbours, however many, are one after a round; of long chains a constant share of the nodes goes each
+    round.  All of it is map-side combined sums and joins, so a node with very many links is no group in one task.
+    The names of the rounds are joined once at the end.  Nodes without links are not returned."""
     masks = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x1B873593CC9E2D51, 0x61C8864680B583EB)
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = settle(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    names = None
-    step = 0
+    rounds: list[DataFrame] = []
     while not e.isEmpty():
-        mask = masks[step % len(masks)]
+        mask = masks[len(rounds) % len(masks)]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.expr(f"v ^ {mask}L")).alias("m"))
-        to = settle(low.select("u", F.expr(f"least(m, u ^ {mask}L) ^ {mask}L").alias("to")), "names")
-        if names is None:
-            names = to.select(F.col("u").alias("node"), F.col("to").alias("name"))
-        else:
-            moved = names.join(to.withColumnRenamed("u", "name"), "name", "left")
-            names = settle(moved.select("node", F.coalesce("to", "name").alias("name")), "names")
+        low = both.groupBy("u").agg(F.min(F.expr(f"least(u ^ {mask}L, v ^ {mask}L)")).alias("m"))
+        # a node is its neighbours' neighbour, so it has part in the least of theirs
+        near = both.join(low.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("m"))
+        to = settle(near.select("u", F.expr(f"m ^ {mask}L").alias("to")), "names")
+        rounds.append(to)
         left = e.join(to.select("u", F.col("to").alias("x")), "u")
         both = left.join(to.select(F.col("u").alias("v"), F.col("to").alias("y")), "v").where("x <> y")
         e = settle(both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
-        step += 1
-    if names is None:
+    if not rounds:
         return edges.sparkSession.createDataFrame([], "node long, component long")
+    names = None
+    for to in reversed(rounds):  # the fewest names first
+        here = to.select(F.col("u").alias("node"), F.col("to").alias("name"))
+        if names is not None:
+            later = names.select(F.col("node").alias("name"), F.col("name").alias("last"))
+            here = here.join(later, "name", "left").select("node", F.coalesce("last", "name").alias("name"))
+        names = here
+    if len(rounds) > 1:
+        names = settle(names, "names")
     least = names.groupBy("name").agg(F.min("node").alias("component"))
     return settle(names.join(least, "name").select("node", "component"), "components")

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loomcast.llm import common
 from loomcast.llm.common import components, table
 from loomcast.llm.near_dedup import Shape, Shingler, keep_one_each, near_groups
 from loomcast.llm.queries import op6_near_dedup
@@ -134,6 +135,14 @@ def test_components(spark, kind):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_node_with_many_links_takes_one_round(spark, monkeypatch):
+    settled = []
+    monkeypatch.setattr(common, "settle", lambda df, label, *more, f=common.settle: settled.append(label) or f(df, label, *more))
+    e = [(500, i) for i in range(1000)]
+    assert {(r.node, r.component) for r in components(spark.createDataFrame(e, "a long, b long")).collect()} == {(i, 0) for i in range(1000)}
+    assert settled.count("links") == 2  # those given, and after a round those left, none
+
+
 def test_id_on_two_texts_loses_only_the_near_copy(spark):
     a, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "ac")
     rows = [(5, a), (5, c + " more"), (3, c), (6, a + " more"), (None, a), (5, None)]
