@@ -7,24 +7,31 @@ the one that stays a token of its own when joined to the last token before it.""
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.pieces import Memo, dropped_space, single_threaded, stretches, texts_of
+from loomcast.llm.pieces import DOUBTFUL, Memo, dropped_space, single_threaded, stretches, texts_of
 
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: characters of new words that are put into one trie, and of texts whose new words are looked for together
 TRIE_CHARS = 1 << 20
 TEXT_CHARS = 1 << 22
+#: characters beyond which ids and tokens might not fit one column of strings (a stretch without white space stays whole)
+WIDE_CHARS = 1 << 26
 #: Latin letters with ASCII signs after them
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
 #: byte-level files write bytes as letters: printable ones as themselves, the others from U+0100 on, in order
 _SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -41,10 +48,10 @@ class TrieEncoder:
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], end: str):
         self.vocab, self.end = vocab, end
         self.rank = {pair: i for i, pair in enumerate(merges)}
-        #: a suffix that no token ends with can't be lengthened to a token
-        self.tails = {t[i:] for t in vocab for i in range(len(t))}
+        #: a suffix that no token ends with can't be lengthened to a token; what is one itself is yet to be looked at
+        self.tails: dict[str, bool | None] = dict.fromkeys((t[i:] for t in vocab for i in range(len(t))), False)
+        self.tails.update(dict.fromkeys(vocab))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
 
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end):
@@ -55,18 +62,22 @@ class TrieEncoder:
     def merged(self, symbols: list[str]) -> list[str]:
         """The definition: merge the pair of lowest rank, the leftmost first, until none is left."""
         out, rank, none = list(symbols), self.rank, len(self.rank)
-        while len(out) > 1:
-            r, i = min((rank.get(p, none), i) for i, p in enumerate(zip(out, out[1:])))
-            if r == none:
-                break
+        ranks = [rank.get(p, none) for p in zip(out, out[1:])]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
             out[i : i + 2] = [out[i] + out[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((out[i - 1], out[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank.get((out[i], out[i + 1]), none)
         return out
 
     def is_own(self, token: str) -> bool:
-        """Whether the token's own letters merge to it alone."""
-        known = self.own.get(token)
+        """Whether the token's own letters merge to it alone; suffixes that are no token have no own letters."""
+        known = self.tails[token]
         if known is None:
-            known = self.own[token] = self.merged(self.symbols(token)) == [token]
+            known = self.tails[token] = self.merged(self.symbols(token)) == [token]
         return known
 
     def apart(self, left: str, right: str) -> bool:
@@ -78,30 +89,30 @@ class TrieEncoder:
             known = self.pairs[left, right] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
         return known
 
-    def last(self, text: str, n: int, end: str, states: list) -> tuple[str, int] | None:
-        """The last token, and the letters before it, of the first ``n`` letters of ``text`` (with the mark ``end``
-        on the last); ``states[i]`` is the same for its first i letters, found when it is first asked for.  The
-        longest token that fits is the one."""
-        vocab, tails, pairs, fits = self.vocab, self.tails, self.pairs, []
+    def last(self, text: str, n: int, stop: int, states: list) -> tuple[str, int] | None:
+        """The last token, and the letters before it, of the first ``n`` letters of ``text``; ``stop`` is ``n``, or the
+        end of ``text`` where the mark for word ends follows.  ``states[i]`` is the same for its first i letters, found
+        when it is first asked for.  The longest token that fits is the one."""
+        tails, pairs, fits = self.tails, self.pairs, []
         for i in range(n - 1, -1, -1):
-            token = text[i:n] + end
-            if token not in tails:
+            token = text[i:stop]
+            own = tails.get(token, _UNKNOWN)
+            if own is _UNKNOWN:
                 break
-            if token in vocab:
-                fits.append(i)
-        for i in reversed(fits):
-            token = text[i:n] + end
+            if own or own is None and self.is_own(token):
+                fits.append(token)
+        for token in reversed(fits):
+            i = stop - len(token)
             if i:
                 before = states[i]
                 if before is _UNKNOWN:
-                    before = states[i] = self.last(text, i, "", states)
+                    before = states[i] = self.last(text, i, i, states)
                 if before is None:
                     continue
                 apart = pairs.get((before[0], token))
                 if not (self.apart(before[0], token) if apart is None else apart):
                     continue
-            if self.is_own(token):
-                return token, i
+            return token, i
         return None
 
     def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
@@ -114,21 +125,23 @@ class TrieEncoder:
         states: list = [None]
         before = ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
                 shared += 1
-            del states[shared + 1 :]
-            states += [_UNKNOWN] * (len(word) - shared)
+            states[shared + 1 :] = [_UNKNOWN] * (len(word) - shared)
             if len(word) > DEEP:  # in order, as asking would go too deep
                 for i in range(shared + 1, len(word) + 1):
-                    states[i] = self.last(word, i, "", states)
+                    states[i] = self.last(word, i, i, states)
             out[word] = self._read(word, states)
             before = word
         return out
 
     def _read(self, word: str, states: list) -> list[str]:
         """The tokens of a whole word, from its last one backwards."""
-        state = self.last(word, len(word), self.end, states)
+        text = word + self.end
+        state = self.last(text, len(word), len(text), states)
         tokens: list[str] = []
         while state is not None:
             tokens.append(state[0])
@@ -136,7 +149,7 @@ class TrieEncoder:
             if not i:
                 return tokens[::-1]
             state = states[i]
-        return [x for x in self.merged(self.symbols(word + self.end)) if x in self.vocab]  # a letter without a token
+        return [x for x in self.merged(self.symbols(text)) if x in self.vocab]  # a letter without a token
 
 
 class WordCodec:
@@ -157,8 +170,7 @@ class WordCodec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special_in = re.compile("|".join(map(re.escape, special))).search if special else lambda p: None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         # whether Latin letters, in lower case, and signs after them are words as they stand
         probe = "Ab\u00c9\u0178\u0111.,'!"
         self.latin = self._split(probe) == [("abÃ©Ã¿Äĳ", (0, 5)), (".,'!", (5, 9))]
@@ -188,10 +200,14 @@ class WordCodec:
     def encode(self, pieces: list[str]) -> dict[str, list[str]]:
         """Tokens of each piece; pieces that hold a special string are cut there by the library itself."""
         out: dict[str, list[str]] = {}
-        plain, simple, special, latin = [], {}, self.special_in, _LATIN.fullmatch if self.latin else lambda p: None
+        plain, simple, latin = [], {}, _LATIN.fullmatch if self.latin else lambda p: None
+        together = "\n".join(pieces)
+        special = [x for x in self.special if x in together]
         for p in pieces:
-            if special(p):
+            if special and any(x in p for x in special):
                 out[p] = self.tok.encode(p, add_special_tokens=False).tokens
+            elif self.latin and (word := p.rstrip(_SIGNS)).isascii() and word.isalpha():
+                simple[p] = (word.lower(),) if len(word) == len(p) else (word.lower(), p[len(word) :])
             elif m := latin(p):
                 word, signs = m[1].lower(), m[2]
                 if not p.isascii():  # printable ASCII is shown as itself
@@ -238,6 +254,19 @@ def worker_state(path: str) -> tuple[WordCodec, Memo]:
     return WordCodec(path), Memo(300_000)
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without Python's search for cycles: words and tokens make none, and it would go through all of them again and
+    again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _grouped(batch: pa.RecordBatch) -> Iterator[list[tuple[int, str, bool]]]:
     """The texts of a batch as (row, stretch, whether it is the row's last), in groups of about ``TEXT_CHARS``."""
     group: list[tuple[int, str, bool]] = []
@@ -267,18 +296,55 @@ class _Row:
     def __init__(self):
         self.n, self.ids, self.decoded, self.first = 0, hashlib.sha256(), hashlib.sha256(), True
 
-    def add(self, known: list[tuple[int, str, str]]) -> None:
-        if not known:
+    def add(self, n: int, ids: str, tokens: str) -> None:
+        if not n:
             return
-        n, ids, tokens = zip(*known)
-        if 0 in n:  # pieces without a token
-            ids, tokens = (tuple(x for x, k in zip(xs, n) if k) for xs in (ids, tokens))
-        if ids:
-            self.n += sum(n)
-            space = "" if self.first else " "
-            self.ids.update((space + " ".join(ids)).encode())
-            self.decoded.update((space + " ".join(tokens)).encode())
-            self.first = False
+        space = "" if self.first else " "
+        self.n += n
+        self.ids.update((space + ids).encode())
+        self.decoded.update((space + tokens).encode())
+        self.first = False
+
+
+def _joined(parts: list[str], codec: WordCodec, memo: Memo) -> list[tuple[int, str, str]]:
+    """Count, joined ids and joined tokens of each stretch of text.
+
+    Python sees the distinct pieces of all of them only; cutting, numbering and joining are done on whole columns."""
+    if sum(map(len, parts)) > WIDE_CHARS:
+        cut = [_pieces(part) for part in parts]
+        memo.young.update(codec.known(memo.missing(chain.from_iterable(cut))))
+        found = [[k for k in map(memo.young.__getitem__, ps) if k[0]] for ps in cut]
+        return [(sum(k[0] for k in ks), " ".join(k[1] for k in ks), " ".join(k[2] for k in ks)) for ks in found]
+    # in a stretch without doubtful white space, Arrow's white space and Python's are the same
+    odd = {i: pa.array(_pieces(part), pa.string()) for i, part in enumerate(parts) if DOUBTFUL.search(part)}
+    plain = pc.ascii_split_whitespace(pa.array(["" if i in odd else part for i, part in enumerate(parts)], pa.string()))
+    lengths = pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = [plain.flatten()]
+    if odd:
+        lengths[list(odd)] += [len(x) for x in odd.values()]
+        starts = plain.offsets.to_numpy()
+        cut, at = [], 0
+        for i, pieces in odd.items():  # after the one empty piece of the text that stands there in its place
+            cut += [_values(plain, starts, at, i + 1), pieces]
+            at = i + 1
+        cut.append(_values(plain, starts, at, len(parts)))
+    coded = pa.chunked_array(cut, pa.string()).combine_chunks().dictionary_encode()
+    pieces = coded.dictionary.to_pylist()
+    memo.young.update(codec.known(memo.missing(pieces)))
+    n, ids, tokens = zip(*map(memo.young.__getitem__, pieces)) if pieces else ((), (), ())
+    row, counts = coded.indices.to_numpy(), np.array(n, np.int64)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    total = np.concatenate(([0], np.cumsum(counts[row])))[ends]
+    some = counts[row] > 0  # pieces without a token leave no space
+    at = pa.array(row[some])
+    ends = pa.array(np.concatenate(([0], np.cumsum(some)))[ends].astype(np.int32))
+    both = [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(at)), " ").to_pylist() for x in (ids, tokens)]
+    return list(zip(np.diff(total).tolist(), *both))
+
+
+def _values(lists: pa.ListArray, starts: np.ndarray, first: int, end: int) -> pa.Array:
+    """The values of the lists from ``first`` to before ``end``."""
+    return lists.values.slice(starts[first], starts[end] - starts[first])
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,25 +355,27 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     within bounds.  Texts go through in stretches and their digests are running ones, so no text's ids are held whole.
     Null texts count as empty; ids may be null or repeated, one row comes out for each row; other columns aren't read."""
 
+    def batch_of(batch: pa.RecordBatch, codec: WordCodec, memo: Memo) -> pa.RecordBatch:
+        rows, row = [], _Row()
+        for group in _grouped(batch):
+            for (_, _, last), known in zip(group, _joined([part for _, part, _ in group], codec, memo)):
+                row.add(*known)
+                if last:
+                    rows.append((row.n, row.ids.hexdigest(), row.decoded.hexdigest()))
+                    row = _Row()
+            memo.trim()
+        n, ids, decoded = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+            ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, memo = worker_state(path)
         for batch in batches:
-            rows, row = [], _Row()
-            for group in _grouped(batch):
-                cut = [_pieces(part) for _, part, _ in group]
-                memo.young.update(codec.known(memo.missing(chain.from_iterable(cut))))
-                known = memo.young.__getitem__
-                for (_, _, last), pieces in zip(group, cut):
-                    row.add(list(map(known, pieces)))
-                    if last:
-                        rows.append((row.n, row.ids.hexdigest(), row.decoded.hexdigest()))
-                        row = _Row()
-                memo.trim()
-            n, ids, decoded = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            with _no_cycles():
+                done = batch_of(batch, codec, memo)
+            yield done
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()

@@ -7,9 +7,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomcast.llm.bpe_trie import TrieEncoder, encode_decode, encoded
+from loomcast.llm import bpe_trie
+from loomcast.llm.bpe_trie import TrieEncoder, WordCodec, encode_decode, encoded
 from loomcast.llm.common import table
-from loomcast.llm.pieces import stretches
+from loomcast.llm.pieces import Memo, stretches
 from loomcast.llm.queries import op8_token_counts, op9_bpe_trie
 from loomcast.llm.token_counts import count_tokens
 
@@ -104,6 +105,41 @@ def test_trie_equals_the_definition():
     assert all(got[w] == enc.merged([*w[:-1], w[-1] + "$"]) for w in words)
 
 
+def test_merged_equals_the_definition():
+    rnd = random.Random(3)
+    pairs = [(a, b) for a in ("a", "b", "aa", "ab", "ba") for b in ("a", "b", "aa", "bb")]
+    rnd.shuffle(pairs)
+    enc = TrieEncoder({}, pairs, "")
+    for _ in range(500):
+        out = [rnd.choice("ab") for _ in range(rnd.randint(0, 12))]
+        got = enc.merged(out)
+        while found := [(enc.rank[p], i) for i, p in enumerate(zip(out, out[1:])) if p in enc.rank]:
+            i = min(found)[1]
+            out[i : i + 2] = [out[i] + out[i + 1]]
+        assert got == out
+
+
+@pytest.mark.parametrize("wide", [0, 1 << 26])
+def test_python_sees_each_piece_of_many_texts_once(monkeypatch, wide):
+    rnd = random.Random(4)
+    signs = ["a", "The", "\u00c9", "9", "!", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u200b", "\u65e5", "\ufeff", "<|endoftext|>", "\x00", "\x1c"]
+    parts = ["", " ", "\x0b", "a", " a \n", *("".join(rnd.choices(signs, k=rnd.randint(0, 30))) for _ in range(300)), "the " * 5000]
+    seen = []
+
+    class Seen(Memo):
+        def missing(self, pieces):
+            seen.extend(pieces := list(pieces))
+            return super().missing(pieces)
+
+    monkeypatch.setattr(bpe_trie, "WIDE_CHARS", wide)
+    got = bpe_trie._joined(parts, WordCodec(WORD), Seen())
+    assert bpe_trie._joined([], WordCodec(WORD), Memo()) == []
+    for t, known in zip(parts, got, strict=True):
+        ids, text = want(WORD, t)
+        assert known == (len(ids), " ".join(map(str, ids)), text)
+    assert not wide or len(seen) == len(set(seen))
+
+
 def test_stretches_join_back():
     text = "some words  and\nlines " * 500
     parts = list(stretches(text, 100))
